@@ -1,10 +1,12 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, substring_dedup, suffix_dedup
 
 QUERIES = {
     "op3_mixing": mixing.op3,
     "op7_exact_dedup": exact_dedup.op7,
+    "op8_suffix_dedup": suffix_dedup.op8,
+    "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
