@@ -152,4 +152,4 @@ def super_windows(symbols: np.ndarray, rows: np.ndarray, window: int, gram: int)
     cut = np.flatnonzero((place[1:] != place[:-1]) | (begins[1:] != begins[:-1] + 1)) + 1
     first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(begins)]]) - 1
     start = begins[first]
-    return np.searchsorted(rows, start, "right") - 1, start, begins[last] + window, grams[place[first]]
+    return np.searchsorted(rows, start, "right") - 1, start, begins[last] + window, mixed(grams[place[first]] + np.uint64(1))  # minimisers are small by choice, so they are spread again
