@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, load, shuffle_partitions
+from .common import ascii_lower, checkpointed, load, shuffle_partitions
 
 KEY = ["__sha", "__bytes", "__check"]
 FAN_BITS = 4
@@ -70,7 +70,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     bits = run_bits(shuffle_partitions(docs.sparkSession))
     own = Window.partitionBy(*KEY, "__run")
-    rows = digests(docs, id_col, text_col, bits).withColumns(
+    # one pass over the texts; the tree reads some 60 bytes a document
+    rows = checkpointed(digests(docs, id_col, text_col, bits)).withColumns(
         {
             "__rank": F.row_number().over(own.orderBy(F.col("doc_id").desc_nulls_last())),
             "__n": F.count(F.lit(1)).over(own),
