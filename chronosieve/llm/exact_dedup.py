@@ -93,12 +93,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, with all their columns; see exact_groups."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("__keep"), F.col("text_sha256").alias("__text_sha"))
-    full = docs.withColumn("__sha_here", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    stay = full.join(kept, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__sha_here") == F.col("__text_sha")))
-    # rows that repeat id and text are one document
-    one = Window.partitionBy("doc_id", "__sha_here").orderBy(F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith("map")]))
+    """The rows of `docs` that stay, with all their columns; see exact_groups. Rows that repeat id and text are one document."""
+    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id")]
+    kept = exact_groups(docs).where("kept").select(*key, F.unhex("text_sha256").alias("__sha"))
+    full = docs.select("*", *key, F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)).alias("__sha"))
+    one = Window.partitionBy("__id", "__no_id", "__sha").orderBy(F.xxhash64("doc_id"))
+    stay = full.join(kept, ["__id", "__no_id", "__sha"], "left_semi")
     return stay.withColumn("__one", F.row_number().over(one)).where("__one = 1").select(*docs.columns)
 
 

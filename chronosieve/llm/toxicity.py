@@ -206,6 +206,19 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that score under 0.5, with all their columns; see score_texts for the cases."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        score = shared.value.score
+        for batch in batches:
+            texts = batch.column(text_col).fill_null("").cast(pa.binary())
+            yield batch.filter(pa.array([score(t.as_py()) < 0.5 for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4(spark, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     return score_texts(docs, learnt(docs, load(spark, sf_dir, "labels")))
