@@ -10,7 +10,7 @@ together as one string, a super-k-mer:
    Copies are counted on the way, so a bucket gets each string once.
 3. A solver looks at each bucket and returns which parts of each string hold
    windows that start elsewhere too. A string that occurs twice is covered whole.
-   Buckets with too many different strings for one task are not sent to it: their
+   Buckets with too many different strings for one task are not held there: their
    windows are counted one by one in a shuffle of their own.
 4. Its answers go back to the places where the strings occur, and per document
    to the text.
@@ -31,13 +31,14 @@ from .common import checkpointed, shuffle_partitions
 #: Above this many shared minimisers (a bitmap of 32 MB) a semi-join replaces the bitmap.
 BITMAP_KEYS = 1 << 24
 BITS_PER_KEY, PAGE_BITS = 16, 1 << 18
-#: A bucket with more different strings than this is solved window by window.
-VARIANTS = 4096
+#: A bucket with more different strings than INDEXED is solved by sorting its windows' hashes; one with more
+#: than VARIANTS (some 9 MB) is not held, and its windows are counted one by one in a shuffle.
+INDEXED, VARIANTS = 4096, 16384
 #: Bytes of strings that a solver takes at once.
 SOLVE_BYTES = 1 << 20
 
 SENT = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.binary()), ("n", pa.int64())])
-PLACES = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32())])
+PLACES = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
 class Symbols:
@@ -112,13 +113,13 @@ def _pages(bits: int):
 
 
 def bit_places(anchors: np.ndarray, bits: int) -> np.ndarray:
+    """Bits of the bitmap; the keys' high bits must be spread evenly."""
     return (anchors.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def shared_anchors(docs: DataFrame, symbols: Symbols):
-    """Minimisers that occur at least twice, and a test for them as a broadcast bitmap (None: too many)."""
-    spark = docs.sparkSession
-    counts = docs.select("text").mapInArrow(_anchor_counts(symbols), "anchor long, n long")
+def shared_keys(counts: DataFrame):
+    """counts: anchor, n -> the anchors counted at least twice, and a test for them as a broadcast bitmap (None: too many)."""
+    spark = counts.sparkSession
     shared = checkpointed(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
     keys = shared.count()
     if keys > BITMAP_KEYS:
@@ -172,52 +173,81 @@ def _places(symbols: Symbols, test):
     def run(batches):
         for batch in batches:
             ids, keys = batch.column("doc_id"), batch.column("text_key")
-            for rows, start, _, _, anchor, h1, h2, _ in symbols.runs(batch):
+            for rows, start, a, b, anchor, h1, h2, _ in symbols.runs(batch):
                 k = np.flatnonzero(_wanted(anchor, test))
                 if len(k):
                     take = pa.array(rows[k])
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(h1[k]), pa.array(h2[k]), ids.take(take), keys.take(take), pa.array(start[k].astype(np.int32))], schema=PLACES)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[k]), pa.array(h1[k]), pa.array(h2[k]), ids.take(take), keys.take(take), pa.array(start[k].astype(np.int32)), pa.array((start + b - a)[k].astype(np.int32))], schema=PLACES)
 
     return run
 
 
-def _solve(solver: Callable, window: int):
-    """Feeds the solver with whole buckets, SOLVE_BYTES at a time; the rows come sorted by anchor."""
-
-    def answer(rows):
-        out = {"h1": [], "h2": [], "spans": []}
-        for (h1, h2), spans in zip([x[1:3] for x in rows], solver([x[3] for x in rows], [x[4] for x in rows], window), strict=True):
-            if spans:
-                out["h1"].append(h1), out["h2"].append(h2), out["spans"].append(spans)
-        return pa.RecordBatch.from_pydict(out, schema=pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("spans", pa.list_(pa.int32()))]))
+SOLVED = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("spans", pa.list_(pa.int32())), ("w1", pa.int64()), ("w2", pa.int64()), ("n", pa.int64())])
+
+
+def _solve(solver: Callable, symbols: Symbols):
+    """Feeds the solver with buckets, SOLVE_BYTES at a time; the rows come sorted by anchor and string.
+
+    What needs no solver is answered here: a string alone in its bucket, and
+    buckets all of whose strings occur more than once. Of a bucket with more than
+    VARIANTS strings nothing is held; its windows go out one by one.
+    """
+    window = symbols.window
+
+    def answers(buckets: list[list]):
+        rows, easy, out = [], [], []
+        for own in buckets:
+            hard = len(own) > 1 and any(x[3] == 1 for x in own)
+            if hard and len(own) > INDEXED:
+                found = counted_windows([x[2] for x in own], [x[3] for x in own], window, symbols.kind)
+                out += [(x[0], x[1], spans) for x, spans in zip(own, found, strict=True) if spans]
+            else:
+                (rows if hard else easy).extend(own)
+        out += [(x[0], x[1], [0, -1]) for x in easy if x[3] > 1]
+        if rows:
+            found = solver([x[2] for x in rows], [x[3] for x in rows], window)
+            out += [(x[0], x[1], spans) for x, spans in zip(rows, found, strict=True) if spans]
+        none = [None] * len(out)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], none, none, none), SOLVED, strict=True)], schema=SOLVED)
+
+    def one_by_one(rows: list):
+        data = np.frombuffer(b"".join(x[2] for x in rows), np.uint8)
+        offsets = np.concatenate([[0], np.cumsum([len(x[2]) for x in rows])])
+        w1, w2, r = window_hashes(data, offsets, symbols.kind, window)
+        place = np.arange(len(r)) - np.searchsorted(r, r, "left")
+        h1, h2, n = (np.array([x[k] for x in rows], np.int64)[r] for k in (0, 1, 3))
+        spans = pa.ListArray.from_arrays(np.arange(0, 2 * len(r) + 1, 2, dtype=np.int32), pa.array(np.stack([place, place + window], 1).ravel().astype(np.int32)))
+        return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), spans, pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(n)], schema=SOLVED)
 
     def run(batches):
-        held, size = [], 0
+        held, size, wide, anchor = [], 0, False, None
         for batch in batches:
             columns = [batch.column(k).to_pylist() for k in ("anchor", "h1", "h2", "s", "n")]
-            for x in zip(*columns, strict=True):
-                if size > SOLVE_BYTES and x[0] != held[-1][0]:
-                    yield answer(held)
-                    held, size = [], 0
-                held.append(x)
-                size += len(x[3])
+            for a, h1, h2, s, n in zip(*columns, strict=True):
+                if a != anchor:
+                    if wide:
+                        yield one_by_one(held.pop())
+                    if size > SOLVE_BYTES:
+                        if held:
+                            yield answers(held)
+                        held, size = [], 0
+                    anchor, wide = a, False
+                    held.append([])
+                own = held[-1]
+                if own and own[-1][0] == h1 and own[-1][1] == h2:
+                    own[-1][3] += n
+                    continue
+                if len(own) >= VARIANTS:
+                    # the last string stays, as its count may still grow
+                    yield one_by_one(own[:-1])
+                    held[-1] = own = own[-1:]
+                    wide = True
+                own.append([h1, h2, s, n])
+                size += len(s)
+        if wide:
+            yield one_by_one(held.pop())
         if held:
-            yield answer(held)
-
-    return run
-
-
-def _window_rows(symbols: Symbols):
-    """Every window of a string, as two hashes, for buckets that are too wide for one task."""
-
-    def run(batches):
-        for batch in batches:
-            data, offsets = V.binary_parts(batch.column("s"))
-            h1, h2, n = (batch.column(k).to_numpy() for k in ("h1", "h2", "n"))
-            for row, local, at in V.slices(offsets):
-                a, b, r = window_hashes(data[at : at + local[-1]], local, symbols.kind, symbols.window)
-                place = (np.arange(len(r)) - np.searchsorted(r, r, "left")).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a.view(np.int64), b.view(np.int64), h1[row + r], h2[row + r], n[row + r], place)], names=["w1", "w2", "h1", "h2", "n", "place"])
+            yield answers(held)
 
     return run
 
@@ -237,6 +267,21 @@ def window_hashes(data: np.ndarray, local: np.ndarray, kind: str, window: int):
     return V.span(sums[0], begins, begins + window, 11), V.span(sums[1], begins, begins + window, 12), np.searchsorted(rows, begins, "right") - 1
 
 
+def counted_windows(strings: list[bytes], counts: list[int], window: int, kind: str) -> list[list[int]]:
+    """Repeated spans of each string: the windows of all are sorted by their hashes, and equal neighbours counted."""
+    data = np.frombuffer(b"".join(strings), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
+    w1, w2, row = window_hashes(data, offsets, kind, window)
+    order = np.lexsort((w2, w1))
+    differs = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+    group = np.concatenate([[0], np.cumsum(differs)])
+    total = np.bincount(group, np.array(counts)[row[order]])
+    repeated = np.zeros(len(row), bool)
+    repeated[order] = total[group] > 1
+    first = np.searchsorted(row, np.arange(len(strings) + 1))
+    return [joined_spans(np.flatnonzero(repeated[a:b]), window) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+
+
 def joined_spans(starts: np.ndarray, window: int) -> list[int]:
     """Sorted window starts -> flat list of maximal [start, end) spans."""
     if not len(starts):
@@ -248,24 +293,21 @@ def joined_spans(starts: np.ndarray, window: int) -> list[int]:
 
 def repeated_spans(docs: DataFrame, symbols: Symbols, solver: Callable) -> DataFrame:
     """docs: doc_id, text_key, text (no nulls) -> doc_id, text_key, spans (array of [start, end) in symbols, unordered, may overlap)."""
-    shared, test = shared_anchors(docs, symbols)
+    shared, test = shared_keys(docs.select("text").mapInArrow(_anchor_counts(symbols), "anchor long, n long"))
     semi = (lambda df: df) if test else (lambda df: df.join(shared, "anchor", "left_semi"))
     n = shuffle_partitions(docs.sparkSession)
     sent = semi(docs.select("text").mapInArrow(_strings(symbols, test), "anchor long, h1 long, h2 long, s binary, n long"))
-    strings = sent.groupBy("anchor", "h1", "h2").agg(F.first("s").alias("s"), F.sum("n").alias("n"))
-    strings = checkpointed(strings)
-    wide = checkpointed(strings.groupBy("anchor").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > VARIANTS).select("anchor"))
-    narrow = strings.join(F.broadcast(wide), "anchor", "left_anti") if (some_wide := wide.count()) and some_wide < 100_000 else strings.join(wide, "anchor", "left_anti") if some_wide else strings
-    spans = "h1 long, h2 long, spans array<int>"
-    solved = narrow.repartition(n, "anchor").sortWithinPartitions("anchor").mapInArrow(_solve(solver, symbols.window), spans)
-    if some_wide:
-        windows = strings.join(wide, "anchor", "left_semi").select("h1", "h2", "s", "n").mapInArrow(_window_rows(symbols), "w1 long, w2 long, h1 long, h2 long, n long, place int")
-        windows = checkpointed(windows)
+    answered = sent.repartition(n, "anchor").sortWithinPartitions("anchor", "h1", "h2").mapInArrow(_solve(solver, symbols), "h1 long, h2 long, spans array<int>, w1 long, w2 long, n long")
+    answered = checkpointed(answered)
+    solved = answered.where("w1 is null").select("h1", "h2", "spans")
+    windows = answered.where("w1 is not null")
+    if not windows.isEmpty():
         again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
-        at = windows.join(again, ["w1", "w2"]).select("h1", "h2", F.array("place", F.col("place") + symbols.window).alias("spans"))
-        solved = solved.unionByName(at.groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans")))
-    places = semi(docs.select("doc_id", "text_key", "text").mapInArrow(_places(symbols, test), "anchor long, h1 long, h2 long, doc_id long, text_key long, start int"))
-    found = places.drop("anchor").join(solved, ["h1", "h2"]).select("doc_id", "text_key", F.expr("transform(spans, x -> x + start)").alias("spans"))
+        at = windows.join(again, ["w1", "w2"]).groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        solved = solved.unionByName(at)
+    places = semi(docs.select("doc_id", "text_key", "text").mapInArrow(_places(symbols, test), "anchor long, h1 long, h2 long, doc_id long, text_key long, start int, end int"))
+    # [0, -1] is the whole string
+    found = places.drop("anchor").join(solved, ["h1", "h2"]).select("doc_id", "text_key", F.expr("transform(spans, x -> if(x < 0, end, x + start))").alias("spans"))
     return found.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 

@@ -29,14 +29,20 @@ WINDOW, GRAM = 400, 128
 
 
 def suffix_order(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks by prefix doubling, first on 8 letters at once; letters are 1-255, larger ones are separators, all different."""
+    """Suffix array and ranks by prefix doubling, first on as many letters as fit a number; letters are 1-255, larger ones are separators, all different."""
     n = len(text)
-    _, rank = np.unique(text, return_inverse=True)
-    rank, depth = rank.astype(np.int64), 1
-    order = np.argsort(rank, kind="stable")
+    letters, rank = np.unique(text, return_inverse=True)
+    bits = (len(letters) + 1).bit_length()
+    depth = 62 // bits
+    key = np.zeros(n, np.int64)
+    for j in range(min(depth, n)):
+        key <<= bits
+        key[: n - j] += rank[j:] + 1
+    _, rank = np.unique(key, return_inverse=True)
+    rank = rank.astype(np.int64)
     while True:
         key = rank * (n + 1)
-        key[: n - depth] += rank[depth:] + 1
+        key[: max(0, n - depth)] += rank[depth:] + 1
         order = np.argsort(key)
         sorted_key = key[order]
         new = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
