@@ -1,13 +1,19 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, substring_dedup, suffix_dedup
+from . import exact_dedup, mixing, nearest, ngram_join, sharding, substring_dedup, suffix_dedup, tokenize, toxicity
 
 QUERIES = {
+    "op1_sentencepiece": tokenize.op1,
+    "op2_nearest": nearest.op2,
     "op3_mixing": mixing.op3,
+    "op4_toxicity": toxicity.op4,
+    "op5_sharding": sharding.op5,
+    "op6_ngram_join": ngram_join.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
     "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLES = {
+    "op2_nearest": nearest.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
 }
