@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, nearest, ngram_join, sharding, substring_dedup, suffix_dedup, tokenize, toxicity
+from . import exact_dedup, mixing, nearest, ngram_join, sharding, substring_dedup, suffix_dedup, surrogates, tokenize, toxicity
 
 QUERIES = {
     "op1_sentencepiece": tokenize.op1,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_ngram_join": ngram_join.op6,
     "op7_exact_dedup": exact_dedup.op7,
     "op8_suffix_dedup": suffix_dedup.op8,
+    "op9_surrogates": surrogates.op9,
     "op10_substring_dedup": substring_dedup.op10,
 }
 ORACLES = {
