@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 
 from . import repeats
@@ -21,17 +20,7 @@ WINDOW, GRAM = 35, 12
 
 def solve(strings: list[bytes], counts: list[int], window: int) -> list[list[int]]:
     """Repeated spans, in words, of each packed string: its windows are sorted together with all others'."""
-    data = np.frombuffer(b"".join(strings), np.uint8)
-    offsets = np.concatenate([[0], np.cumsum([len(s) for s in strings])])
-    w1, w2, row = repeats.window_hashes(data, offsets, "words", window)
-    order = np.lexsort((w2, w1))
-    differs = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
-    group = np.concatenate([[0], np.cumsum(differs)])
-    total = np.bincount(group, np.array(counts)[row[order]])
-    repeated = np.zeros(len(row), bool)
-    repeated[order] = total[group] > 1
-    first = np.searchsorted(row, np.arange(len(strings) + 1))
-    return [repeats.joined_spans(np.flatnonzero(repeated[a:b]), window) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
+    return repeats.counted_windows(strings, counts, window, "words")
 
 
 def _finish(batches):
