@@ -16,5 +16,8 @@ QUERIES = {
 }
 ORACLES = {
     "op2_nearest": nearest.ORACLE,
+    "op6_ngram_join": ngram_join.ORACLE,
     "op7_exact_dedup": exact_dedup.ORACLE,
+    "op8_suffix_dedup": suffix_dedup.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }

@@ -53,4 +53,21 @@ def repeated_words(docs, id_col: str = "doc_id", text_col: str = "text", window:
 
 
 def op10(spark, sf_dir: str):
-    return repeated_words(load(spark, sf_dir, "documents"))
+    return repeated_words(load(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLE = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (
+  SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS k
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 33, 1))) AS i FROM w)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+g AS (SELECT DISTINCT doc_id, j FROM (SELECT doc_id, unnest(range(i, i + 35)) AS j FROM r)),
+l AS (SELECT doc_id, list(j) AS js FROM g GROUP BY 1),
+k AS (
+  SELECT w.doc_id, string_agg(w.word, ' ' ORDER BY w.j) AS kept
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) w ANTI JOIN g ON w.doc_id = g.doc_id AND w.j = g.j GROUP BY 1)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(len(js), 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN l USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

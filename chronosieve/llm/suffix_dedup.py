@@ -145,4 +145,21 @@ def repeated_bytes(docs, id_col: str = "doc_id", text_col: str = "text", window:
 
 
 def op8(spark, sf_dir: str):
-    return repeated_bytes(load(spark, sf_dir, "documents"))
+    return repeated_bytes(load(spark, sf_dir, "documents")).drop("spans")
+
+
+ORACLE = r"""
+WITH b AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+s AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(n - 399, 0))) AS i FROM b)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS c FROM s) WHERE c > 1),
+o AS (SELECT doc_id, i, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS gap FROM r),
+p AS (SELECT doc_id, i, sum(CASE WHEN gap IS NULL OR gap > 400 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM o),
+q AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM p GROUP BY 1, 2),
+e AS (
+  SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM (
+    SELECT doc_id, a, z FROM q UNION ALL SELECT doc_id, n, n FROM b)),
+k AS (SELECT e.doc_id, string_agg(substr(h, 2 * from_ + 1, 2 * (a - from_)), '' ORDER BY a, z) AS kept FROM e JOIN b USING (doc_id) WHERE a > from_ GROUP BY 1),
+c AS (SELECT doc_id, sum(z - a)::BIGINT AS n_removed, count(*) AS n_spans FROM q GROUP BY 1)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM b LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)
+"""

@@ -365,3 +365,18 @@ def test_pipeline_stages(spark, sf):
         assert docs.columns == columns, name
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count() > 0
+
+
+@pytest.mark.parametrize("name", ["op2_nearest", "op6_ngram_join", "op7_exact_dedup", "op8_suffix_dedup", "op10_substring_dedup"])
+def test_oracles(spark, sf, name):
+    import duckdb
+
+    from chronosieve.llm import registry
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS FROM '{sf}/{table}.parquet'")
+    got, want = registry.QUERIES[name](spark, sf).toPandas(), con.execute(registry.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    rows = lambda f: sorted(map(tuple, f[sorted(f.columns)].itertuples(index=False)), key=str)
+    assert rows(got) == rows(want)
