@@ -27,7 +27,7 @@ def choice_right(answer: Column, truth: Column) -> Column:
 
 def calibration_bins(rows: DataFrame, confidence: Column, correct: Column, bins: int = 10) -> DataFrame:
     """Bins (lo, hi], the first with 0: count, mean confidence, accuracy."""
-    c = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
+    c = F.when(confidence.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)))  # both skip nulls
     b = F.greatest(F.ceil(c * bins), F.lit(1)).cast("long")
     return rows.select(b.alias("bin"), c.alias("c"), correct.cast("double").alias("ok")).where("c is not null").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("confidence"), F.avg("ok").alias("accuracy"))
 
