@@ -5,15 +5,17 @@ Jaccard similarity of their sets reaches a percentage. Equal sets are one from
 the start. Then:
 
 1. Tokens (n-grams, hashed to 64 bits) get one order for the whole corpus: rare
-   before frequent, then by hash. A set's prefix is its first n - ceil(t*n) + 1
-   tokens: sets that are similar enough share a token of their prefixes. Frequent
-   ones are counted over all documents, so a passage that many documents share
-   leads to no comparisons as long as a document has rarer tokens.
+   before frequent, then by hash. A set's prefix is its first n - ceil(t*n) + l
+   tokens: sets that are similar enough share at least l tokens of their prefixes
+   (the smaller of their l, which is 1 plus some percent of n). Frequent tokens are
+   counted over all documents, so a passage that many documents share leads to
+   no comparisons as long as a document has rarer tokens.
 2. Similar sets are partitioned into groups by their smallest hash, at most about
-   CAP to a group. The token-group matrix holds, in sparse form, which tokens are
-   in the union of a group's prefixes, with the sizes of the group's sets.
-3. A set queries the matrix with its prefix. The join gives the groups of which
-   some set can reach the threshold, by tokens and by size; only these are opened.
+   CAP to a group. The token-group matrix holds, in sparse form, which
+   tokens are in the union of a group's prefixes, with the sizes of its sets.
+3. A set queries the matrix with its prefix. The overlap with a group's union and
+   the group's sizes bound its similarity with all of them; only groups
+   of which some set can reach the threshold are opened, its own among them.
 4. In an opened group the union of the full sets bounds the overlap once more;
    what passes is compared exactly with the members, all at once.
    Links to members that are linked to each other already tell no more, so one
@@ -33,7 +35,9 @@ from .common import checkpointed, load, shuffle_partitions
 
 SHINGLE, PERCENT = 3, 90
 #: Tokens in more prefixes than FREQUENT are ordered last, by how many; at most so many of them are told to the tasks (12 MB).
-FREQUENT, FREQUENT_KEYS = 48, 1 << 20
+FREQUENT, FREQUENT_KEYS = 24, 1 << 20
+#: Percent of its size by which a set's prefix is longer, and so many of its tokens must be shared.
+LONGER = 3
 #: Sets in a group, about.
 CAP = 256
 
@@ -82,7 +86,7 @@ class Sets:
             if self.frequent is not None and len(tokens):
                 keys, classes = self.frequent.value
                 if len(keys):
-                    own = _spread(tokens)
+                    own = _spread(tokens) >> 32
                     at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
                     level = np.where(keys[at] == own, classes[at], 0)
                     order = np.lexsort((tokens, level, owner))
@@ -92,7 +96,7 @@ class Sets:
     def prefix(self, places: np.ndarray, factor: int = 1) -> np.ndarray:
         """Which tokens belong to the prefixes, factor times as long as they must be."""
         n = np.diff(places)
-        length = np.minimum(n, factor * (n - (self.percent * n + 99) // 100 + 1))
+        length = np.minimum(n, factor * (n - (self.percent * n + 99) // 100 + 1 + LONGER * n // 100))
         return np.arange(places[-1]) - np.repeat(places[:-1], n) < np.repeat(length, n)
 
 
@@ -101,13 +105,15 @@ def _spread(tokens: np.ndarray) -> np.ndarray:
     return V.mixed(tokens + np.uint64(1)).view(np.int64)
 
 
-def _counted(sets: Sets, factor: int):
+def _counted(sets: Sets, factor: int, shift: int = 0):
+    """Keys of the tokens in prefixes, without their lowest `shift` bits, with their number in the batch."""
+
     def run(batches):
         for batch in batches:
             got = [t[sets.prefix(places, factor)] for _, t, places in sets.of(*V.texts(batch))]
             if got:
-                token, n = np.unique(np.concatenate(got), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(_spread(token)), pa.array(n)], names=["anchor", "n"])
+                key, n = np.unique(_spread(np.concatenate(got)) >> shift, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["anchor", "n"])
 
     return run
 
@@ -227,8 +233,9 @@ def similar_sets(rows: DataFrame, shingle: int, percent: int):
     n = shuffle_partitions(spark)
     texts = rows.select("text")
 
-    # frequent tokens, counted in prefixes twice as long, as others move up when they step back
-    counts = texts.mapInArrow(_counted(Sets(shingle, percent), 2), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
+    # frequent tokens, counted in prefixes twice as long, as others move up when they step back;
+    # half a key will do, as this only orders tokens
+    counts = texts.mapInArrow(_counted(Sets(shingle, percent), 2, 32), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
     often = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "anchor").limit(FREQUENT_KEYS)
     found = sorted((r.anchor, int(r.n).bit_length()) for r in often.toLocalIterator())
     frequent = spark.sparkContext.broadcast((np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)))
@@ -242,17 +249,27 @@ def similar_sets(rows: DataFrame, shingle: int, percent: int):
     # groups of at most about CAP sets with one smallest hash
     per = unique.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / CAP).alias("__parts"))
     unique = checkpointed(unique.join(per, "least").withColumn("gid", F.xxhash64("least", F.pmod(F.xxhash64("node"), F.col("__parts")))).drop("__parts", "least"))
-    cells = unique.select("node", "n", "gid", F.explode("tokens").alias("token"))
+    # candidates go by half a node: should two ever share it, both are looked at
+    short = F.xxhash64("node").alias("nid")
+    cells = unique.select(short, F.col("n").cast("int").alias("n"), "gid", F.explode("tokens").alias("token"))
     if test is None:
         cells = cells.join(shared.withColumnRenamed("anchor", "token"), "token", "left_semi")
-    matrix = cells.groupBy("token", "gid").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"))
-    fits = (F.col("q.gid") < F.col("m.gid")) & (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("smallest"))
-    queries = checkpointed(cells.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & fits).select("node", F.col("m.gid").alias("gid")).distinct())
-    members = unique.groupBy("gid").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("gid").unionByName(queries.select("gid")).distinct()
-    members = unique.join(members, "gid", "left_semi").select("gid", F.lit(0).alias("role"), "node", "rep")
-    asking = queries.join(unique.select("node", "rep"), "node").select("gid", F.lit(1).alias("role"), "node", "rep")
-    wanted = members.unionByName(asking).select("gid", "role", "node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__key"))
-    sent = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("gid", "role", "node", "text")
+    matrix = cells.groupBy("token", "gid").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("sets"))
+    fits = (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("smallest"))
+    # each pair of groups is looked at from one side, and tokens of the set alone say nothing about its own group
+    sides = (F.col("q.gid") < F.col("m.gid")) | ((F.col("q.gid") == F.col("m.gid")) & (F.col("sets") > 1))
+    met = cells.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & fits & sides)
+    met = met.groupBy("nid", F.col("q.gid").alias("own"), F.col("m.gid").alias("gid"), "n").agg(F.count(F.lit(1)).alias("shared"), F.min("smallest").alias("smallest"))
+    queries = checkpointed(met.where(F.col("shared") > F.floor(LONGER * F.least("n", "smallest") / 100)).select("nid", "own", "gid"))
+    inner = queries.where("own = gid").select("nid", "gid")
+    asking = queries.where("own != gid").select("nid", "gid")
+    asked = unique.join(asking.select("gid").distinct(), "gid", "left_semi").select(short, "gid")
+    named = unique.select(short, "node", "rep")
+    members = inner.unionByName(asked).distinct().join(named, "nid").select("gid", F.lit(0).alias("role"), "node", "rep")
+    asking = asking.join(named, "nid").select("gid", F.lit(1).alias("role"), "node", "rep")
+    wanted = checkpointed(members.unionByName(asking).select("gid", "role", "node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__key")))
+    some = repeats.rows_in(rows, "text_key", repeats.bitmap(wanted.select(F.col("__key").alias("anchor")).distinct()))
+    sent = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("gid", "role", "node", "text")
     links = sent.repartition(n, "gid").sortWithinPartitions("gid", "role", "node").mapInArrow(_opened(Sets(shingle, percent)), "u binary, v binary")
     return sketch, links
 

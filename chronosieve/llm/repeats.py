@@ -121,16 +121,34 @@ def shared_keys(counts: DataFrame):
     """counts: anchor, n -> the anchors counted at least twice, and a test for them as a broadcast bitmap (None: too many)."""
     spark = counts.sparkSession
     shared = checkpointed(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
-    keys = shared.count()
-    if keys > BITMAP_KEYS:
-        return shared, None
-    bits = max(20, (keys * BITS_PER_KEY).bit_length())
+    return shared, bitmap(shared)
+
+
+def bitmap(keys: DataFrame):
+    """keys: anchor -> a test for them as a broadcast bitmap; None if they are too many for one."""
+    spark = keys.sparkSession
+    n = keys.count()
+    if n > BITMAP_KEYS:
+        return None
+    bits = max(20, (n * BITS_PER_KEY).bit_length())
     page = F.shiftrightunsigned(F.shiftrightunsigned("anchor", 64 - bits), 18)
-    pages = shared.repartition(shuffle_partitions(spark), page).mapInArrow(_pages(bits), "page long, own binary")
-    bitmap = bytearray((1 << bits) // 8)
+    pages = keys.repartition(shuffle_partitions(spark), page).mapInArrow(_pages(bits), "page long, own binary")
+    out = bytearray((1 << bits) // 8)
     for row in pages.toLocalIterator():
-        bitmap[row.page * PAGE_BITS // 8 : (row.page + 1) * PAGE_BITS // 8] = row.own
-    return shared, (bits, spark.sparkContext.broadcast(bytes(bitmap)))
+        out[row.page * PAGE_BITS // 8 : (row.page + 1) * PAGE_BITS // 8] = row.own
+    return bits, spark.sparkContext.broadcast(bytes(out))
+
+
+def rows_in(rows: DataFrame, column: str, test) -> DataFrame:
+    """The rows whose key passes the test (all, without one): fewer to shuffle before a join that decides."""
+    if test is None:
+        return rows
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_wanted(batch.column(column).to_numpy(zero_copy_only=False), test)))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _wanted(anchors: np.ndarray, test) -> np.ndarray:
