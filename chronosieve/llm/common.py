@@ -21,6 +21,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """All columns of `docs` as the struct __row, beside the given keys, so that no name can clash; select("__row.*") undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, load, shuffle_partitions
+from .common import ascii_lower, checkpointed, load, packed, shuffle_partitions
 
 KEY = ["__sha", "__bytes", "__check"]
 FAN_BITS = 4
@@ -94,12 +94,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns; see exact_groups. Rows that repeat id and text are one document."""
-    key = [F.coalesce("doc_id", F.lit(0)).alias("__id"), F.col("doc_id").isNull().alias("__no_id")]
-    kept = exact_groups(docs).where("kept").select(*key, F.unhex("text_sha256").alias("__sha"))
-    full = docs.select("*", *key, F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)).alias("__sha"))
-    one = Window.partitionBy("__id", "__no_id", "__sha").orderBy(F.xxhash64("doc_id"))
+    ident = F.col("doc_id")
+    keys = {"__id": F.coalesce(ident, F.lit(0)), "__no_id": ident.isNull()}
+    kept = exact_groups(docs).where("kept").select(*[c.alias(k) for k, c in keys.items()], F.unhex("text_sha256").alias("__sha"))
+    full = packed(docs, **keys, __sha=F.unhex(F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)))
+    one = Window.partitionBy("__id", "__no_id", "__sha").orderBy(F.lit(1))
     stay = full.join(kept, ["__id", "__no_id", "__sha"], "left_semi")
-    return stay.withColumn("__one", F.row_number().over(one)).where("__one = 1").select(*docs.columns)
+    return stay.withColumn("__one", F.row_number().over(one)).where("__one = 1").select("__row.*")
 
 
 def op7(spark, sf_dir: str) -> DataFrame:

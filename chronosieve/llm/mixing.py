@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpointed, load
+from .common import WORD, checkpointed, load, packed
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE, CAP, SEED = 1.5, 2.0, 20
@@ -143,9 +143,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it. Rows that share id and source share the decision."""
     copies = mix(docs, **options).where("copies > 0").groupBy("doc_id", "source").agg(F.max("copies").alias("__copies"))
-    copies = copies.select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), "__copies")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__src"))
-    return docs.join(copies, on).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = copies.select(F.col("doc_id").alias("__to"), F.col("source").alias("__of"), "__copies")
+    full = packed(docs, __id=F.col("doc_id"), __source=F.col("source"))
+    on = F.col("__id").eqNullSafe(F.col("__to")) & F.col("__source").eqNullSafe(F.col("__of"))
+    return full.join(copies, on).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select("__row.*")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats, vectors as V
-from .common import checkpointed, load, shuffle_partitions
+from .common import checkpointed, load, packed, shuffle_partitions
 
 SHINGLE, PERCENT = 3, 90
 #: Tokens in more prefixes than FREQUENT are ordered last, by how many; at most so many of them are told to the tasks (12 MB).
@@ -299,7 +299,7 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of `docs` that stay when one document of each component does: the one whose id names it."""
     stay = linked_documents(docs, shingle, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay"))).drop("__stay")
+    return packed(docs, __id=F.col("doc_id")).join(stay, F.col("__id").eqNullSafe(F.col("__stay"))).select("__row.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
