@@ -243,7 +243,7 @@ def test_shards_keep_copies_together(spark):
 
 
 def brute_nearest(rows, queries, k=5):
-    fine = {i: np.array(v, float) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
+    fine = {i: np.array(v, float) / np.abs(v).max() for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     out = {}
     for q in queries:
         if q in fine:
