@@ -93,9 +93,12 @@ def _luhn(digits: Column) -> Column:
     return F.pmod(F.aggregate(F.transform(F.sequence(F.lit(1), n), weigh), F.lit(0), lambda a, x: a + x), F.lit(10))
 
 
-def core(k: Column, norm: Column, draw: Column, key: str = KEY) -> Column:
-    """The surrogate of a normal form at a draw, in normal form itself."""
-    hexes = F.sha2(F.concat_ws("|", F.lit(key), k, norm, draw.cast("string")), 256)
+def keyed_digest(k: Column, norm: Column, draw: Column, key: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), k, norm, draw.cast("string")), 256)
+
+
+def core(k: Column, norm: Column, hexes: Column) -> Column:
+    """The surrogate of a normal form by its keyed digest, in normal form itself."""
     local, top = F.substring_index(norm, "@", 1), F.substring_index(norm, ".", -1)
     email = F.concat(_map_characters(local, hexes), F.lit("@mail"), _nth(DIGITS, _byte(hexes, F.lit(32))), F.lit(".example."), top)
     octets = [F.pmod(_byte(hexes, F.lit(i)), F.lit(223 if i == 1 else 254)) + 1 for i in range(1, 5)]
@@ -143,7 +146,7 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
     first = Window.partitionBy("kind", "core").orderBy(F.xxhash64("norm"), "norm")
     open_, taken, redrawn = found.select("kind", "norm"), None, None
     for draw in range(DRAWS):
-        drawn = open_.withColumn("core", core(F.col("kind"), F.col("norm"), F.lit(draw), key))
+        drawn = open_.withColumn("core", core(F.col("kind"), F.col("norm"), keyed_digest(F.col("kind"), F.col("norm"), F.lit(draw), key)))
         drawn = drawn.withColumn("fine", F.row_number().over(first) == 1)
         # it must be none that is there, nor one that an earlier draw gave out
         drawn = drawn.join(real.withColumn("there", F.lit(True)), ["kind", "core"], "left")
@@ -174,7 +177,8 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     redrawn = resolved(checkpointed(entities(rows)), key)
     found = F.when(F.col("text").rlike(MAYBE), F.regexp_extract_all("text", F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
-    rows = rows.withColumn("found", F.coalesce(found, F.array().cast("array<string>")))
+    # explode of a single element: the search runs once a row, not once for each use of its result
+    rows = rows.select("*", F.explode(F.array(F.coalesce(found, F.array().cast("array<string>")))).alias("found"))
     if redrawn.isEmpty():
         draw = lambda k, n: F.lit(0)
     else:
@@ -186,13 +190,13 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
         rows = rows.join(own, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")), "left")
         draw = lambda k, n: F.coalesce(F.try_element_at("draws", F.concat_ws("|", k, n)), F.lit(0))
 
-    def surrogate(m: Column) -> Column:
-        k = kind(m)
-        n = normal(m, k)
-        return rendered(m, k, core(k, n, draw(k, n), key))
-
-    pieces = F.split("text", ANY, -1)
-    told = F.zip_with(pieces, F.transform("found", surrogate), lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    # step by step, so that no step is computed again for each use in the next
+    steps = F.transform("found", lambda m: F.struct(m.alias("m"), kind(m).alias("k")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), normal(x["m"], x["k"]).alias("n")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["n"].alias("n"), keyed_digest(x["k"], x["n"], draw(x["k"], x["n"]), key).alias("h")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), core(x["k"], x["n"], x["h"]).alias("c")))
+    made = F.transform(steps, lambda x: rendered(x["m"], x["k"], x["c"]))
+    told = F.zip_with(F.split("text", ANY, -1), made, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     some = F.size("found") > 0
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", kind))), ",")
     return rows.select("doc_id", F.size("found").cast("long").alias("n_entities"), kinds.alias("kinds"), some.alias("changed"), F.when(some, F.array_join(told, "")).otherwise(F.col("text")).alias("text"))
