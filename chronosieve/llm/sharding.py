@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, load, shuffle_partitions
 
-SHARDS, ROUNDS = 24, 8
+SHARDS, ROUNDS = 24, 4
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str | None, name: str) -> DataFrame:
