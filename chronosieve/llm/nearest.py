@@ -66,12 +66,20 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
+def once(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids and rows by (row, id), those that repeat both once, and which of them are the first of their row."""
+    order = np.lexsort((ids, *rows.T[::-1]))
+    ids, rows = ids[order], rows[order]
+    new = np.ones(len(rows), bool)
+    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
+    other = new.copy()
+    other[1:] |= ids[1:] != ids[:-1]
+    return ids[other], rows[other], new[other]
+
+
 def tile(q_ids, q, v_ids, v, k: int) -> list[tuple[int, int, float]]:
     """The k nearest of v for each row of q, by cosine, ties to smaller ids, without the query itself."""
-    order = np.lexsort((v_ids, *v.T[::-1]))
-    v_ids, v = v_ids[order], v[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]).any(axis=1)
+    v_ids, v, new = once(v_ids, v)
     first = np.flatnonzero(new)
     distinct, last = v[first], np.append(first[1:], len(v))
     distinct, q = in_range(distinct), in_range(q)
@@ -83,9 +91,11 @@ def tile(q_ids, q, v_ids, v, k: int) -> list[tuple[int, int, float]]:
     room = np.minimum(last - first, k + 1)
     out = []
     lower = rough - off
-    # the query's own vector may be among the k best but does not count, hence one more
-    take = min(k + 1, len(first))
-    bound = np.partition(lower, len(first) - take, axis=1)[:, len(first) - take]
+    # the query's own vectors (mostly one) may be among the k best but do not count, hence as many more
+    ids, times = np.unique(v_ids[np.isin(v_ids, q_ids)], return_counts=True)
+    times = dict(zip(ids.tolist(), times.tolist(), strict=True))
+    at = len(first) - np.minimum([k + times.get(i, 0) for i in q_ids.tolist()], len(first))
+    bound = np.partition(lower, np.unique(at), axis=1)[np.arange(len(q)), at]
     for i in range(len(q)):
         near = np.flatnonzero(rough[i] + off[i] >= bound[i])
         scores = dots(distinct[near], q[i : i + 1]) / (q_norm[i] * v_norm[near])
@@ -111,7 +121,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     Fewer than k candidates: all of them. Vectors that are null, zero or hold
     null or non-finite components take no part, nor do rows without id; vectors
     of another length than a query's are not its candidates. Rows that
-    repeat an id with one vector count once. An empty table gives an empty result; other
+    repeat an id with one vector count once; with different vectors they are rows
+    of their own. An empty table gives an empty result; other
     columns are ignored whatever their names.
     """
     data, asked = (usable(x, id_col, vector_col).withColumn("dim", F.size("v")) for x in (vectors, queries))
@@ -125,13 +136,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "v
     def run(key, q: pa.Table, v: pa.Table) -> pa.Table:
         got = []
         if len(q) and len(v):
-            (q_ids, qm), (v_ids, vm) = _matrix(q), _matrix(v)
+            (q_ids, qm, _), (v_ids, vm) = once(*_matrix(q)), _matrix(v)
             for at in range(0, len(q_ids), QUERY_BLOCK):
                 got += tile(q_ids[at : at + QUERY_BLOCK], qm[at : at + QUERY_BLOCK], v_ids, vm, k)
         return pa.table({"query_id": pa.array([x[0] for x in got], pa.int64()), "vec_id": pa.array([x[1] for x in got], pa.int64()), "score": pa.array([x[2] for x in got], pa.float64())})
 
     keys = ["qb", "vb", "dim"]
-    heaps = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double").distinct()
+    heaps = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return heaps.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -267,6 +267,24 @@ def test_nearest(spark, sf):
     assert [i for i, _ in got[2000]] == [5, 2001, 2002, 2003, 2004]
 
 
+def test_nearest_of_repeated_rows(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, x.tolist()) for i, x in enumerate(rng.normal(size=(80, 8)))]
+    near = [(i, (np.array(rows[0][1]) + 0.01 * rng.normal(size=8)).tolist()) for i in range(100, 110)]
+    # ids twice and six times with one vector, a query's id with several near ones, a vector and its double under one id
+    rows += near + near[:1] * 5 + near[1:4] * 2 + [(0, x) for _, x in near[6:]] + [(104, [2 * c for c in near[4][1]])] + rows[:1] * 3
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = collections.defaultdict(list)
+    for r in nearest.nearest(df, df.where("vec_id in (50, 105)").union(spark.createDataFrame(rows[:1] * 2, df.schema))).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    unique = sorted({(i, tuple(v)) for i, v in rows})
+    for q, v in [(0, rows[0][1]), (50, rows[50][1]), (105, near[5][1])]:
+        cosine = lambda x: float(np.dot(v, x) / (np.linalg.norm(v) * np.linalg.norm(x)))  # noqa: B023, E731
+        want = sorted(((round(-cosine(x), 12), i) for i, x in unique if i != q))[:5]
+        assert [i for i, _ in got[q]] == [i for _, i in want]
+        assert np.allclose([s for _, s in got[q]], [-s for s, _ in want], atol=1e-11)
+
+
 def test_tile_bounds_lose_nothing():
     rng = np.random.default_rng(3)
     v = rng.normal(size=(500, 16)) * rng.choice([1e-3, 1, 50], size=(500, 1))
