@@ -15,12 +15,14 @@ the buckets' counts, so no task orders a whole shard.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, load, shuffle_partitions
 
-SHARDS, ROUNDS = 24, 4
+SHARDS = 24
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str | None, name: str) -> DataFrame:
@@ -34,10 +36,15 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, value:
     return df.withColumn("__own", F.coalesce(F.sum(v).over(own), F.lit(0))).join(sums, [*keys, "__bucket"]).withColumn(name, F.col("__own") + F.col("__before")).drop("__own", "__before", "__bucket")
 
 
-def propagated(linked: DataFrame, shards: int, capacity: int, buckets: int, rounds: int = ROUNDS) -> DataFrame:
-    """linked: rows with g (their text), h (a hash of the row) and label -> the same with labels moved."""
+def propagated(linked: DataFrame, shards: int, capacity: int, buckets: int, rounds: int | None = None) -> DataFrame:
+    """linked: rows with g (their text), h (a hash of the row) and label -> the same with labels moved.
+
+    Rounds run until no part asks or has room (`rounds`: so many at most). Rows only
+    move to a part that is larger, or as large and later in order, so each round adds
+    to the squares of the parts' sizes, and the rounds end.
+    """
     state = checkpointed(linked)
-    for _ in range(rounds):
+    for _ in itertools.count() if rounds is None else range(rounds):
         parts = state.groupBy("g", "label").agg(F.count(F.lit(1)).alias("n")).withColumn("order", F.xxhash64("g", "label"))
         load_ = {r.label: r.n for r in parts.groupBy("label").agg(F.sum("n").alias("n")).collect()}
         room = {s: capacity - load_.get(s, 0) for s in range(shards) if load_.get(s, 0) < capacity}
@@ -59,7 +66,7 @@ def propagated(linked: DataFrame, shards: int, capacity: int, buckets: int, roun
     return state
 
 
-def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Where each document goes.
 
     Returns a row for every row of `docs`: doc_id, size (UTF-8 bytes of the text

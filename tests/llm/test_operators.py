@@ -242,6 +242,15 @@ def test_shards_keep_copies_together(spark):
     assert all(len(v) == 1 for v in where.values())
 
 
+@pytest.mark.parametrize("pairs,least", [(0, 8), (50, 9)])
+def test_shards_gather_a_group_larger_than_a_shard(spark, pairs, least):
+    # pairs that already sit in a shard keep their places, so the group may need one shard more
+    texts = ["same"] * 800 + [f"pair {k % pairs}" for k in range(2 * pairs)] + [f"own {k}" for k in range(1600 - 2 * pairs)]
+    got = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    parts = collections.Counter(r.shard for r in got if r.doc_id < 800)
+    assert len(parts) <= least and set(collections.Counter(r.shard for r in got).values()) == {100}
+
+
 def brute_nearest(rows, queries, k=5):
     fine = {i: np.array(v, float) / np.abs(v).max() for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and np.any(v)}
     out = {}
