@@ -10,20 +10,23 @@ Coreference: what an entity becomes depends on the key and on its normal form
 only, so all its mentions, however written, become the same. Distinctness: the
 different entities of the whole corpus are collected by a distributed
 aggregation, and where two would become the same, or one would become another
-that is there, all but one draw again until none collide. Only these few are then
+that is there, all but one draw again until none collide. Names and e-mail
+addresses grow with each draw, by a syllable or by a character of the mail host, so
+that there are always enough of them; all other formats keep their length and have
+10**9 forms or more. Only these few are then
 joined to the documents that mention them; all others are computed in place.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, checkpointed, load
 
 KEY = "surrogates-1"
-#: Draws before the job gives up; each leaves only the collisions of the last.
-DRAWS = 20
 # fixed values: what the entities look like
 EMAIL = r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}"
 SECRET = r"(?<![0-9A-Za-z])(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?![0-9A-Za-z])"
@@ -97,10 +100,11 @@ def keyed_digest(k: Column, norm: Column, draw: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), k, norm, draw.cast("string")), 256)
 
 
-def core(k: Column, norm: Column, hexes: Column) -> Column:
-    """The surrogate of a normal form by its keyed digest, in normal form itself."""
+def core(k: Column, norm: Column, hexes: Column, draw: Column) -> Column:
+    """The surrogate of a normal form by its keyed digest, in normal form itself; names and e-mail addresses are longer by `draw` steps."""
+    more = F.substr(hexes, F.lit(17), draw)
     local, top = F.substring_index(norm, "@", 1), F.substring_index(norm, ".", -1)
-    email = F.concat(_map_characters(local, hexes), F.lit("@mail"), _nth(DIGITS, _byte(hexes, F.lit(32))), F.lit(".example."), top)
+    email = F.concat(_map_characters(local, hexes), F.lit("@mail"), _nth(DIGITS, _byte(hexes, F.lit(32))), more, F.lit(".example."), top)
     octets = [F.pmod(_byte(hexes, F.lit(i)), F.lit(223 if i == 1 else 254)) + 1 for i in range(1, 5)]
     card = _map_characters(norm, hexes, keep=F.lit(1))
     unchecked = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.lit("0"))
@@ -115,6 +119,9 @@ def core(k: Column, norm: Column, hexes: Column) -> Column:
         for w in (0, 1):
             parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.pmod(_byte(hexes, F.lit(4 * w + j)), F.lit(len(SYLLABLES[s]))) + 1) for j in (1, 2, 3)]
             end = F.when(female, ENDINGS[s]["f"]).otherwise(ENDINGS[s]["m"]) if w == 0 else F.lit("")
+            if w == 0:
+                syllable = lambda c: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.instr(F.lit(HEX), c))
+                parts.append(F.when(draw > 0, F.array_join(F.transform(F.split(more, "(?!^)"), syllable), "")).otherwise(""))
             words.append(F.initcap(F.concat(*parts, end)))
         two = F.size(F.split(norm, " ")) > 2
         return F.when(two, F.concat_ws(" ", *words)).otherwise(words[0])
@@ -145,8 +152,8 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
     real = found.select("kind", F.col("norm").alias("core"))
     first = Window.partitionBy("kind", "core").orderBy(F.xxhash64("norm"), "norm")
     open_, taken, redrawn = found.select("kind", "norm"), None, None
-    for draw in range(DRAWS):
-        drawn = open_.withColumn("core", core(F.col("kind"), F.col("norm"), keyed_digest(F.col("kind"), F.col("norm"), F.lit(draw), key)))
+    for draw in itertools.count():
+        drawn = open_.withColumn("core", core(F.col("kind"), F.col("norm"), keyed_digest(F.col("kind"), F.col("norm"), F.lit(draw), key), F.lit(draw)))
         drawn = drawn.withColumn("fine", F.row_number().over(first) == 1)
         # it must be none that is there, nor one that an earlier draw gave out
         drawn = drawn.join(real.withColumn("there", F.lit(True)), ["kind", "core"], "left")
@@ -162,7 +169,6 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
         open_ = drawn.where("not fine").select("kind", "norm")
         if open_.isEmpty():
             return redrawn if redrawn is not None else open_.withColumn("draw", F.lit(0))
-    raise RuntimeError(f"entities still collide after {DRAWS} draws")
 
 
 def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,8 +199,9 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     # step by step, so that no step is computed again for each use in the next
     steps = F.transform("found", lambda m: F.struct(m.alias("m"), kind(m).alias("k")))
     steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), normal(x["m"], x["k"]).alias("n")))
-    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["n"].alias("n"), keyed_digest(x["k"], x["n"], draw(x["k"], x["n"]), key).alias("h")))
-    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), core(x["k"], x["n"], x["h"]).alias("c")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["n"].alias("n"), draw(x["k"], x["n"]).alias("d")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["n"].alias("n"), x["d"].alias("d"), keyed_digest(x["k"], x["n"], x["d"], key).alias("h")))
+    steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), core(x["k"], x["n"], x["h"], x["d"]).alias("c")))
     made = F.transform(steps, lambda x: rendered(x["m"], x["k"], x["c"]))
     told = F.zip_with(F.split("text", ANY, -1), made, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     some = F.size("found") > 0

@@ -365,6 +365,16 @@ def test_surrogates_stay_distinct(spark):
     assert redrawn.count() > 0 and len(set(got)) == len(texts) and not set(got) & set(texts)
 
 
+def test_surrogates_never_run_out(spark):
+    # more names than three syllables can spell, more one-letter and one-mark local parts than one digit of the host tells apart
+    names = ["Mr " + (a + b + c + d).capitalize() for a in "bcdfghklmn" for b in "aeiouywrst" for c in "bcdfghklmn" for d in "aeiouy"]
+    mails = [f"a@host{k}.org" for k in range(400)] + [f"_@host{k}.org" for k in range(40)]
+    df = spark.createDataFrame(list(enumerate(names + mails)), "doc_id long, text string")
+    got = [r.text for r in surrogates.replaced(df).collect()]
+    assert len(names) > 16**3 and len(set(got)) == len(names + mails) and not set(got) & set(names + mails)
+    assert all(re.fullmatch(r"Mr [A-Z][a-z]+n|[a-z_]@mail\d[0-9a-f]*\.example\.org", t) for t in got)
+
+
 def test_surrogates_edges(docs, empty):
     df, rows = docs
     got = surrogates.replaced(df).collect()
