@@ -1,4 +1,4 @@
-"""Toxicity by compression distance, with one zstandard dictionary for toxic and one for ordinary text.
+"""Toxicity by compression distance, with one list of entries for toxic and one for ordinary text, matched by zstandard.
 
 Fitting takes a bounded sample of labelled documents:
 
@@ -7,7 +7,8 @@ Fitting takes a bounded sample of labelled documents:
 - of the openings of the words in the first, those are kept that cover toxic
   documents and hardly occur in ordinary ones (each document is to be covered
   COVER times), as long as their documents share them; of the second, the words;
-- both dictionaries list their entries after the same HEAD.
+- both lists stand in raw dictionaries, each entry after the same HEAD; the trained
+  dictionaries themselves do not score (the README compares the two).
 
 A window is a word between HEAD and TAIL, so that a match with an entry costs no
 reference of its own: it lengthens the one for HEAD. Its compression length with
