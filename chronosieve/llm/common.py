@@ -33,12 +33,16 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint.
 
-    The folder is the one the cluster names in spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a temporary folder is taken.
+    The folder is the one the cluster names in spark.checkpoint.dir. Where that is
+    unset, a temporary folder is taken in local mode, as in tests; on a cluster it would
+    be lost with its machine, so that is an error.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint()
 
 

@@ -10,36 +10,45 @@ the start. Then:
    (the smaller of their l, which is 1 plus some percent of n). Frequent tokens are
    counted over all documents, so a passage that many documents share leads to
    no comparisons as long as a document has rarer tokens.
-2. Similar sets are partitioned into groups by their smallest hash, at most about
-   CAP to a group. The token-group matrix holds, in sparse form, which
-   tokens are in the union of a group's prefixes, with the sizes of its sets.
-3. A set queries the matrix with its prefix. The overlap with a group's union and
-   the group's sizes bound its similarity with all of them; only groups
-   of which some set can reach the threshold are opened, its own among them.
-4. In an opened group the union of the full sets bounds the overlap once more;
-   what passes is compared exactly with the members, all at once.
+2. Leaders. Sets that share min-hashes are likely similar, so each set is compared
+   exactly with the least set of those that share at least AGREE of its LEADS
+   min-hashes. Near copies of one text, however many, so become one linked part at a
+   linear cost; nothing is decided against a set here.
+3. Similar sets are partitioned into groups: a linked part, or the unlinked sets of one
+   smallest hash, in pieces of about CAP sets. The token-group matrix holds, in
+   sparse form, which tokens are in the union of a group's prefixes, with the sizes
+   of its sets.
+4. A set queries the matrix with its prefix, but no group of its own part, and of two
+   parts the smaller one asks. The overlap with a group's union and the group's sizes
+   bound its similarity with all of them; only groups of which some set can reach the
+   threshold are opened, its own among them if it is not linked yet.
+5. In an opened group the union of the full sets bounds the overlap once more;
+   what passes is compared exactly with the members, all at once. Groups that many
+   sets ask are opened in several tasks.
    Links to members that are linked to each other already tell no more, so one
    link for each linked part of a group is returned: never all pairs.
-5. Components by alternating large-star and small-star rounds.
+6. Components by alternating large-star and small-star rounds.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import repeats, vectors as V
 from .common import checkpointed, load, packed, shuffle_partitions
 
 SHINGLE, PERCENT = 3, 90
-#: Tokens in more prefixes than FREQUENT are ordered last, by how many; at most so many of them are told to the tasks (12 MB).
-FREQUENT, FREQUENT_KEYS = 24, 1 << 20
+#: Tokens in more prefixes than FREQUENT are ordered last, by how many; tasks know them by a table of 2**TABLE_BITS bytes.
+FREQUENT, TABLE_BITS = 24, 23
 #: Percent of its size by which a set's prefix is longer, and so many of its tokens must be shared.
 LONGER = 3
-#: Sets in a group, about.
-CAP = 256
+#: Sets in a group, about, and sets that ask one opening of it.
+CAP, ASKED = 256, 1024
+#: Min-hashes of a set, and how many of them it must share with a leader to be compared with it.
+LEADS, AGREE = 4, 2
 
 
 class Sets:
@@ -84,11 +93,8 @@ class Sets:
             new[1:] = (tokens[1:] != tokens[:-1]) | (owner[1:] != owner[:-1])
             tokens, owner = tokens[new], owner[new]
             if self.frequent is not None and len(tokens):
-                keys, classes = self.frequent.value
-                if len(keys):
-                    own = _spread(tokens) >> 32
-                    at = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-                    level = np.where(keys[at] == own, classes[at], 0)
+                level = self.frequent.value[_cell(_spread(tokens) >> 32)]
+                if level.any():
                     order = np.lexsort((tokens, level, owner))
                     tokens = tokens[order]
             yield row, tokens, np.searchsorted(owner, np.arange(len(count) + 1))
@@ -105,6 +111,11 @@ def _spread(tokens: np.ndarray) -> np.ndarray:
     return V.mixed(tokens + np.uint64(1)).view(np.int64)
 
 
+def _cell(halves: np.ndarray) -> np.ndarray:
+    """Where the table of frequent tokens has a key, by its upper half."""
+    return (halves >> (32 - TABLE_BITS)) + (1 << (TABLE_BITS - 1))
+
+
 def _counted(sets: Sets, factor: int, shift: int = 0):
     """Keys of the tokens in prefixes, without their lowest `shift` bits, with their number in the batch."""
 
@@ -119,23 +130,24 @@ def _counted(sets: Sets, factor: int, shift: int = 0):
 
 
 def _sketches(sets: Sets, test):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("least", pa.int64()), ("tokens", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int64()), ("node", pa.binary()), ("least", pa.list_(pa.int64())), ("tokens", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
             for row, tokens, places in sets.of(*V.texts(batch)):
                 n = np.diff(places)
                 full = np.flatnonzero(n)
-                node, least = [None] * len(n), np.zeros(len(n), np.uint64)
+                node, least = [None] * len(n), np.zeros((len(n), LEADS), np.uint64)
                 if len(full):
                     sums = np.stack([np.add.reduceat(V.mixed(tokens + np.uint64(c)), places[:-1][full]) for c in (3, 5)], 1)
                     for k, x in zip(full.tolist(), sums, strict=True):
                         node[k] = x.tobytes()
-                    least[full] = np.minimum.reduceat(tokens, places[:-1][full])
+                    for r in range(LEADS):
+                        least[full, r] = np.minimum.reduceat(V.mixed(tokens + np.uint64(101 + r)), places[:-1][full])
                 keep = sets.prefix(places) & repeats._wanted(_spread(tokens), test)
                 held = np.concatenate([[0], np.cumsum(keep)])[places].astype(np.int32)
                 some = slice(row, row + len(n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[some], batch.column("text_key")[some], pa.array(n), pa.array(node, pa.binary()), pa.array(least.view(np.int64)), pa.ListArray.from_arrays(held, pa.array(_spread(tokens[keep])))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[some], batch.column("text_key")[some], pa.array(n), pa.array(node, pa.binary()), pa.ListArray.from_arrays(np.arange(0, LEADS * len(n) + 1, LEADS, dtype=np.int32), pa.array(least.view(np.int64).ravel())), pa.ListArray.from_arrays(held, pa.array(_spread(tokens[keep])))], schema=schema)
 
     return run
 
@@ -227,51 +239,98 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(edges.select(v.alias("node"), v.alias("root")).distinct())
 
 
+def _frequent(counts: DataFrame):
+    """The table of frequent tokens: bits of the count of the most frequent token of a cell, 0 where there is none."""
+    cell = F.shiftright("anchor", 32 - TABLE_BITS) + (1 << (TABLE_BITS - 1))
+    often = counts.where(F.col("n") > FREQUENT).groupBy(cell.cast("int").alias("cell")).agg(F.max("n").alias("n"))
+    table = np.zeros(1 << TABLE_BITS, np.uint8)
+    for batch in often.select("cell", F.length(F.bin("n")).cast("byte").alias("level")).toArrow().to_batches():  # one row a cell at most
+        table[batch.column("cell").to_numpy()] = batch.column("level").to_numpy()
+    return counts.sparkSession.sparkContext.broadcast(table)
+
+
+def compared(rows: DataFrame, members: DataFrame, asking: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """members, asking: gid, node, rep -> links (u, v) found in the opened groups, each in as many tasks as those that ask it need."""
+    spark = rows.sparkSession
+    openings = checkpointed(asking.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    asking = asking.join(openings, "gid").select("gid", part.alias("part"), F.lit(1).alias("role"), "node", "rep")
+    every = F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))
+    members = members.join(openings, "gid", "left").select("gid", every.alias("part"), F.lit(0).alias("role"), "node", "rep")
+    wanted = checkpointed(members.unionByName(asking).select(F.xxhash64("gid", "part").alias("gid"), "role", "node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__key")))
+    some = repeats.rows_in(rows, "text_key", repeats.bitmap(wanted.select(F.col("__key").alias("anchor")).distinct()))
+    sent = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("gid", "role", "node", "text")
+    return sent.repartition(shuffle_partitions(spark), "gid").sortWithinPartitions("gid", "role", "node").mapInArrow(_opened(Sets(shingle, percent)), "u binary, v binary")
+
+
+def led(rows: DataFrame, unique: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Verified links (u, v) between sets and their leaders."""
+    keys = unique.select("node", "n", "rep", F.posexplode("least").alias("r", "h")).select("node", "n", "rep", F.xxhash64("r", "h").alias("key"))
+    least = checkpointed(keys.groupBy("key").agg(F.min(F.struct("node", "n", "rep")).alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"))
+    fits = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (F.col("node") != F.col("lead.node"))
+    pairs = keys.join(least, "key").where(fits).groupBy("node", "lead.node", "lead.rep").agg(F.first("rep").alias("own"), F.count(F.lit(1)).alias("both")).where(F.col("both") >= AGREE)
+    pairs = checkpointed(pairs.toDF("node", "lead", "lead_rep", "rep", "both").select("node", "rep", "lead", "lead_rep", F.xxhash64("lead").alias("gid")))
+    leaders = pairs.select("gid", F.col("lead").alias("node"), F.col("lead_rep").alias("rep")).distinct()
+    return compared(rows, leaders, pairs.select("gid", "node", "rep"), shingle, percent)
+
+
 def similar_sets(rows: DataFrame, shingle: int, percent: int):
     """rows: doc_id, text_key, text -> (sketches of all rows, links between different sets)."""
-    spark = rows.sparkSession
-    n = shuffle_partitions(spark)
     texts = rows.select("text")
 
     # frequent tokens, counted in prefixes twice as long, as others move up when they step back;
     # half a key will do, as this only orders tokens
-    counts = texts.mapInArrow(_counted(Sets(shingle, percent), 2, 32), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n"))
-    often = counts.where(F.col("n") > FREQUENT).orderBy(F.desc("n"), "anchor").limit(FREQUENT_KEYS)
-    found = sorted((r.anchor, int(r.n).bit_length()) for r in often.toLocalIterator())
-    frequent = spark.sparkContext.broadcast((np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int64)))
-
+    frequent = _frequent(texts.mapInArrow(_counted(Sets(shingle, percent), 2, 32), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")))
     sets = Sets(shingle, percent, frequent)
     shared, test = repeats.shared_keys(texts.mapInArrow(_counted(sets, 1), "anchor long, n long"))
-    sketch = checkpointed(rows.mapInArrow(_sketches(sets, test), "doc_id long, text_key long, n long, node binary, least long, tokens array<long>"))
+    sketch = checkpointed(rows.mapInArrow(_sketches(sets, test), "doc_id long, text_key long, n long, node binary, least array<long>, tokens array<long>"))
 
     unique = sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens").alias("tokens"))
-    unique = unique.where(F.size("tokens") > 0)
-    # groups of at most about CAP sets with one smallest hash
-    per = unique.groupBy("least").agg(F.ceil(F.count(F.lit(1)) / CAP).alias("__parts"))
-    unique = checkpointed(unique.join(per, "least").withColumn("gid", F.xxhash64("least", F.pmod(F.xxhash64("node"), F.col("__parts")))).drop("__parts", "least"))
+    unique = checkpointed(unique.where(F.size("tokens") > 0))
+    roots = checkpointed(components(led(rows, unique, shingle, percent)))
+    unique = unique.join(roots, "node", "left").withColumn("base", F.coalesce(F.xxhash64("root"), F.col("least")[0]))
+    # groups of at most about CAP sets of one linked part (size: its sets) or of one smallest hash (size: 0)
+    per = checkpointed(unique.groupBy("base", F.col("root").isNotNull().alias("linked")).agg(F.count(F.lit(1)).alias("sets")))
+    same = (F.col("u.base") == F.col("p.base")) & (F.col("u.root").isNotNull() == F.col("p.linked"))
+    gid = F.xxhash64("u.base", "linked", F.pmod(F.xxhash64("node"), F.ceil(F.col("p.sets") / CAP)))
+    unique = unique.alias("u").join(per.alias("p"), same).select("node", "rep", "n", "tokens", gid.alias("gid"), F.when(F.col("linked"), F.col("p.sets")).otherwise(0).alias("size"), F.when(F.col("linked"), F.col("u.base")).alias("part"))
+    unique = checkpointed(unique.withColumn("part", F.coalesce("part", "gid")))
     # candidates go by half a node: should two ever share it, both are looked at
     short = F.xxhash64("node").alias("nid")
-    cells = unique.select(short, F.col("n").cast("int").alias("n"), "gid", F.explode("tokens").alias("token"))
+    cells = unique.select(short, F.col("n").cast("int").alias("n"), "gid", "size", "part", F.explode("tokens").alias("token"))
     if test is None:
         cells = cells.join(shared.withColumnRenamed("anchor", "token"), "token", "left_semi")
-    matrix = cells.groupBy("token", "gid").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("sets"))
+    matrix = cells.groupBy("token", "gid", "size", "part").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("sets"))
+    matrix = checkpointed(matrix.withColumn("order", F.struct("size", "part")))
+    # what a token's sets may ask: parts above their own, or their own group if it is not linked; the top part asks nothing
+    top = matrix.groupBy("token").agg(F.max("order").alias("top"), F.min("order").alias("low"), F.max(F.when(F.col("size") == 0, F.col("sets"))).alias("inner"))
+    top = checkpointed(top.where("low < top or inner > 1").select("token", "top", F.coalesce("inner", F.lit(0)).alias("inner")))
+    asks = cells.join(top, "token").where((F.struct("size", "part") < F.col("top")) | ((F.col("size") == 0) & (F.col("inner") > 1)))
     fits = (100 * F.col("largest") >= percent * F.col("n")) & (100 * F.col("n") >= percent * F.col("smallest"))
-    # each pair of groups is looked at from one side, and tokens of the set alone say nothing about its own group
-    sides = (F.col("q.gid") < F.col("m.gid")) | ((F.col("q.gid") == F.col("m.gid")) & (F.col("sets") > 1))
-    met = cells.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & fits & sides)
+    # tokens of the set alone say nothing about its own group
+    sides = (F.struct("q.size", "q.part") < F.col("order")) | ((F.col("q.size") == 0) & (F.col("q.gid") == F.col("m.gid")) & (F.col("sets") > 1))
+    met = asks.alias("q").join(matrix.alias("m"), (F.col("q.token") == F.col("m.token")) & fits & sides)
     met = met.groupBy("nid", F.col("q.gid").alias("own"), F.col("m.gid").alias("gid"), "n").agg(F.count(F.lit(1)).alias("shared"), F.min("smallest").alias("smallest"))
     queries = checkpointed(met.where(F.col("shared") > F.floor(LONGER * F.least("n", "smallest") / 100)).select("nid", "own", "gid"))
     inner = queries.where("own = gid").select("nid", "gid")
     asking = queries.where("own != gid").select("nid", "gid")
     asked = unique.join(asking.select("gid").distinct(), "gid", "left_semi").select(short, "gid")
     named = unique.select(short, "node", "rep")
-    members = inner.unionByName(asked).distinct().join(named, "nid").select("gid", F.lit(0).alias("role"), "node", "rep")
-    asking = asking.join(named, "nid").select("gid", F.lit(1).alias("role"), "node", "rep")
-    wanted = checkpointed(members.unionByName(asking).select("gid", "role", "node", F.col("rep.doc_id").alias("__id"), F.col("rep.text_key").alias("__key")))
-    some = repeats.rows_in(rows, "text_key", repeats.bitmap(wanted.select(F.col("__key").alias("anchor")).distinct()))
-    sent = some.join(wanted, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key"))).select("gid", "role", "node", "text")
-    links = sent.repartition(n, "gid").sortWithinPartitions("gid", "role", "node").mapInArrow(_opened(Sets(shingle, percent)), "u binary, v binary")
-    return sketch, links
+    members = inner.unionByName(asked).distinct().join(named, "nid").select("gid", "node", "rep")
+    links = compared(rows, members, asking.join(named, "nid").select("gid", "node", "rep"), shingle, percent)
+    return sketch, links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+
+
+def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, root (null without words) of every row."""
+    rows = repeats.keyed(docs, id_col, text_col)
+    sketch, links = similar_sets(rows, shingle, percent)
+    own = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    own = own.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    ids = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = checkpointed(own.join(ids, "root").select("node", "root", "component_id"))
+    some = sketch.where("n > 0").select("doc_id", "text_key", "n", "node").join(named, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
+    return some.unionByName(sketch.where("n = 0").select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("binary").alias("root")))
 
 
 def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -285,21 +344,24 @@ def linked_documents(docs: DataFrame, shingle: int = SHINGLE, percent: int = PER
     sets and so are linked. An empty table gives an empty result; other columns
     are ignored whatever their names.
     """
-    rows = repeats.keyed(docs, id_col, text_col)
-    sketch, links = similar_sets(rows, shingle, percent)
-    roots = components(links)
-    own = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    own = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
-    ids = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = own.join(ids, "root").select("node", "component_id")
-    some = sketch.where("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.unionByName(sketch.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return labelled(docs, shingle, percent, id_col, text_col).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of `docs` that stay when one document of each component does: the one whose id names it."""
-    stay = linked_documents(docs, shingle, percent).where("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return packed(docs, __id=F.col("doc_id")).join(stay, F.col("__id").eqNullSafe(F.col("__stay"))).select("__row.*")
+    """The rows of `docs` that stay when one document of each component does.
+
+    It is the one with the smallest id (rows without id come last, ties by a hash
+    of the text). Documents without words stay. Rows that repeat id and text are one
+    document. An empty table gives an empty result; clashing column names stay apart.
+    """
+    rows = labelled(docs, shingle, percent, "doc_id", "text")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_key")).alias("first")
+    stay = rows.where("root is not null").groupBy("root").agg(first).select("first.doc_id", "first.text_key").unionByName(rows.where("root is null").select("doc_id", "text_key"))
+    stay = stay.select(F.struct("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    full = packed(docs, __id=F.struct(F.col("doc_id").cast("long").alias("doc_id")), __key=F.xxhash64(text))
+    one = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
+    return full.join(stay, ["__id", "__key"], "left_semi").withColumn("__one", F.row_number().over(one)).where("__one = 1").select("__row.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
