@@ -14,8 +14,8 @@ the start. Then:
    exactly with the least set of those that share at least AGREE of its LEADS
    min-hashes. Near copies of one text, however many, so become one linked part at a
    linear cost; nothing is decided against a set here.
-3. Similar sets are partitioned into groups: a linked part, or the unlinked sets of one
-   smallest hash, in pieces of about CAP sets. The token-group matrix holds, in
+3. Similar sets are partitioned into groups: a linked part, or the unlinked sets that
+   share the min-hash most others have, in pieces of about CAP sets. The token-group matrix holds, in
    sparse form, which tokens are in the union of a group's prefixes, with the sizes
    of its sets.
 4. A set queries the matrix with its prefix, but no group of its own part, and of two
@@ -43,6 +43,8 @@ from .common import checkpointed, load, packed, shuffle_partitions
 SHINGLE, PERCENT = 3, 90
 #: Tokens in more prefixes than FREQUENT are ordered last, by how many; tasks know them by a table of 2**TABLE_BITS bytes.
 FREQUENT, TABLE_BITS = 24, 23
+#: Tokens that a task counts at once.
+TOKENS = 1 << 19
 #: Percent of its size by which a set's prefix is longer, and so many of its tokens must be shared.
 LONGER = 3
 #: Sets in a group, about, and sets that ask one opening of it.
@@ -121,10 +123,19 @@ def _counted(sets: Sets, factor: int, shift: int = 0):
 
     def run(batches):
         for batch in batches:
-            got = [t[sets.prefix(places, factor)] for _, t, places in sets.of(*V.texts(batch))]
+            got, size = [], 0
+            for _, t, places in sets.of(*V.texts(batch)):
+                got.append(t[sets.prefix(places, factor)])
+                size += len(got[-1])
+                if size > TOKENS:
+                    yield told(got)
+                    got, size = [], 0
             if got:
-                key, n = np.unique(_spread(np.concatenate(got)) >> shift, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["anchor", "n"])
+                yield told(got)
+
+    def told(got):
+        key, n = np.unique(_spread(np.concatenate(got)) >> shift, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["anchor", "n"])
 
     return run
 
@@ -192,13 +203,13 @@ def _opened(sets: Sets):
     def run(batches):
         gid, group, closed, out = None, None, False, []
         for batch in batches:
-            sets_of = {row + k: t[places[k] : places[k + 1]] for row, t, places in sets.of(*V.texts(batch)) for k in range(len(places) - 1)}
-            for k, (g, role, node) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("gid", "role", "node")), strict=True)):
+            each = (t[places[k] : places[k + 1]] for _, t, places in sets.of(*V.texts(batch)) for k in range(len(places) - 1))
+            for g, role, node, own in zip(*(batch.column(c).to_pylist() for c in ("gid", "role", "node")), each, strict=True):
                 if g != gid:
                     if group and not closed:
                         out += group.close()
                     gid, group, closed = g, Group(), False
-                tokens = np.sort(sets_of[k])
+                tokens = np.sort(own)
                 if role == 0:
                     if not group.nodes or group.nodes[-1] != node:
                         group.nodes.append(node), group.tokens.append(tokens)
@@ -263,15 +274,26 @@ def compared(rows: DataFrame, members: DataFrame, asking: DataFrame, shingle: in
     return sent.repartition(shuffle_partitions(spark), "gid").sortWithinPartitions("gid", "role", "node").mapInArrow(_opened(Sets(shingle, percent)), "u binary, v binary")
 
 
-def led(rows: DataFrame, unique: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Verified links (u, v) between sets and their leaders."""
+def led(rows: DataFrame, unique: DataFrame, shingle: int, percent: int):
+    """Verified links (u, v) between sets and their leaders, and the min-hash of each set that most others share: node, base."""
     keys = unique.select("node", "n", "rep", F.posexplode("least").alias("r", "h")).select("node", "n", "rep", F.xxhash64("r", "h").alias("key"))
-    least = checkpointed(keys.groupBy("key").agg(F.min(F.struct("node", "n", "rep")).alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1").drop("sets"))
+    least = checkpointed(keys.groupBy("key").agg(F.min(F.struct("node", "n", "rep")).alias("lead"), F.count(F.lit(1)).alias("sets")).where("sets > 1"))
+    # LEADS leaders of a set at most
+    own = keys.join(least, "key").groupBy("node").agg(F.first("n").alias("n"), F.first("rep").alias("rep"), F.collect_list("lead").alias("leads"), F.max(F.struct("sets", "key"))["key"].alias("base"))
+    own = checkpointed(own)
+    leads = F.filter(F.array_distinct("leads"), lambda x: F.size(F.filter("leads", lambda y: y["node"] == x["node"])) >= AGREE)
     fits = (100 * F.least("n", "lead.n") >= percent * F.greatest("n", "lead.n")) & (F.col("node") != F.col("lead.node"))
-    pairs = keys.join(least, "key").where(fits).groupBy("node", "lead.node", "lead.rep").agg(F.first("rep").alias("own"), F.count(F.lit(1)).alias("both")).where(F.col("both") >= AGREE)
-    pairs = checkpointed(pairs.toDF("node", "lead", "lead_rep", "rep", "both").select("node", "rep", "lead", "lead_rep", F.xxhash64("lead").alias("gid")))
-    leaders = pairs.select("gid", F.col("lead").alias("node"), F.col("lead_rep").alias("rep")).distinct()
-    return compared(rows, leaders, pairs.select("gid", "node", "rep"), shingle, percent)
+    pairs = own.select("node", "n", "rep", F.explode(leads).alias("lead")).where(fits).withColumn("gid", F.xxhash64("lead.node"))
+    leaders = pairs.select("gid", "lead.node", "lead.rep").distinct()
+    return compared(rows, leaders, pairs.select("gid", "node", "rep"), shingle, percent), own.select("node", "base")
+
+
+def parts_of(links: DataFrame) -> DataFrame:
+    """links (u, v) to leaders, v < u -> (node, root): the least leader's own least leader; linked parts, if not always whole ones."""
+    least = checkpointed(links.groupBy("u").agg(F.min("v").alias("v")))
+    up = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
+    followers = least.join(up, "v", "left").select(F.col("u").alias("node"), F.coalesce("top", "v").alias("root"))
+    return followers.unionByName(followers.select(F.col("root").alias("node"), "root").distinct())
 
 
 def similar_sets(rows: DataFrame, shingle: int, percent: int):
@@ -287,9 +309,11 @@ def similar_sets(rows: DataFrame, shingle: int, percent: int):
 
     unique = sketch.where("n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("least").alias("least"), F.first("tokens").alias("tokens"))
     unique = checkpointed(unique.where(F.size("tokens") > 0))
-    roots = checkpointed(components(led(rows, unique, shingle, percent)))
-    unique = unique.join(roots, "node", "left").withColumn("base", F.coalesce(F.xxhash64("root"), F.col("least")[0]))
-    # groups of at most about CAP sets of one linked part (size: its sets) or of one smallest hash (size: 0)
+    links, popular = led(rows, unique, shingle, percent)
+    roots = checkpointed(parts_of(links))
+    base = F.when(F.col("root").isNotNull(), F.xxhash64("root")).otherwise(F.coalesce("base", F.xxhash64("node")))
+    unique = unique.join(roots, "node", "left").join(popular, "node", "left").withColumn("base", base)
+    # groups of at most about CAP sets of one linked part (size: its sets) or of one min-hash (size: 0)
     per = checkpointed(unique.groupBy("base", F.col("root").isNotNull().alias("linked")).agg(F.count(F.lit(1)).alias("sets")))
     same = (F.col("u.base") == F.col("p.base")) & (F.col("u.root").isNotNull() == F.col("p.linked"))
     gid = F.xxhash64("u.base", "linked", F.pmod(F.xxhash64("node"), F.ceil(F.col("p.sets") / CAP)))
@@ -299,7 +323,7 @@ def similar_sets(rows: DataFrame, shingle: int, percent: int):
     short = F.xxhash64("node").alias("nid")
     cells = unique.select(short, F.col("n").cast("int").alias("n"), "gid", "size", "part", F.explode("tokens").alias("token"))
     if test is None:
-        cells = cells.join(shared.withColumnRenamed("anchor", "token"), "token", "left_semi")
+        cells = cells.join(shared.select(F.col("anchor").alias("token")), "token", "left_semi")
     matrix = cells.groupBy("token", "gid", "size", "part").agg(F.min("n").alias("smallest"), F.max("n").alias("largest"), F.count(F.lit(1)).alias("sets"))
     matrix = checkpointed(matrix.withColumn("order", F.struct("size", "part")))
     # what a token's sets may ask: parts above their own, or their own group if it is not linked; the top part asks nothing
