@@ -10,8 +10,9 @@ together as one string, a super-k-mer:
    Copies are counted on the way, so a bucket gets each string once.
 3. A solver looks at each bucket and returns which parts of each string hold
    windows that start elsewhere too. A string that occurs twice is covered whole.
-   Buckets with too many different strings for one task are not held there: their
-   windows are counted one by one in a shuffle of their own.
+   Minimisers counted more than WIDE times would make one task's bucket too large.
+   Their strings are dealt out by their own hash instead, and their windows are
+   counted one by one in a shuffle of their own.
 4. Its answers go back to the places where the strings occur, and per document
    to the text.
 """
@@ -31,13 +32,12 @@ from .common import checkpointed, shuffle_partitions
 #: Above this many shared minimisers (a bitmap of 32 MB) a semi-join replaces the bitmap.
 BITMAP_KEYS = 1 << 24
 BITS_PER_KEY, PAGE_BITS = 16, 1 << 18
-#: A bucket with more different strings than INDEXED is solved by sorting its windows' hashes; one with more
-#: than VARIANTS (some 9 MB) is not held, and its windows are counted one by one in a shuffle.
-INDEXED, VARIANTS = 4096, 16384
+#: A minimiser that occurs more often has no bucket; so a bucket has at most so many strings (some 4 MB).
+WIDE = 8192
 #: Bytes of strings that a solver takes at once.
 SOLVE_BYTES = 1 << 20
 
-SENT = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.binary()), ("n", pa.int64())])
+SENT = pa.schema([("anchor", pa.int64()), ("wide", pa.bool_()), ("h1", pa.int64()), ("h2", pa.int64()), ("s", pa.binary()), ("n", pa.int64())])
 PLACES = pa.schema([("anchor", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
 
 
@@ -118,18 +118,22 @@ def bit_places(anchors: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_keys(counts: DataFrame):
-    """counts: anchor, n -> the anchors counted at least twice, and a test for them as a broadcast bitmap (None: too many)."""
-    spark = counts.sparkSession
-    shared = checkpointed(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor"))
+    """counts: anchor, n -> the anchors counted at least twice with their counts, and a test for them as a broadcast bitmap (None: too many)."""
+    shared = checkpointed(counts.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1"))
     return shared, bitmap(shared)
 
 
-def bitmap(keys: DataFrame):
-    """keys: anchor -> a test for them as a broadcast bitmap; None if they are too many for one."""
+def bitmap(keys: DataFrame, always: bool = False):
+    """keys: anchor -> a test for them as a broadcast bitmap; None if they are too many for one.
+
+    With `always` there is a bitmap of the largest size even then; it only lets more pass.
+    """
     spark = keys.sparkSession
     n = keys.count()
     if n > BITMAP_KEYS:
-        return None
+        if not always:
+            return None
+        n = BITMAP_KEYS
     bits = max(20, (n * BITS_PER_KEY).bit_length())
     page = F.shiftrightunsigned(F.shiftrightunsigned("anchor", 64 - bits), 18)
     pages = keys.repartition(shuffle_partitions(spark), page).mapInArrow(_pages(bits), "page long, own binary")
@@ -160,33 +164,38 @@ def _wanted(anchors: np.ndarray, test) -> np.ndarray:
     return (own[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
 
 
-def _strings(symbols: Symbols, test):
-    """Strings of shared minimisers, each once a batch with its count."""
+def _strings(symbols: Symbols, test, wide):
+    """Strings of shared minimisers, each once a batch with its count; those of wide ones go by their own hash."""
 
     def run(batches):
         for batch in batches:
             seen: dict[tuple[int, int], int] = {}
-            anchors, h1s, h2s, strings, counts = [], [], [], [], []
+            rows: list[list] = []
             size = 0
             for _, _, a, b, anchor, h1, h2, pack in symbols.runs(batch):
+                broad = _wanted(anchor, wide) if wide else np.zeros(len(anchor), bool)
                 for k in np.flatnonzero(_wanted(anchor, test)).tolist():
                     key = (int(h1[k]), int(h2[k]))
                     if key in seen:
-                        counts[seen[key]] += 1
+                        rows[seen[key]][5] += 1
                         continue
-                    seen[key] = len(anchors)
+                    seen[key] = len(rows)
                     s = pack(int(a[k]), int(b[k]))
-                    anchors.append(int(anchor[k])), h1s.append(key[0]), h2s.append(key[1]), strings.append(s), counts.append(1)
+                    rows.append([key[0] if broad[k] else int(anchor[k]), bool(broad[k]), *key, s, 1])
                     size += len(s)
                 if size > 1 << 22:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((anchors, h1s, h2s, strings, counts), SENT, strict=True)], schema=SENT)
-                    seen, size, anchors, h1s, h2s, strings, counts = {}, 0, [], [], [], [], []
-            if anchors:
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((anchors, h1s, h2s, strings, counts), SENT, strict=True)], schema=SENT)
+                    yield _table(rows, SENT)
+                    seen, size, rows = {}, 0, []
+            if rows:
+                yield _table(rows, SENT)
 
     return run
 
 
+def _table(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
+
+
 def _places(symbols: Symbols, test):
     def run(batches):
         for batch in batches:
@@ -207,26 +216,22 @@ def _solve(solver: Callable, symbols: Symbols):
     """Feeds the solver with buckets, SOLVE_BYTES at a time; the rows come sorted by anchor and string.
 
     What needs no solver is answered here: a string alone in its bucket, and
-    buckets all of whose strings occur more than once. Of a bucket with more than
-    VARIANTS strings nothing is held; its windows go out one by one.
+    buckets all of whose strings occur more than once. The windows of strings
+    of wide minimisers go out one by one.
     """
     window = symbols.window
 
     def answers(buckets: list[list]):
-        rows, easy, out = [], [], []
+        rows, out = [], []
         for own in buckets:
-            hard = len(own) > 1 and any(x[3] == 1 for x in own)
-            if hard and len(own) > INDEXED:
-                found = counted_windows([x[2] for x in own], [x[3] for x in own], window, symbols.kind)
-                out += [(x[0], x[1], spans) for x, spans in zip(own, found, strict=True) if spans]
+            if len(own) > 1 and any(x[3] == 1 for x in own):
+                rows += own
             else:
-                (rows if hard else easy).extend(own)
-        out += [(x[0], x[1], [0, -1]) for x in easy if x[3] > 1]
+                out += [(x[0], x[1], [0, -1], None, None, None) for x in own if x[3] > 1]
         if rows:
             found = solver([x[2] for x in rows], [x[3] for x in rows], window)
-            out += [(x[0], x[1], spans) for x, spans in zip(rows, found, strict=True) if spans]
-        none = [None] * len(out)
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(([x[0] for x in out], [x[1] for x in out], [x[2] for x in out], none, none, none), SOLVED, strict=True)], schema=SOLVED)
+            out += [(x[0], x[1], spans, None, None, None) for x, spans in zip(rows, found, strict=True) if spans]
+        return _table(out, SOLVED)
 
     def one_by_one(rows: list):
         data = np.frombuffer(b"".join(x[2] for x in rows), np.uint8)
@@ -238,32 +243,31 @@ def _solve(solver: Callable, symbols: Symbols):
         return pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), spans, pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), pa.array(n)], schema=SOLVED)
 
     def run(batches):
-        held, size, wide, anchor = [], 0, False, None
+        held, apart, size, anchor = [], [], 0, None
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in ("anchor", "h1", "h2", "s", "n")]
-            for a, h1, h2, s, n in zip(*columns, strict=True):
-                if a != anchor:
-                    if wide:
-                        yield one_by_one(held.pop())
-                    if size > SOLVE_BYTES:
-                        if held:
-                            yield answers(held)
-                        held, size = [], 0
-                    anchor, wide = a, False
-                    held.append([])
-                own = held[-1]
+            columns = [batch.column(k).to_pylist() for k in ("anchor", "wide", "h1", "h2", "s", "n")]
+            for a, wide, h1, h2, s, n in zip(*columns, strict=True):
+                own = apart if wide else held[-1] if held and a == anchor else None
                 if own and own[-1][0] == h1 and own[-1][1] == h2:
                     own[-1][3] += n
                     continue
-                if len(own) >= VARIANTS:
-                    # the last string stays, as its count may still grow
-                    yield one_by_one(own[:-1])
-                    held[-1] = own = own[-1:]
-                    wide = True
-                own.append([h1, h2, s, n])
+                if size > SOLVE_BYTES and (wide or a != anchor):
+                    # nothing that is held here can still grow
+                    if apart:
+                        yield one_by_one(apart)
+                    if held:
+                        yield answers(held)
+                    held, apart, size, own = [], [], 0, None
+                if wide:
+                    apart.append([h1, h2, s, n])
+                elif own is None or a != anchor:
+                    held.append([[h1, h2, s, n]])
+                else:
+                    own.append([h1, h2, s, n])
+                anchor = a if not wide else None
                 size += len(s)
-        if wide:
-            yield one_by_one(held.pop())
+        if apart:
+            yield one_by_one(apart)
         if held:
             yield answers(held)
 
@@ -312,14 +316,17 @@ def joined_spans(starts: np.ndarray, window: int) -> list[int]:
 def repeated_spans(docs: DataFrame, symbols: Symbols, solver: Callable) -> DataFrame:
     """docs: doc_id, text_key, text (no nulls) -> doc_id, text_key, spans (array of [start, end) in symbols, unordered, may overlap)."""
     shared, test = shared_keys(docs.select("text").mapInArrow(_anchor_counts(symbols), "anchor long, n long"))
-    semi = (lambda df: df) if test else (lambda df: df.join(shared, "anchor", "left_semi"))
+    hot = shared.where(F.col("n") > WIDE).select("anchor")
+    wide = bitmap(hot, always=True) if hot.head(1) else None
+    semi = (lambda df: df) if test else (lambda df: df.join(shared.select("anchor"), "anchor", "left_semi"))
     n = shuffle_partitions(docs.sparkSession)
-    sent = semi(docs.select("text").mapInArrow(_strings(symbols, test), "anchor long, h1 long, h2 long, s binary, n long"))
-    answered = sent.repartition(n, "anchor").sortWithinPartitions("anchor", "h1", "h2").mapInArrow(_solve(solver, symbols), "h1 long, h2 long, spans array<int>, w1 long, w2 long, n long")
+    sent = docs.select("text").mapInArrow(_strings(symbols, test, wide), "anchor long, wide boolean, h1 long, h2 long, s binary, n long")
+    sent = sent if test else semi(sent.where("not wide")).unionByName(sent.where("wide"))
+    answered = sent.repartition(n, "anchor").sortWithinPartitions("wide", "anchor", "h1", "h2").mapInArrow(_solve(solver, symbols), "h1 long, h2 long, spans array<int>, w1 long, w2 long, n long")
     answered = checkpointed(answered)
     solved = answered.where("w1 is null").select("h1", "h2", "spans")
     windows = answered.where("w1 is not null")
-    if not windows.isEmpty():
+    if wide:
         again = windows.groupBy("w1", "w2").agg(F.sum("n").alias("c")).where("c > 1").drop("c")
         at = windows.join(again, ["w1", "w2"]).groupBy("h1", "h2").agg(F.flatten(F.collect_list("spans")).alias("spans"))
         solved = solved.unionByName(at)
