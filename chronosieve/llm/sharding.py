@@ -80,7 +80,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g"))
     base = checkpointed(base.withColumn("h", F.xxhash64("doc_id", "g")))
-    groups = base.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    # written first, so that the joins below are plain ones, whose hot keys adaptive execution splits
+    groups = checkpointed(base.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     total = groups.agg(F.sum("n")).first()[0] or 0
     buckets = max(16, min(4096, shuffle_partitions(spark)))
     start = F.pmod("h", F.lit(shards)).cast("int").alias("label")
