@@ -7,8 +7,13 @@ valid check digit, a network address is a network address, a secret keeps length
 and case, and a name with a title becomes a name of the same gender and script.
 
 Coreference: what an entity becomes depends on the key and on its normal form
-only, so all its mentions, however written, become the same. Distinctness: the
-different entities of the whole corpus are collected by a distributed
+only, so all its mentions, however written, become the same. A name's normal form
+is its words without title, full stop and case; the title's gender only chooses the
+surrogate's ending. In a text that names somebody with a title, that person's later
+mentions without one are replaced as well: the whole name, and its last word alone.
+Not detected are names that nowhere in a text have a title.
+
+Distinctness: the different entities of the whole corpus are collected by a distributed
 aggregation, and where two would become the same, or one would become another
 that is there, all but one draw again until none collide. Names and e-mail
 addresses grow with each draw, by a syllable or by a character of the mail host, so
@@ -24,7 +29,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, load
+from .common import ascii_lower, checkpointed, load, shuffle_partitions
 
 KEY = "surrogates-1"
 # fixed values: what the entities look like
@@ -34,18 +39,32 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 ADDRESS = rf"(?<![0-9A-Za-z.])(?:{OCTET}\.){{3}}{OCTET}(?![0-9A-Za-z]|\.[0-9])"
 CARD = r"(?<![0-9A-Za-z])[0-9]{4}(?:[ \-]?[0-9]{4}){3}(?![0-9A-Za-z])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-]?[0-9]{3}[ .\-]?[0-9]{3,4}|\([0-9]{3}\) ?[0-9]{3}[ \-][0-9]{4}|[0-9]{3}-[0-9]{3}-[0-9]{4})(?![0-9A-Za-z])"
-TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"], "f": ["Mrs", "Ms", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία"]}
+TITLES = {
+    "m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"],
+    "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία"],
+    "n": ["Dr", "Prof", "Professor", "Доктор"],
+}
+#: Titles before one word of a script without capitals, and forms of address after one to four characters.
+PLAIN_TITLES = {"m": ["السيد", "מר"], "f": ["السيدة", "גברת"]}
+HONORIFICS = ["さん", "様", "氏", "先生"]
 SYLLABLES = {
     "latin": ["ba", "de", "fi", "go", "ku", "la", "me", "ni", "po", "ru", "sa", "te", "vi", "zo", "han", "mer"],
     "cyrillic": ["ба", "де", "фи", "го", "ку", "ла", "ме", "ни", "по", "ру", "са", "те", "ви", "зо", "хан", "мер"],
     "greek": ["βα", "δε", "φι", "γο", "κου", "λα", "με", "νι", "πο", "ρου", "σα", "τε", "βι", "ζο", "χαν", "μερ"],
+    "arabic": ["با", "دي", "في", "كو", "لا", "مي", "ني", "رو", "سا", "تي", "زو", "حن", "مر", "جي", "نو", "را"],
+    "hebrew": ["בא", "די", "פי", "גו", "קו", "לא", "מי", "ני", "פו", "רו", "סא", "טי", "וי", "זו", "חן", "מר"],
+    "han": ["山", "川", "田", "中", "木", "林", "森", "石", "本", "村", "島", "原", "谷", "岡", "松", "竹"],
 }
-ENDINGS = {"latin": {"m": "n", "f": "a"}, "cyrillic": {"m": "н", "f": "а"}, "greek": {"m": "ς", "f": "α"}}
+ENDINGS = {"latin": {"m": "n", "f": "a"}, "cyrillic": {"m": "н", "f": "а"}, "greek": {"m": "ς", "f": "α"}, "arabic": {"m": "ن", "f": "ة"}, "hebrew": {"m": "ן", "f": "ה"}, "han": {}}
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_PLAIN = "|".join(t for ts in PLAIN_TITLES.values() for t in ts)
+_HONORIFIC = "|".join(HONORIFICS)
 NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ADDRESS, CARD, PHONE, NAME))
+PLAIN_NAME = rf"(?<![\p{{L}}])(?:{_PLAIN}) [\p{{IsArabic}}\p{{IsHebrew}}]{{2,}}"
+HONOURED = rf"(?<![\p{{IsHan}}])\p{{IsHan}}{{1,4}}(?:{_HONORIFIC})"
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ADDRESS, CARD, PHONE, NAME, PLAIN_NAME, HONOURED))
 #: A text without this has no entity; cheaper than ANY.
-MAYBE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}"
+MAYBE = rf"@|[0-9]{{3}}|[0-9]\.[0-9]|[0-9A-Fa-f]{{32}}|(?:{_TITLE})\.? \p{{Lu}}|(?:{_PLAIN}) |(?:{_HONORIFIC})"
 DIGITS, HEX, LETTERS = "0123456789", "0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -56,10 +75,32 @@ def kind(m: Column) -> Column:
     )
 
 
+def title_of(m: Column) -> Column:
+    return F.regexp_extract(m, rf"^(?:(?:{_TITLE})\.?|{_PLAIN}) ", 0)
+
+
+def honorific_of(m: Column) -> Column:
+    return F.regexp_extract(m, rf"(?:{_HONORIFIC})$", 0)
+
+
+def named_in(m: Column) -> Column:
+    """A name without its title or form of address."""
+    return F.regexp_replace(m, rf"^(?:(?:{_TITLE})\.?|{_PLAIN}) |(?:{_HONORIFIC})$", "")
+
+
+def gender_of(m: Column) -> Column:
+    """m, f or n, by the title."""
+    out = F.lit("n")
+    for g in "mf":
+        out = F.when(m.rlike(rf"^(?:{'|'.join([*TITLES[g], *PLAIN_TITLES[g]])})\.? "), g).otherwise(out)
+    return out
+
+
 def normal(m: Column, k: Column) -> Column:
-    """The form that all mentions of an entity share."""
+    """The form that all mentions of an entity share; of a name, gender and words."""
     digits = F.regexp_replace(m, "[^0-9]", "")
-    return F.when(k.isin("card", "phone"), digits).when(k == "name", m).otherwise(ascii_lower(m))
+    name = F.concat(gender_of(m), F.lit(":"), F.lower(named_in(m)))
+    return F.when(k.isin("card", "phone"), digits).when(k == "name", name).otherwise(ascii_lower(m))
 
 
 def _byte(hexes: Column, i: Column) -> Column:
@@ -97,7 +138,8 @@ def _luhn(digits: Column) -> Column:
 
 
 def keyed_digest(k: Column, norm: Column, draw: Column, key: str) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), k, norm, draw.cast("string")), 256)
+    # of a name only the words count, so that both genders begin alike
+    return F.sha2(F.concat_ws("|", F.lit(key), k, F.when(k == "name", F.substr(norm, F.lit(3))).otherwise(norm), draw.cast("string")), 256)
 
 
 def core(k: Column, norm: Column, hexes: Column, draw: Column) -> Column:
@@ -110,23 +152,23 @@ def core(k: Column, norm: Column, hexes: Column, draw: Column) -> Column:
     unchecked = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.lit("0"))
     checked = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.pmod(10 - _luhn(unchecked), F.lit(10)).cast("string"))
     phone = _map_characters(norm, hexes, keep=F.when(F.length(norm) > 10, F.length(norm) - 10).otherwise(0))
-    script = F.when(norm.rlike(r"\p{IsCyrillic}"), "cyrillic").when(norm.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
-    female = norm.rlike(rf"^(?:{'|'.join(TITLES['f'])})\b|^(?:Госпожа|Κυρία)")
-    title = F.regexp_extract(norm, rf"^(?:{_TITLE})\.? ", 0)
+    scripts = {"cyrillic": "IsCyrillic", "greek": "IsGreek", "arabic": "IsArabic", "hebrew": "IsHebrew", "han": "IsHan"}
 
     def named(s: str) -> Column:
-        words = []
+        words, syllables = [], F.array(*map(F.lit, SYLLABLES[s]))
         for w in (0, 1):
-            parts = [F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.pmod(_byte(hexes, F.lit(4 * w + j)), F.lit(len(SYLLABLES[s]))) + 1) for j in (1, 2, 3)]
-            end = F.when(female, ENDINGS[s]["f"]).otherwise(ENDINGS[s]["m"]) if w == 0 else F.lit("")
+            parts = [F.element_at(syllables, F.pmod(_byte(hexes, F.lit(4 * w + j)), F.lit(len(SYLLABLES[s]))) + 1) for j in (1, 2, 3)]
             if w == 0:
-                syllable = lambda c: F.element_at(F.array(*map(F.lit, SYLLABLES[s])), F.instr(F.lit(HEX), c))
-                parts.append(F.when(draw > 0, F.array_join(F.transform(F.split(more, "(?!^)"), syllable), "")).otherwise(""))
-            words.append(F.initcap(F.concat(*parts, end)))
-        two = F.size(F.split(norm, " ")) > 2
-        return F.when(two, F.concat_ws(" ", *words)).otherwise(words[0])
-
-    name = F.concat(title, F.when(script == "cyrillic", named("cyrillic")).when(script == "greek", named("greek")).otherwise(named("latin")))
+                longer = F.array_join(F.transform(F.split(more, "(?!^)"), lambda c: F.element_at(syllables, F.instr(F.lit(HEX), c))), "")
+                parts.append(F.when(draw > 0, longer).otherwise(""))
+                parts += [F.when(F.substr(norm, F.lit(1), F.lit(1)) == g, e).otherwise("") for g, e in ENDINGS[s].items()]
+            words.append(F.concat(*parts))
+        return F.when(norm.contains(" "), F.concat_ws(" ", *words)).otherwise(words[0])
+
+    name = named("latin")
+    for s, script in scripts.items():
+        name = F.when(norm.rlike(rf"\p{{{script}}}"), named(s)).otherwise(name)
+    name = F.concat(F.substr(norm, F.lit(1), F.lit(2)), name)
     return (
         F.when(k == "email", email).when(k == "address", F.concat_ws(".", *[o.cast("string") for o in octets])).when(k == "secret", _map_characters(norm, hexes, HEX))
         .when(k == "card", F.when(_luhn(norm) == 0, checked).otherwise(card)).when(k == "phone", phone).otherwise(name)
@@ -138,7 +180,10 @@ def rendered(m: Column, k: Column, c: Column) -> Column:
     n = lambda i: F.length(F.regexp_replace(F.substr(m, F.lit(1), i + 1), "[^0-9]", ""))
     spaced = F.array_join(F.transform(F.split(m, "(?!^)"), lambda x, i: F.when(x.between("0", "9"), F.substr(c, n(i), F.lit(1))).otherwise(x)), "")
     capitals = ~m.rlike("[a-z]") & m.rlike("[A-Z]")
-    return F.when(k.isin("card", "phone"), spaced).when(k.isin("email", "secret") & capitals, F.upper(c)).otherwise(c)
+    words = F.substr(c, F.lit(3))
+    words = F.when(named_in(m).rlike(r"\p{Ll}"), F.initcap(words)).otherwise(F.upper(words))
+    name = F.concat(title_of(m), words, honorific_of(m))
+    return F.when(k.isin("card", "phone"), spaced).when(k.isin("email", "secret") & capitals, F.upper(c)).when(k == "name", name).otherwise(c)
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -149,6 +194,8 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
     """kind, norm, draw of the entities that must not take their first draw; empty when none collide."""
+    # dealt out anew: what adaptive execution has put into one partition would be drawn by one task
+    found = found.repartition(shuffle_partitions(found.sparkSession), "kind", "norm")
     real = found.select("kind", F.col("norm").alias("core"))
     first = Window.partitionBy("kind", "core").orderBy(F.xxhash64("norm"), "norm")
     open_, taken, redrawn = found.select("kind", "norm"), None, None
@@ -174,7 +221,8 @@ def resolved(found: DataFrame, key: str = KEY) -> DataFrame:
 def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts with surrogates.
 
-    Returns a row for every row of `docs`: doc_id, n_entities (mentions), kinds
+    Returns a row for every row of `docs`: doc_id, n_entities (mentions, those of names
+    without their title too), kinds
     (sorted, joined by commas), changed, text. A null text stays null with 0
     entities; texts without entities stay as they are. Rows that repeat an id or have
     none are documents of their own. An empty table gives an empty result; other
@@ -203,10 +251,27 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), x["n"].alias("n"), x["d"].alias("d"), keyed_digest(x["k"], x["n"], x["d"], key).alias("h")))
     steps = F.transform(steps, lambda x: F.struct(x["m"].alias("m"), x["k"].alias("k"), core(x["k"], x["n"], x["h"], x["d"]).alias("c")))
     made = F.transform(steps, lambda x: rendered(x["m"], x["k"], x["c"]))
-    told = F.zip_with(F.split("text", ANY, -1), made, lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
     some = F.size("found") > 0
+    nothing = F.array().cast("array<string>")
+    rows = rows.select("*", F.explode(F.array(F.when(some, made).otherwise(nothing))).alias("made"))
+    # persons named in this text: how they are called without a title, and what that becomes
+    names = F.filter(F.zip_with("found", "made", lambda m, s: F.when(kind(m) == "name", F.struct(named_in(m).alias("name"), named_in(s).alias("new")))), lambda x: x.isNotNull())
+    last = lambda x: F.struct(F.substring_index(x["name"], " ", -1).alias("name"), F.substring_index(x["new"], " ", -1).alias("new"))
+    rows = rows.select("*", F.explode(F.array(names)).alias("names")).withColumn("persons", F.concat("names", F.transform(F.filter("names", lambda x: x["name"].contains(" ")), last)))
+    alone = lambda n: F.concat(F.lit(r"(?<!\p{L})"), n, F.lit(r"(?!\p{L})"))  # noqa: E731  names are letters and spaces
+
+    def replacing(acc: Column, x: Column) -> Column:
+        hits = F.regexp_count(acc["text"], alone(x["name"]))
+        return F.struct(F.when(hits > 0, F.regexp_replace(acc["text"], alone(x["name"]), x["new"])).otherwise(acc["text"]).alias("text"), (acc["hits"] + hits).alias("hits"))
+
+    # a part between entities, and how often it calls a person without a title
+    parts = F.transform(F.split("text", ANY, -1), lambda p: F.aggregate("persons", F.struct(p.alias("text"), F.lit(0).alias("hits")), replacing))
+    rows = rows.select("*", F.explode(F.array(F.when(F.size("persons") > 0, parts))).alias("parts"))
+    pieces = F.when(F.col("parts").isNotNull(), F.transform("parts", lambda p: p["text"])).otherwise(F.split("text", ANY, -1))
+    told = F.zip_with(pieces, "made", lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
+    hits = F.when(F.col("parts").isNotNull(), F.aggregate("parts", F.lit(0), lambda n, p: n + p["hits"])).otherwise(0)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", kind))), ",")
-    return rows.select("doc_id", F.size("found").cast("long").alias("n_entities"), kinds.alias("kinds"), some.alias("changed"), F.when(some, F.array_join(told, "")).otherwise(F.col("text")).alias("text"))
+    return rows.select("doc_id", (F.size("found") + hits).cast("long").alias("n_entities"), kinds.alias("kinds"), some.alias("changed"), F.when(some, F.array_join(told, "")).otherwise(F.col("text")).alias("text"))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
