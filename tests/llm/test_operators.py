@@ -77,20 +77,20 @@ def brute_repeats(sequences, window):
         yield covered
 
 
-@pytest.mark.parametrize("limits", [(4096, 16384, 1 << 19), (2, 3, 3000)])
+@pytest.mark.parametrize("limits", [(8192, 1 << 19), (3, 3000)])
 def test_repeated_words(docs, limits, monkeypatch):
     df, rows = docs
-    monkeypatch.setattr(repeats, "INDEXED", limits[0]), monkeypatch.setattr(repeats, "VARIANTS", limits[1]), monkeypatch.setattr(vectors, "SLICE", limits[2])
+    monkeypatch.setattr(repeats, "WIDE", limits[0]), monkeypatch.setattr(vectors, "SLICE", limits[1])
     seqs = [[w.encode() for w in words(r[1])] for r in rows]
     want = counted((r[0], len(s), sum(c), hashlib.sha256(b" ".join(w for w, x in zip(s, c, strict=True) if not x)).hexdigest()) for r, s, c in zip(rows, seqs, brute_repeats(seqs, 12), strict=True))
     got = substring_dedup.repeated_words(df, window=12, gram=4).collect()
     assert counted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == want
 
 
-@pytest.mark.parametrize("limits", [(4096, 16384, 1 << 19), (2, 3, 3000)])
+@pytest.mark.parametrize("limits", [(8192, 1 << 19), (3, 3000)])
 def test_repeated_bytes(docs, limits, monkeypatch):
     df, rows = docs
-    monkeypatch.setattr(repeats, "INDEXED", limits[0]), monkeypatch.setattr(repeats, "VARIANTS", limits[1]), monkeypatch.setattr(vectors, "SLICE", limits[2])
+    monkeypatch.setattr(repeats, "WIDE", limits[0]), monkeypatch.setattr(vectors, "SLICE", limits[1])
     seqs = [(r[1] or "").encode() for r in rows]
     want = counted(
         (r[0], len(s), sum(c), sum(x and not (k and c[k - 1]) for k, x in enumerate(c)), hashlib.sha256(bytes(b for b, x in zip(s, c, strict=True) if not x)).hexdigest())
@@ -121,7 +121,8 @@ def test_run_index_against_brute_force():
         assert suffix_dedup.RunIndex(t).matching_statistics().tolist() == [max((common(i, j) for j in range(n) if j != i), default=0) for i in range(n)]
 
 
-def brute_components(rows, k, percent):
+def brute_labels(rows, k, percent):
+    """A number for each row, equal for rows of one component."""
     sets = []
     for r in rows:
         w = words((r[1] or "").translate(FOLD))
@@ -138,11 +139,16 @@ def brute_components(rows, k, percent):
             both = len(a & sets[j])
             if both and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 root[find(i)] = find(j)
-    members = collections.defaultdict(list)
-    for i in range(len(rows)):
-        members[find(i)].append(rows[i][0])
-    smallest = {k: min((x for x in v if x is not None), default=None) for k, v in members.items()}
-    return counted((r[0], len(s), smallest[find(i)]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
+    return [find(i) for i in range(len(rows))]
+
+
+def brute_components(rows, k, percent):
+    label, members = brute_labels(rows, k, percent), collections.defaultdict(list)
+    for r, c in zip(rows, label, strict=True):
+        members[c].append(r[0])
+    smallest = {c: min((x for x in v if x is not None), default=None) for c, v in members.items()}
+    size = lambda w: len({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))}) if w else 0
+    return counted((r[0], size(words((r[1] or "").translate(FOLD))), smallest[c]) for r, c in zip(rows, label, strict=True))
 
 
 @pytest.mark.parametrize("cap,frequent,k,percent", [(256, 48, 3, 90), (2, 1, 5, 80)])
@@ -315,6 +321,38 @@ def test_toxicity_on_held_out(spark, sf):
     assert sum(hits) / len(hits) > 0.85 and sum(false) / len(false) < 0.01
 
 
+def plain_score(text, model):
+    """The score of a text, window by window with zstandard alone: no memory, no shortcuts."""
+    import zstandard
+
+    def length(content, window):
+        shape = zstandard.ZstdCompressionParameters.from_level(13, source_size=64, dict_size=len(content), write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS)
+        known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=known, compression_params=shape).compress(b"\n<of> ~" + window.encode() + b"\n<of> ~"))
+
+    gains = []
+    for run in (text or "").lower().split():
+        word = run.strip(toxicity.EDGES)
+        for w in [word] if 0 < len(word) <= 40 else [word[k : k + 16] for k in range(0, len(word) - 12, 4)] if word else []:
+            gains.append(length(model.distance.contents[0], w) - length(model.distance.contents[1], w))
+    n, top = len(gains), sorted([*gains, 0, 0, 0], reverse=True)[:3]
+    x = [*top, 10 * sum(g for g in gains if g >= 3) / (n + 20), 10 * sum(g for g in gains if g >= 6) / (n + 20), np.log1p(n), top[0] * np.log1p(n), 1]
+    mean, scale, weight = model.weights
+    return 1 / (1 + np.exp(-sum((v - m) / s * w for v, m, s, w in zip(x, mean, scale, weight, strict=True))))
+
+
+def test_toxicity_against_plain_compression(spark):
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choices("abcdefgh", k=rnd.randint(2, 8)))
+    ordinary = [" ".join(word() for _ in range(40)) for _ in range(60)]
+    toxic = [" ".join([*(word() for _ in range(40)), *rnd.sample(["vilenessy", "rottenous", "zounderly"], 2)]) for _ in range(30)]
+    model = toxicity.fit([t.encode() for t in toxic], [t.encode() for t in ordinary])
+    texts = [*toxic[:6], *ordinary[:6], "", None, "«Rottenous!» said ¿zounderly", "x" * 90 + "vilenessy" * 3, "日本語" * 30, "VILENESSY vilenessy"]
+    got = {r.doc_id: r for r in toxicity.score_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
+    assert all(abs(got[k].score - plain_score(t, model)) < 1e-9 for k, t in enumerate(texts))
+    assert [got[k].predicted for k in range(12)] == [1] * 6 + [0] * 6 and got[14].predicted == got[17].predicted == 1
+
+
 def test_toxicity_edges(edge, empty):
     df, rows = edge
     for model in (toxicity.fit([], []), toxicity.fit([b"you idiot"] * 8, [b"fine day"] * 8)):
@@ -375,6 +413,46 @@ def test_surrogates_never_run_out(spark):
     assert all(re.fullmatch(r"Mr [A-Z][a-z]+n|[a-z_]@mail\d[0-9a-f]*\.example\.org", t) for t in got)
 
 
+def test_surrogates_of_one_person(spark):
+    texts = [
+        "Mr. Bob Smith and Mr Bob Smith, then Bob Smith, MR SMITH? Smith and Bob; Smithson stays",
+        "Dr Alice Jones met Prof. Alice Jones and Mrs Jones",
+        "Mr BOB SMITH shouts", "Bob Smith without a title stays", "田中さん and 田中さん, السيد محمد and מר כהן",
+    ]
+    got = {r.doc_id: r for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    first = re.fullmatch(r"Mr\. (\w+n) (\w+) and Mr (\w+) (\w+), then (\w+) (\w+), MR SMITH\? (\w+) and Bob; Smithson stays", got[0].text)
+    one, two = first.group(1), first.group(2)
+    assert first.groups() == (one, two, one, two, one, two, two) and got[0].n_entities == 4 and (one, two) != ("Bob", "Smith")
+    second = re.fullmatch(r"Dr (\w+ \w+) met Prof\. (\w+ \w+) and Mrs (\w+a)", got[1].text)
+    assert second.group(1) == second.group(2) != "Alice Jones"
+    assert got[2].text == f"Mr {one.upper()} {two.upper()} shouts"
+    assert got[3].text == texts[3] and not got[3].changed
+    other = re.fullmatch(r"(\w+)さん and (\w+)さん, السيد (\w+) and מר (\w+)", got[4].text)
+    assert other.group(1) == other.group(2) != "田中" and other.group(3) != "محمد" and other.group(4) != "כהן" and got[4].n_entities == 4
+
+
+def test_surrogates_against_brute_force(spark):
+    """Over a whole small corpus: one surrogate for each entity, different ones for different entities, and none that was there."""
+    rnd = random.Random(6)
+    pick = lambda *x: rnd.choice(x)
+    digits = lambda n: "".join(rnd.choices("0123456789", k=n))
+    make = [
+        lambda: f"{pick('a', 'bo', 'cy7')}@{pick('x', 'y')}{digits(1)}.{pick('org', 'com')}", lambda: f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}",
+        lambda: ".".join(str(rnd.randint(1, 254)) for _ in range(4)), lambda: f"+1 ({digits(3)}) {digits(3)}-{digits(4)}",
+        lambda: f"{pick('Mr', 'Mrs', 'Mr.', 'Dr')} {pick('Ann', 'Bea', 'Cid')} {pick('Ash', 'Birch', 'Cedar')}", lambda: "".join(rnd.choices("0123456789abcdef", k=40)),
+    ]
+    entities = [rnd.choice(make)() for _ in range(300)]
+    rows = [(k, f"x {a} y {b} z") for k, (a, b) in enumerate(zip(entities, entities[::-1], strict=True))]
+    became = {}
+    for r in surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        parts = re.fullmatch("x (.*) y (.*) z", r.text, re.S).groups()
+        for e, new in zip(re.fullmatch("x (.*) y (.*) z", rows[r.doc_id][1]).groups(), parts, strict=True):
+            became.setdefault(e.replace(".", "") if e[0] in "MD" else e, set()).add(new.replace(".", "") if e[0] in "MD" else new)
+    assert all(len(v) == 1 for v in became.values())
+    news = [next(iter(v)) for v in became.values()]
+    assert len(set(news)) == len(became) and not set(news) & set(became)
+
+
 def test_surrogates_edges(docs, empty):
     df, rows = docs
     got = surrogates.replaced(df).collect()
@@ -390,6 +468,7 @@ def test_empty_tables(empty):
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0 and sharding.sharded(empty).count() == 0
     vectors_ = empty.select(F.col("doc_id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"))
     assert nearest.nearest(vectors_, vectors_).count() == 0
+    assert tokenize.tokenized(empty, tokenize.Codec.from_file(tokenize.default_model())).count() == 0
 
 
 def test_pipeline_stages(spark, sf):
@@ -404,6 +483,54 @@ def test_pipeline_stages(spark, sf):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count() > 0
 
 
+def test_one_of_each_on_edges(edge):
+    df, rows = edge
+    kept = ngram_join.one_of_each(df, 5, 80)
+    assert kept.columns == df.columns
+    label, groups = [c for c in brute_labels(rows, 5, 80)], collections.defaultdict(list)
+    for r, c in zip(rows, label, strict=True):
+        if words(r[1]):
+            groups[c].append(r)
+    want = [min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()]
+    # without words every pair of id and text stays
+    want += [i for i, _ in {(r[0], r[1] or "") for r in rows if not words(r[1])}]
+    assert counted(r.doc_id for r in kept.collect()) == counted(want)
+
+
+def test_mixed_on_edges(edge):
+    df, rows = edge
+    same = ["doc_id", "source", "key"]
+    want = mixing.decisions(df).groupBy(*same).agg(F.sum("copies").alias("n")).where("n > 0")
+    out = mixing.mixed(df)
+    assert out.columns == df.columns
+    got = out.groupBy("doc_id", "source", F.xxhash64("text").alias("key")).agg(F.count(F.lit(1)).alias("n"))
+    assert counted(map(tuple, got.collect())) == counted(map(tuple, want.collect()))
+
+
+def test_hot_groups_of_near_copies(spark):
+    """Many copies that differ in one word, around two bases, and a chain of copies each like the one before."""
+    rnd = random.Random(9)
+    base = [[f"w{rnd.randint(0, 9999)}" for _ in range(60)] for _ in range(2)]
+    rows = [(k, " ".join(f"x{k}" if j == rnd.randint(0, 59) else w for j, w in enumerate(base[k % 2]))) for k in range(150)]
+    chain = [f"c{k}" for k in range(120)]
+    rows += [(1000 + k, " ".join(chain[4 * k : 4 * k + 60])) for k in range(15)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = counted((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.linked_documents(df, 3, 80).collect())
+    assert got == brute_components(rows, 3, 80)
+
+
+def test_pipeline_stages_on_edges(spark, edge, empty, sf):
+    import corpus_pipeline
+
+    for df in (edge[0], empty):
+        docs = df
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = stage(spark, docs, sf)
+            assert docs.columns == df.columns, name
+            docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() == docs.count()
+
+
 @pytest.mark.parametrize("name", ["op2_nearest", "op6_ngram_join", "op7_exact_dedup", "op8_suffix_dedup", "op10_substring_dedup"])
 def test_oracles(spark, sf, name):
     import duckdb
