@@ -8,11 +8,19 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def direction(before, after, share: float = 0.2) -> Column:
-    """rising / falling / stable by relative change; from 0 or less, any positive value is a rise."""
+def direction(before, after, share: float = 0.2, base: str = "positive") -> Column:
+    """rising / falling / stable by relative change.
+
+    base says when there is no relative change: `positive`, from 0 or less any
+    positive value is a rise; `nonzero`, only from 0; `product`, never, as the
+    values are compared with multiples of the first.
+    """
     b, a = _col(before), _col(after)
+    if base == "product":
+        return F.when(a > b * (1 + share), "rising").when(a < b * (1 - share), "falling").otherwise("stable")
+    none = b <= 0 if base == "positive" else b == 0
     change = (a - b) / b
-    return F.when(b <= 0, F.when(a > 0, "rising").otherwise("stable")).when(change > share, "rising").when(change < -share, "falling").otherwise("stable")
+    return F.when(none, F.when(a > 0, "rising").otherwise("stable")).when(change > share, "rising").when(change < -share, "falling").otherwise("stable")
 
 
 def direction_in_range(before, after, low, high, share: float = 0.15) -> Column:
@@ -45,6 +53,53 @@ def translated(value, mean_a, sd_a, mean_b, sd_b) -> Column:
     return _col(mean_b) + (_col(value) - _col(mean_a)) / _col(sd_a) * _col(sd_b)
 
 
+def translated_like(value, mean_a, sd_a, mean_b, sd_b) -> Column:
+    """`translated`, rounded to whole numbers where the value is one, else to one digit."""
+    v, t = _col(value), translated(value, mean_a, sd_a, mean_b, sd_b)
+    return F.when(v == F.floor(v), F.round(t, 0)).otherwise(F.round(t, 1))
+
+
+def translated_or_middle(value, mean_a, sd_a, mean_b, sd_b, low, high) -> Column:
+    """The translation to one digit where it lies in the range of b, else the middle of that range; the middle also without a deviation."""
+    lo, hi = _col(low), _col(high)
+    t = F.round(translated(value, mean_a, F.nullif(_col(sd_a), F.lit(0)), mean_b, sd_b), 1)
+    return F.when(t.between(lo, hi), t).otherwise(F.round((lo + hi) / 2, 2))
+
+
+def range_side(value, low, high) -> Column:
+    return F.when(_col(value) > _col(high), "HIGH").when(_col(value) < _col(low), "LOW").otherwise("NORMAL")
+
+
+def percent_outside(value, low, high) -> Column:
+    """How far a value lies from its nearer limit, the upper one if it is above it, in percent of that limit."""
+    limit = F.when(_col(value) > _col(high), _col(high)).otherwise(_col(low))
+    return F.abs(_col(value) - limit) / limit * 100
+
+
+def rescaled_age(age, kind, factors: dict[str, float]) -> Column:
+    """The age in years of another kind, at least 1; unchanged for kinds without a factor. factors: years for one human year."""
+    out = _col(age).cast("double")
+    for k, f in factors.items():
+        out = F.when(_col(kind) == k, F.greatest(F.lit(1.0), F.round(_col(age) * f))).otherwise(out)
+    return out
+
+
+def renamed(value, kind, names: dict[str, dict[str, str]], default: str) -> Column:
+    """What a value is called for a kind."""
+    out = F.lit(default)
+    for k, own in names.items():
+        for v, n in own.items():
+            out = F.when((_col(kind) == k) & (_col(value) == v), n).otherwise(out)
+    return out
+
+
+def overridden(struct: Column, **fields) -> Column:
+    """A copy of a struct with some fields set; the original stays."""
+    for k, v in fields.items():
+        struct = struct.withField(k, v if isinstance(v, Column) else F.lit(v))
+    return struct
+
+
 def severity_bin(score) -> Column:
     s = _col(score)
     return F.when(s < 4, "mild").when(s < 7, "moderate").when(s < 10, "severe").otherwise("critical")
@@ -57,3 +112,14 @@ def difficulty(n_context) -> Column:
 
 def gap_bonus(hours) -> Column:
     return F.when(_col(hours).between(6, 24), 1.0).otherwise(0.5)
+
+
+def relative_gap(before, after) -> Column:
+    """How far the first value misses the second, relative to the second; 1 or 0 where that is not positive."""
+    b, a = _col(before), _col(after)
+    return F.when(a > 0, F.abs(a - b) / a).otherwise(F.when(a != b, 1.0).otherwise(0.0))
+
+
+def window_score(n_signals, error, hours) -> Column:
+    """3 for each signal between, twice the error of the last value, and the bonus for the gap."""
+    return 3 * _col(n_signals) + 2 * _col(error) + gap_bonus(hours)

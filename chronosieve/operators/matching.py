@@ -2,15 +2,53 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+from .cohort import either_side
+from .ranks import numbered, quantiles
+
 
 def imputed(wide: DataFrame, columns: list[str]) -> DataFrame:
     """Missing covariates become the column's median, 0 if it has none."""
-    medians = wide.agg(*[F.median(c).alias(f"__m_{c}") for c in columns])
-    return wide.crossJoin(F.broadcast(medians)).select(*[c for c in wide.columns if c not in columns], *[F.coalesce(F.col(c), F.col(f"__m_{c}"), F.lit(0.0)).alias(c) for c in columns])  # one row on the right
+    long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select("c.*")
+    found = {r.covariate: r.quantile for r in quantiles(long, ["covariate"], "x", [0.5]).collect()}  # a row for each column
+    return wide.select(*[c for c in wide.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(float(found.get(c, 0.0)))).alias(c) for c in columns])
+
+
+def varying(wide: DataFrame, columns: list[str]) -> list[str]:
+    """The columns with more than one value; constant covariates tell nothing."""
+    ends = wide.agg(*[F.min(c).alias(f"a_{c}") for c in columns], *[F.max(c).alias(f"b_{c}") for c in columns]).first()
+    return [c for c in columns if ends[f"a_{c}"] != ends[f"b_{c}"]]
+
+
+def smd(a: Column, b: Column, sd_a: Column, sd_b: Column) -> Column:
+    """Standardised difference of two means with assumed deviations; 0 if both are 0."""
+    pooled = F.sqrt((sd_a * sd_a + sd_b * sd_b) / 2)
+    return F.when(pooled == 0, 0.0).otherwise(F.abs(a - b) / pooled)
+
+
+def hamming(a: list[Column], b: list[Column]) -> Column:
+    return sum((F.when(~x.eqNullSafe(y), 1).otherwise(0) for x, y in zip(a, b, strict=True)), F.lit(0))
+
+
+def euclidean(a: list[Column], b: list[Column]) -> Column:
+    return F.sqrt(sum(((x - y) * (x - y) for x, y in zip(a, b, strict=True)), F.lit(0.0)))
+
+
+def trends_compatible(da: Column, sa: Column, db: Column, sb: Column, most: float = 0.2) -> Column:
+    """One direction, and slopes that differ by at most a fifth of the larger (tiny ones do); true where a side has none."""
+    largest = F.greatest(F.abs(sa), F.abs(sb))
+    fits = (da == db) & ((largest < 0.001) | (F.abs(sa - sb) <= most * largest))
+    return F.when(da.isNull() | sa.isNull() | db.isNull() | sb.isNull(), True).otherwise(fits)
+
+
+def slope_gap(sa: Column, sb: Column) -> Column:
+    """Difference of two slopes relative to the larger; 0 for tiny slopes and where a side has none."""
+    return F.coalesce(F.when(F.abs(sa) + F.abs(sb) > 0.001, F.abs(sa - sb) / F.greatest(F.abs(sa), F.abs(sb))), F.lit(0.0))
 
 
 def standardised(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -28,76 +66,141 @@ def balance(rows: DataFrame, treated: Column, columns: list[str]) -> DataFrame:
     return g.select("covariate", (F.abs(F.col("ma") - F.col("mb")) / (F.sqrt((F.col("va") + F.col("vb")) / 2) + 1e-9)).alias("smd"))
 
 
-def candidate_pairs(episodes: DataFrame, stratum: str, kind: str, ident: str, flags: list[str], slope: str = "slope", severity: str = "severity", cell: Column | None = None) -> DataFrame:
-    """Pairs of episodes of different kinds in one stratum with compatible trends, and their score.
+def candidate_pairs(episodes: DataFrame, stratum: str, kind: str, ident: str, flags: list[str], trends: list[tuple[str, str]], severity: str = "severity", cell: Column | None = None) -> DataFrame:
+    """Pairs of episodes of different kinds in one stratum with compatible trends, and their score, lower for better ones.
 
-    score = 10 * Hamming distance of the flags + severity difference + 5 * slope
-    difference. Trends are compatible if they have one sign and differ by at most
-    a fifth of the larger. `cell` narrows the join to equal cells where strata are large.
+    score = 10 * Hamming distance of the flags + severity difference + 5 * relative
+    slope difference of each trend. trends: (direction, slope) columns of each
+    measurement; null where an episode lacks it. The first trend also narrows the
+    join: compatible slopes lie in equal or neighbouring cells of their logarithm
+    (tiny slopes in one of their own, missing ones meet all).
+    """
+    (d0, s0), *_ = trends
+    width = math.log(1.2501)
+    own = F.when(F.abs(s0) < 0.001, F.lit(-10_000)).otherwise(F.floor(F.log(F.abs(s0)) / width).cast("int"))
+    # a slope just over the limit may meet one just under it
+    edge = F.abs(s0).between(0.001, 0.00126)
+    cells = F.when(F.abs(s0) < 0.001, F.array(own, F.floor(F.log(F.lit(0.001)) / width).cast("int"), F.floor(F.log(F.lit(0.00126)) / width).cast("int"))).otherwise(F.array(own - 1, own, own + 1))
+    cells = F.array_distinct(F.when(edge, F.concat(cells, F.array(F.lit(-10_000)))).otherwise(cells))
+    has = F.col(d0).isNotNull() & F.col(s0).isNotNull()
+    base = episodes.withColumn("__more", cell if cell is not None else F.lit(0))
+    b = base.alias("b")
+    key = (F.col(f"a.{stratum}") == F.col(f"b.{stratum}")) & (F.col("a.__more") == F.col("b.__more"))
+    rest = F.col(f"a.{kind}") < F.col(f"b.{kind}")
+    for d, s in trends:
+        rest = rest & trends_compatible(F.col(f"a.{d}"), F.col(f"a.{s}"), F.col(f"b.{d}"), F.col(f"b.{s}"))
+    near = base.where(has).withColumn("__cell", F.explode(cells)).alias("a").join(base.where(has).withColumn("__cell", own).alias("b"), key & (F.col("a.__cell") == F.col("b.__cell")) & rest)
+    none = base.where(~has)
+    score = 10.0 * hamming([F.col(f"a.{c}") for c in flags], [F.col(f"b.{c}") for c in flags]) + F.abs(F.col(f"a.{severity}") - F.col(f"b.{severity}"))
+    for _, s in trends:
+        score = score + 5.0 * slope_gap(F.col(f"a.{s}"), F.col(f"b.{s}"))
+    out = lambda df: df.select(F.col(f"a.{stratum}").alias(stratum), F.col(f"a.{ident}").alias("a_id"), F.col(f"b.{ident}").alias("b_id"), F.col(f"a.{kind}").alias("a_kind"), F.col(f"b.{kind}").alias("b_kind"), hamming([F.col(f"a.{c}") for c in flags], [F.col(f"b.{c}") for c in flags]).cast("long").alias("hamming"), score.alias("score"))
+    one = out(none.alias("a").join(b, key & rest))
+    two = out(base.where(has).alias("a").join(none.alias("b"), key & rest))
+    return out(near).unionByName(one).unionByName(two)
+
+
+def settled(candidates: DataFrame, group: list[str], a_order: list[str], b_order: list[str], capacity: int = 1) -> DataFrame:
+    """Pairs (a_id, b_id) that no two sides would leave for each other: every a has one partner at most, every b `capacity`.
+
+    In each round every a asks its best partner that is left, every b keeps its best
+    askers, and pairs that a full b would refuse go. With one common order of the
+    pairs this is greedy matching in that order; with one common order of the a's
+    it is the choice of one a after another. Rounds are joins and windows on
+    (group, id), so a large group is not one task's work.
     """
-    e = episodes.withColumn("__cell", cell if cell is not None else F.lit(0))
-    a, b = e.alias("a"), e.alias("b")
-    sa, sb = F.col(f"a.{slope}"), F.col(f"b.{slope}")
-    compatible = (F.signum(sa) == F.signum(sb)) & (F.abs(sa - sb) <= 0.2 * F.greatest(F.abs(sa), F.abs(sb)))
-    ham = sum((F.when(F.col(f"a.{c}") != F.col(f"b.{c}"), 1).otherwise(0) for c in flags), F.lit(0))
-    joined = a.join(b, (F.col(f"a.{stratum}") == F.col(f"b.{stratum}")) & (F.col("a.__cell") == F.col("b.__cell")) & (F.col(f"a.{kind}") < F.col(f"b.{kind}")) & compatible)
-    return joined.select(F.col(f"a.{stratum}").alias(stratum), F.col(f"a.{ident}").alias("a_id"), F.col(f"b.{ident}").alias("b_id"), F.col(f"a.{kind}").alias("a_kind"), F.col(f"b.{kind}").alias("b_kind"), ham.cast("long").alias("hamming"), (10.0 * ham + F.abs(F.col(f"a.{severity}") - F.col(f"b.{severity}")) + 5 * F.abs(sa - sb)).alias("score"))
+    left = saved(candidates)
+    ask = Window.partitionBy(*group, "a_id").orderBy(*a_order)
+    keep = Window.partitionBy(*group, "b_id").orderBy(*b_order)
+    while True:
+        asks = left.withColumn("__r", F.row_number().over(ask)).where("__r = 1").drop("__r")
+        ranked = saved(asks.withColumn("__k", F.row_number().over(keep)))
+        if not ranked.where(F.col("__k") > capacity).head(1):
+            return ranked.where(F.col("__k") <= capacity).drop("__k")
+        # the last that a full b keeps: whatever it likes less has no chance any more
+        last = ranked.where(F.col("__k") == capacity).select(*group, "b_id", F.struct(*b_order).alias("__last"))
+        rest = left.join(last, [*group, "b_id"], "left").where(F.col("__last").isNull() | (F.struct(*b_order) <= F.col("__last")))
+        left = saved(rest.select(*candidates.columns))
 
 
 def greedy_pairs(candidates: DataFrame, group: list[str]) -> DataFrame:
-    """One-to-one pairs in score order within each group; earlier picks exclude later ones, so a group is one task's work."""
-    types = dict(candidates.dtypes)
+    """One-to-one pairs in score order within each group; earlier picks exclude later ones."""
+    order = ["score", "a_id", "b_id"]
+    return settled(candidates.select(*group, *order), group, order, order).select(*group, "a_id", "b_id", "score")
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_a, used_b, rows = set(), set(), []
-        for r in pdf.sort_values(["score", "a_id", "b_id"]).itertuples(index=False):
-            if r.a_id not in used_a and r.b_id not in used_b:
-                used_a.add(r.a_id), used_b.add(r.b_id), rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)[[*group, "a_id", "b_id", "score"]]
 
-    return candidates.select(*group, "a_id", "b_id", "score").groupBy(*group).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in [*group, "a_id", "b_id", "score"]))
+def propensity(rows: DataFrame, treated: str, columns: list[str], keep: bool = False) -> DataFrame:
+    """Adds `p`, the probability of treatment by L2-regularised logistic regression on standardised covariates.
 
-
-def propensity(rows: DataFrame, treated: str, columns: list[str]) -> DataFrame:
-    """Adds `p`, the probability of treatment by L2-regularised logistic regression on standardised covariates."""
+    The covariates become standardised too, unless `keep`; p is rounded to twelve digits.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    z = standardised(rows, columns)
-    data = VectorAssembler(inputCols=columns, outputCol="__x").transform(z)
+    names = [f"__z_{c}" for c in columns] if keep else columns
+    z = standardised(rows.select("*", *[F.col(c).alias(n) for c, n in zip(columns, names, strict=True)]) if keep else rows, names)
+    data = VectorAssembler(inputCols=names, outputCol="__x").transform(z)
     n = max(1, data.count())
     model = LogisticRegression(featuresCol="__x", labelCol=treated, maxIter=200, regParam=1.0 / n, elasticNetParam=0.0, standardization=False).fit(data)
-    return model.transform(data).withColumn("p", vector_to_array("probability")[1]).drop("__x", "rawPrediction", "probability", "prediction")
+    return model.transform(data).withColumn("p", F.round(vector_to_array("probability")[1], 12)).drop("__x", "rawPrediction", "probability", "prediction", *(names if keep else []))
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve from ranks; ties count half. Ranks come from counts per score, not from ordering all rows in one task."""
-    per = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy().orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    below = per.withColumn("neg", F.col("n") - F.col("pos")).withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    """Area under the ROC curve from ranks; ties count half. Ranks come from counts per score, summed over buckets of scores."""
+    per = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    below = numbered(per, F.col(score), [F.col(score)], "neg_below", F.col("neg"))
     return below.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
 
 
-def caliper_pairs(rows: DataFrame, group: list[str], ident: str, treated: str, p: str = "p", caliper: float = 0.2, reuse: int = 2) -> DataFrame:
+def caliper_pairs(rows: DataFrame, group: list[str], ident: str, treated: str, p: str = "p", share: float = 0.2, reuse: int = 2) -> DataFrame:
     """Each treated row with its nearest control within the caliper, controls used `reuse` times at most.
 
-    Candidates come from a join on caliper-wide cells of p; only the greedy choice is sequential, one group per task.
+    The caliper is `share` population deviations of p in the group. Treated rows choose
+    in the order of p (ties by id), each the nearest control (ties by id) that has room.
+    """
+    width = rows.groupBy(*group).agg((F.stddev_pop(p) * share).alias("__width")) if group else rows.agg((F.stddev_pop(p) * share).alias("__width"))
+    sized = (rows.join(F.broadcast(width), group) if group else rows.crossJoin(F.broadcast(width))).withColumn("__cell", F.coalesce(F.floor(F.try_divide(F.col(p), "__width")), F.lit(0)))  # a row for each group
+    a = sized.where(F.col(treated) == 1).select(*group, F.col(ident).alias("a_id"), F.col(p).alias("pa"), "__width", F.explode(F.array(F.col("__cell") - 1, F.col("__cell"), F.col("__cell") + 1)).alias("__cell"))
+    b = sized.where(F.col(treated) == 0).select(*group, F.col(ident).alias("b_id"), F.col(p).alias("pb"), "__cell")
+    near = a.join(b, [*group, "__cell"]).withColumn("score", F.abs(F.col("pa") - F.col("pb"))).where(F.col("score") <= F.col("__width")).select(*group, "a_id", "b_id", "pa", "pb", "score")
+    return settled(near, group, ["score", "b_id"], ["pa", "a_id"], reuse)
+
+
+def systems(label: Column, words: dict[str, str], other: str = "other") -> Column:
+    """The system of a label: that of the first word, in order, that it holds, case aside."""
+    out = F.lit(other)
+    for w, system in reversed(words.items()):
+        out = F.when(F.lower(label).contains(w), system).otherwise(out)
+    return out
+
+
+def overlap_pairs(rows: DataFrame, kind: str, ident: str, columns: list[str], system: dict[str, str], least: int = 20, common: int = 1, top: int = 10, share: float = 0.2, reuse: int = 2, largest: float = 0.25) -> tuple[DataFrame, list[dict]]:
+    """Matched pairs across systems of kinds, and a diagnosis of each pair of kinds.
+
+    The `top` most frequent kinds with at least `common` rows are paired if their systems
+    are known and differ and both have `least` rows; pairs stay if no covariate differs
+    by more than `largest` deviations after matching. A model is fitted for each pair of
+    kinds, so their number is bounded by `top`; rows stay on the executors.
     """
-    cell = F.floor(F.col(p) / caliper)
-    a = rows.where(F.col(treated) == 1).select(*group, F.col(ident).alias("a_id"), F.col(p).alias("pa"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("__cell"))
-    b = rows.where(F.col(treated) == 0).select(*group, F.col(ident).alias("b_id"), F.col(p).alias("pb"), cell.alias("__cell"))
-    near = a.join(b, [*group, "__cell"]).where(F.abs(F.col("pa") - F.col("pb")) <= caliper).select(*group, "a_id", "b_id", F.abs(F.col("pa") - F.col("pb")).alias("score"))
-    types = dict(near.dtypes)
-
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: dict = {}
-        rows, done = [], set()
-        for r in pdf.sort_values(["score", "a_id", "b_id"]).itertuples(index=False):
-            if r.a_id not in done and taken.get(r.b_id, 0) < reuse:
-                done.add(r.a_id)
-                taken[r.b_id] = taken.get(r.b_id, 0) + 1
-                rows.append(r)
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return near.groupBy(*group).applyInPandas(pick, ", ".join(f"{c} {types[c]}" for c in near.columns))
+    order = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= common).orderBy(F.desc("n"), kind).limit(top).withColumn("system", systems(F.col(kind), system)).collect()
+    pairs, told = None, []
+    for i, x in enumerate(order):
+        for y in order[i + 1 :]:
+            if "other" in (x.system, y.system) or x.system == y.system or min(x.n, y.n) < least:
+                continue
+            both = saved(propensity(rows.where(F.col(kind).isin(x[kind], y[kind])).withColumn("__treated", (F.col(kind) == x[kind]).cast("int")), "__treated", columns, keep=True))
+            got = saved(caliper_pairs(both, [], ident, "__treated", "p", share, reuse))
+            case = {"a": x[kind], "b": y[kind], "systems": f"{x.system} vs {y.system}", "auc_before": auc(both, "__treated", "p").first()[0], "n_pairs": got.count()}
+            told.append(case)
+            if not case["n_pairs"]:
+                continue
+            matched = saved(both.join(either_side(got, "a_id", "b_id", ident), ident, "left_semi").drop("p"))
+            gaps = [r.smd for r in balance(matched, F.col("__treated") == 1, columns).collect()]  # a row for each covariate
+            case |= {"largest_smd": max(gaps), "mean_smd": sum(gaps) / len(gaps), "auc_after": auc(propensity(matched, "__treated", columns), "__treated", "p").first()[0]}
+            if case["largest_smd"] <= largest:
+                own = got.select(F.lit(x[kind]).alias("a_kind"), F.lit(y[kind]).alias("b_kind"), "a_id", "b_id", "pa", "pb")
+                pairs = own if pairs is None else pairs.unionByName(own)
+    if pairs is None:
+        pairs = rows.sparkSession.createDataFrame([], f"a_kind string, b_kind string, a_id {dict(rows.dtypes)[ident]}, b_id {dict(rows.dtypes)[ident]}, pa double, pb double")
+    return pairs, told

@@ -14,20 +14,31 @@ def sliding_chunks(docs: DataFrame, ident: str, text: str, size: int = 600, stri
     return c.select(ident, F.col("k").cast("long").alias("chunk"), F.expr(f"substring(__t, k * {stride} + 1, {size})").alias("body"))
 
 
-def packed_chunks(docs: DataFrame, ident: str, text: str, size: int = 600) -> DataFrame:
-    """Paragraphs packed in order into chunks of at most `size` characters; a longer paragraph is a chunk of its own."""
-    paragraphs = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda p: p != "")
+def packed_chunks(docs: DataFrame, ident: str, text: str, size: int = 600, stride: int = 480) -> DataFrame:
+    """Sections between blank lines packed in order into chunks.
+
+    A section joins the open chunk while both together have at most `size`
+    characters; a longer section is cut into windows of `size`, each `stride` after
+    the one before, and the chunk before it is closed. Empty texts have no chunks.
+    """
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    sections = F.filter(F.transform(F.split(strip(F.col(text)), r"\n\n+"), strip), lambda p: p != "")
     start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
+    def windows(p: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(p) - 1) / stride).cast("int")), lambda k: strip(F.substr(p, k * stride + 1, F.lit(size))))
+        return F.filter(cut, lambda x: x != "")
+
     def step(acc: Column, p: Column) -> Column:
-        fits = (F.length(acc["open"]) + F.length(p) + 1) <= size
-        empty = acc["open"] == ""
+        fits = F.length(acc["open"]) + F.length(p) <= size
+        closed = F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"])))
+        long = F.length(p) > size
         return F.struct(
-            F.when(empty | fits, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))).alias("done"),
-            F.when(empty, p).when(fits, F.concat(acc["open"], F.lit("\n"), p)).otherwise(p).alias("open"),
+            F.when(fits, acc["done"]).when(long, F.concat(closed, windows(p))).otherwise(closed).alias("done"),
+            F.when(fits, strip(F.concat(acc["open"], F.lit("\n\n"), p))).when(long, "").otherwise(p).alias("open"),
         )
 
-    packed = F.aggregate(paragraphs, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
+    packed = F.aggregate(sections, start, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))
     return docs.select(ident, F.posexplode(packed).alias("chunk", "body")).withColumn("chunk", F.col("chunk").cast("long"))
 
 

@@ -188,7 +188,7 @@ def hash_pool_sample(spark, sf):
 _WIDE = ["error", "view", "click"]
 
 
-def _features(spark, sf):
+def features(spark, sf):
     e = load(spark, sf, "events").where(F.col("event_type").isin(_WIDE))
     wide = e.groupBy("user_id").pivot("event_type", _WIDE).agg(F.max_by("value", F.struct("ts", "event_id")))
     return wide
@@ -204,7 +204,7 @@ p AS (SELECT user_id, max_by(value, (ts, event_id)) FILTER (WHERE event_type = '
 WITH {_FEATURES}, m AS (SELECT median(error) AS me, median(view) AS mv, median(click) AS mc FROM p)
 SELECT user_id, coalesce(error, me, 0) AS error, coalesce(view, mv, 0) AS view, coalesce(click, mc, 0) AS click FROM p, m""")
 def covariates_imputed(spark, sf):
-    return M.imputed(_features(spark, sf), _WIDE)
+    return M.imputed(features(spark, sf), _WIDE)
 
 
 @query("smd_balance", f"""
@@ -214,7 +214,7 @@ l AS (SELECT t, 'error' AS covariate, error AS x FROM w UNION ALL SELECT t, 'vie
 SELECT covariate, round(abs(avg(x) FILTER (WHERE t) - avg(x) FILTER (WHERE NOT t)) / (sqrt((var_pop(x) FILTER (WHERE t) + var_pop(x) FILTER (WHERE NOT t)) / 2) + 1e-9), 9) AS smd
 FROM l GROUP BY 1""")
 def smd_balance(spark, sf):
-    w = M.imputed(_features(spark, sf), _WIDE)
+    w = M.imputed(features(spark, sf), _WIDE)
     return M.balance(w, F.col("user_id") % 2 == 0, _WIDE).withColumn("smd", F.round("smd", 9))
 
 
@@ -244,8 +244,9 @@ def greedy_pairs(spark, sf):
 
 @query("caliper_match")
 def caliper_match(spark, sf):
-    w = M.imputed(_features(spark, sf), _WIDE).withColumn("treated", (F.col("user_id") % 3 == 0).cast("int"))
-    return M.caliper_pairs(M.propensity(w, "treated", _WIDE).withColumn("stratum", F.lit(0)), ["stratum"], "user_id", "treated", caliper=0.05)
+    """Strata are the halves of the subjects; a propensity is fitted over all of them."""
+    w = M.imputed(features(spark, sf), _WIDE).withColumn("treated", (F.col("user_id") % 3 == 0).cast("int"))
+    return M.caliper_pairs(M.propensity(w, "treated", _WIDE).withColumn("stratum", F.pmod("user_id", F.lit(2))), ["stratum"], "user_id", "treated")
 
 
 @query("auc_rank", """

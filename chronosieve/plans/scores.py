@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import direction as D
 from ..operators import score as K
+from ..operators.ranks import quantiles
 from ..session import load
 from . import timelines as T
 from .registry import query
@@ -54,7 +55,7 @@ def _guess():
 
 @query("direction_score_b", f"""
 WITH {T._TRAJECTORY}, g2 AS (SELECT user_id, event_type, direction, trim({_PRED}) AS p FROM traj)
-SELECT user_id, sum(CASE WHEN p IS NULL THEN 0 WHEN upper(p[1]) || lower(p[2:]) = direction THEN 1 WHEN lower(p) = 'stable' OR direction = 'Stable' THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS score, count(*) AS n_labels FROM g2 GROUP BY 1""")
+SELECT user_id, sum(CASE WHEN p IS NULL THEN 0 WHEN upper(p[1]) || lower(p[2:]) = direction THEN 1 WHEN lower(p) = 'stable' AND direction <> 'Stable' THEN 0.5::DOUBLE ELSE 0 END) / count(*) AS score, count(*) AS n_labels FROM g2 GROUP BY 1""")
 def direction_score_b(spark, sf):
     t = T.trajectory_direction(spark, sf)
     return t.groupBy("user_id").agg((F.sum(K.direction_points(_guess(), F.col("direction"))) / F.count(F.lit(1))).alias("score"), F.count(F.lit(1)).alias("n_labels"))
@@ -143,8 +144,8 @@ WITH {T._RESAMPLED}, d AS (SELECT user_id, idx - 2 AS pos, v - 2 * lag(v, 1) OVE
 i AS (SELECT user_id, max_by(pos, (round(abs(d2), 5), -pos)) AS pos FROM d WHERE d2 IS NOT NULL GROUP BY 1)
 SELECT median(abs(pos - user_id % 96)) * 0.5::DOUBLE AS tcae FROM i""")
 def tcae(spark, sf):
-    i = T.inflection_index(spark, sf)
-    return i.agg((F.median(F.abs(F.col("inflection_idx") - F.col("user_id") % 96)) * 0.5).alias("tcae"))
+    i = T.inflection_index(spark, sf).select(F.abs(F.col("inflection_idx") - F.col("user_id") % 96).alias("off"))
+    return quantiles(i, [], "off", [0.5]).select((F.col("quantile") * 0.5).alias("tcae"))
 
 
 @query("shape_l2", f"""
@@ -166,13 +167,3 @@ def tier_rollup(spark, sf):
     tier = F.when(F.col("user_id") % 3 == 0, "t1").when(F.col("user_id") % 3 == 1, "t2").otherwise("t3")
     g = load(spark, sf, "events").withColumn("tier", tier).rollup("tier", "event_type").agg(F.count(F.lit(1)).alias("n"), (F.sum(F.col("value").cast("decimal(18,2)")).cast("double") / F.count(F.lit(1))).alias("mean"))
     return g.select(F.coalesce("tier", F.lit("all")).alias("tier"), F.coalesce("event_type", F.lit("all")).alias("action"), "n", "mean")
-
-
-@query("lab_reward", """
-WITH c AS (SELECT user_id, list_distinct(list(event_type)) AS chosen FROM events WHERE value > 90 GROUP BY 1),
-x AS (SELECT user_id, len(list_intersect(chosen, ['error', 'view', 'click'])) / 3 AS hit, len(chosen) - len(list_intersect(chosen, ['error', 'view', 'click'])) AS extra FROM c)
-SELECT user_id, greatest(0, hit - 0.05::DOUBLE * extra) AS linear, round(least(0.7::DOUBLE, hit * exp(-0.1::DOUBLE * extra)), 9) AS capped FROM x""")
-def lab_reward(spark, sf):
-    c = load(spark, sf, "events").where("value > 90").groupBy("user_id").agg(F.collect_set("event_type").alias("chosen"))
-    core = F.array(F.lit("error"), F.lit("view"), F.lit("click"))
-    return c.select("user_id", K.lab_reward(F.col("chosen"), core).alias("linear"), F.round(K.lab_reward(F.col("chosen"), core, True), 9).alias("capped"))

@@ -12,8 +12,8 @@ TERMS = ["token", "license", "password", "copyright", "the", "warranty"]
 
 
 @query("identifier_gate", r"""
-SELECT doc_id, CASE WHEN contains(text, '4785380592391139') THEN 'id' WHEN regexp_matches(text, '\d{4}-\d{2}-\d{2}') THEN 'date'
-  WHEN regexp_matches(text, '\d+(\.\d+)?\s?(mg|mmol|g/dL|ng|mEq)') THEN 'value_unit' WHEN regexp_matches(text, '\d{7,}') THEN 'digits' END AS reason FROM documents""")
+SELECT doc_id, CASE WHEN contains(text, '4785380592391139') THEN 'id' WHEN regexp_matches(text, '\b\d{4}-\d{2}-\d{2}\b') THEN 'date'
+  WHEN regexp_matches(text, '\b\d+(?:\.\d+)?\s?(?:mmol/?l|mg/?dl|meq/?l|g/?dl|/ul|k/ul|mmhg|mcg|ng/?ml|u/?l)\b', 'i') THEN 'value_unit' WHEN regexp_matches(text, '\d{7,}') THEN 'digits' END AS reason FROM documents""")
 def identifier_gate(spark, sf):
     return load(spark, sf, "documents").select("doc_id", X.blocked_reason(F.col("text"), ["4785380592391139"]).alias("reason"))
 
@@ -26,11 +26,10 @@ def leak_terms(spark, sf):
 
 @query("fingerprint_dedupe", """
 WITH s AS (SELECT user_id, date_trunc('day', ts) AS day, array_to_string(list_sort(list_distinct(list(lower(event_type)))), '|') AS k, min(event_id) AS first_id FROM events GROUP BY 1, 2)
-SELECT substr(sha1(user_id || ':' || k), 1, 16) AS fp, min(first_id) AS event_id, count(*) AS n FROM s GROUP BY 1""")
+SELECT user_id, substr(sha1(k), 1, 16) AS fp, min(first_id) AS event_id, count(*) AS n FROM s GROUP BY 1, 2""")
 def fingerprint_dedupe(spark, sf):
-    e = load(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_sort(F.collect_set(F.lower("event_type"))).alias("k"), F.min("event_id").alias("first_id"))
-    fp = F.substring(F.sha1(F.concat(F.col("user_id").cast("string"), F.lit(":"), F.concat_ws("|", "k"))), 1, 16)
-    return e.groupBy(fp.alias("fp")).agg(F.min("first_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
+    e = load(spark, sf, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(X.fingerprint(F.collect_set("event_type")).alias("fp"), F.min("event_id").alias("first_id"))
+    return e.groupBy("user_id", "fp").agg(F.min("first_id").alias("event_id"), F.count(F.lit(1)).alias("n"))
 
 
 @query("synonym_score", """
@@ -46,7 +45,19 @@ def chunk_sliding(spark, sf):
     return R.sliding_chunks(load(spark, sf, "documents"), "doc_id", "text")
 
 
-@query("chunk_paragraph")
+@query("chunk_paragraph", r"""
+WITH RECURSIVE s AS (
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\n\n+'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ps FROM documents),
+f AS (
+  SELECT doc_id, 0::BIGINT AS i, '' AS open, []::VARCHAR[] AS done FROM s
+  UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN length(open) + length(p) <= 600 THEN regexp_replace(open || chr(10) || chr(10) || p, '^\s+|\s+$', '', 'g') WHEN length(p) > 600 THEN '' ELSE p END,
+    CASE WHEN length(open) + length(p) <= 600 THEN done WHEN length(p) > 600 THEN
+      list_concat(CASE WHEN open = '' THEN done ELSE list_append(done, open) END, list_filter(list_transform(range((length(p) - 1) // 480 + 1), lambda k: regexp_replace(substr(p, k * 480 + 1, 600), '^\s+|\s+$', '', 'g')), lambda x: x <> ''))
+      WHEN open = '' THEN done ELSE list_append(done, open) END
+  FROM (SELECT f.doc_id, f.i, f.open, f.done, s.ps[f.i + 1] AS p FROM f JOIN s USING (doc_id) WHERE f.i < len(s.ps))),
+l AS (SELECT doc_id, CASE WHEN open = '' THEN done ELSE list_append(done, open) END AS chunks FROM f JOIN s USING (doc_id) WHERE i = len(ps))
+SELECT doc_id, k - 1 AS chunk, chunks[k] AS body FROM (SELECT doc_id, chunks, unnest(range(1, len(chunks) + 1)) AS k FROM l)""")
 def chunk_paragraph(spark, sf):
     return R.packed_chunks(load(spark, sf, "documents"), "doc_id", "text")
 

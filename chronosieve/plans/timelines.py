@@ -218,21 +218,31 @@ def severity_score_bin(spark, sf):
     return _severity(spark, sf).withColumn("severity_bin", D.severity_bin("severity"))
 
 
-@query("pair_candidates_scored", f"""
-WITH {_SEVERITY},
-sl AS (SELECT user_id, round(regr_slope(value, {_X}), 6) AS slope FROM events WHERE event_type = 'error' GROUP BY 1 HAVING count(*) >= 2 AND regr_sxx(value, {_X}) > 0),
+PAIR_SQL = f"""{_SEVERITY},
+sl AS (SELECT user_id, event_type, round(regr_slope(value, {_X}), 6) AS slope FROM events WHERE event_type IN ('error', 'view') GROUP BY 1, 2 HAVING count(*) >= 2 AND regr_sxx(value, {_X}) > 0),
 fl AS (SELECT user_id, max((event_type = 'error' AND value > 90)::INT) AS f_error, max((event_type = 'view' AND value > 90)::INT) AS f_view, max((event_type LIKE 'sign%' AND value > 90)::INT) AS f_sign FROM events GROUP BY 1),
-e AS (SELECT user_id, {_BIN} AS severity_bin, severity, slope, f_error, f_view, f_sign, (user_id % 4)::INT AS kind FROM sev JOIN sl USING (user_id) JOIN fl USING (user_id)),
-p AS (SELECT a.severity_bin, a.user_id AS a_id, b.user_id AS b_id, a.kind AS a_kind, b.kind AS b_kind,
-  (a.f_error <> b.f_error)::BIGINT + (a.f_view <> b.f_view)::BIGINT + (a.f_sign <> b.f_sign)::BIGINT AS hamming, abs(a.severity - b.severity) AS ds, abs(a.slope - b.slope) AS dl
-  FROM e a JOIN e b ON a.severity_bin = b.severity_bin AND a.kind < b.kind AND sign(a.slope) = sign(b.slope) AND abs(a.slope - b.slope) <= 0.2::DOUBLE * greatest(abs(a.slope), abs(b.slope)))
-SELECT severity_bin, a_id, b_id, a_kind, b_kind, hamming, 10.0::DOUBLE * hamming + ds + 5 * dl AS score FROM p""")
+ep AS (SELECT user_id, {_BIN} AS severity_bin, severity, e.slope AS s1, sign(e.slope)::INT AS d1, v.slope AS s2, sign(v.slope)::INT AS d2, f_error, f_view, f_sign, (user_id % 4)::INT AS kind
+  FROM sev JOIN fl USING (user_id) LEFT JOIN (SELECT * FROM sl WHERE event_type = 'error') e USING (user_id) LEFT JOIN (SELECT * FROM sl WHERE event_type = 'view') v USING (user_id)),
+scored AS (SELECT a.severity_bin, a.user_id AS a_id, b.user_id AS b_id, a.kind AS a_kind, b.kind AS b_kind,
+  (a.f_error <> b.f_error)::BIGINT + (a.f_view <> b.f_view)::BIGINT + (a.f_sign <> b.f_sign)::BIGINT AS hamming, 10.0::DOUBLE * ((a.f_error <> b.f_error)::BIGINT + (a.f_view <> b.f_view)::BIGINT + (a.f_sign <> b.f_sign)::BIGINT) + abs(a.severity - b.severity)
+  + 5.0::DOUBLE * coalesce(CASE WHEN abs(a.s1) + abs(b.s1) > 0.001 THEN abs(a.s1 - b.s1) / (CASE WHEN abs(a.s1) > abs(b.s1) THEN abs(a.s1) ELSE abs(b.s1) END) END, 0)
+  + 5.0::DOUBLE * coalesce(CASE WHEN abs(a.s2) + abs(b.s2) > 0.001 THEN abs(a.s2 - b.s2) / (CASE WHEN abs(a.s2) > abs(b.s2) THEN abs(a.s2) ELSE abs(b.s2) END) END, 0) AS score
+  FROM ep a JOIN ep b ON a.severity_bin = b.severity_bin AND a.kind < b.kind
+  AND (a.s1 IS NULL OR b.s1 IS NULL OR (a.d1 = b.d1 AND ((abs(a.s1) < 0.001 AND abs(b.s1) < 0.001) OR abs(a.s1 - b.s1) <= 0.2::DOUBLE * (CASE WHEN abs(a.s1) > abs(b.s1) THEN abs(a.s1) ELSE abs(b.s1) END))))
+  AND (a.s2 IS NULL OR b.s2 IS NULL OR (a.d2 = b.d2 AND ((abs(a.s2) < 0.001 AND abs(b.s2) < 0.001) OR abs(a.s2 - b.s2) <= 0.2::DOUBLE * (CASE WHEN abs(a.s2) > abs(b.s2) THEN abs(a.s2) ELSE abs(b.s2) END)))))"""
+
+
+@query("pair_candidates_scored", f"WITH {PAIR_SQL} SELECT severity_bin, a_id, b_id, a_kind, b_kind, hamming, round(score, 9) AS score FROM scored")
 def pair_candidates_scored(spark, sf):
     from .cohorts import comorbidity_flags
 
-    slope = S.slopes(events(spark, sf).where("event_type = 'error'"), ["user_id"], _x(), F.col("value")).select("user_id", F.round("slope", 6).alias("slope"))
-    e = severity_score_bin(spark, sf).join(slope, "user_id").join(comorbidity_flags(spark, sf), "user_id").withColumn("kind", F.pmod("user_id", F.lit(4)).cast("int"))
-    return M.candidate_pairs(e, "severity_bin", "kind", "user_id", ["f_error", "f_view", "f_sign"])
+    e = severity_score_bin(spark, sf).join(comorbidity_flags(spark, sf), "user_id").withColumn("kind", F.pmod("user_id", F.lit(4)).cast("int"))
+    slope = S.slopes(events(spark, sf).where("event_type in ('error', 'view')"), KEYS, _x(), F.col("value")).withColumn("slope", F.round("slope", 6))
+    for k, kind in ((1, "error"), (2, "view")):
+        own = slope.where(F.col("event_type") == kind).select("user_id", F.col("slope").alias(f"s{k}"), F.signum("slope").cast("int").alias(f"d{k}"))
+        e = e.join(own, "user_id", "left")
+    pairs = M.candidate_pairs(e, "severity_bin", "kind", "user_id", ["f_error", "f_view", "f_sign"], [("d1", "s1"), ("d2", "s2")])
+    return pairs.withColumn("score", F.round("score", 9))
 
 
 @query("range_flag", f"""

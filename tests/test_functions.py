@@ -104,7 +104,7 @@ def test_calibration_edges(spark):
 
 
 def test_identifier_gate(spark):
-    texts = [("call 1234567", False), ("on 2024-01-02", False), ("12.5 mg given", False), ("plain", False), ("on 2024-01-02", True), ("id ABC on 2024-01-02", True)]
+    texts = [("call 1234567", False), ("on 2024-01-02", False), ("12.5 mg/dL given", False), ("plain", False), ("on 2024-01-02", True), ("id ABC on 2024-01-02", True)]
     got = spark.createDataFrame(texts, "t string, free boolean").select(X.blocked_reason(F.col("t"), ["ABC"], F.col("free"))).collect()
     assert [r[0] for r in got] == ["digits", "date", "value_unit", None, None, "id"]
 
@@ -113,3 +113,96 @@ def test_fingerprint_ignores_order_case_and_repeats(spark):
     df = spark.createDataFrame([(["b", "A"],), (["a", "B", "b"],), (["c"],)], "x array<string>")
     a, b, c = (r[0] for r in df.select(X.fingerprint(F.col("x"))).collect())
     assert a == b != c and len(a) == 16
+
+
+def one(spark, *columns):
+    return spark.range(1).select(*columns).first()
+
+
+def test_direction_points_table(spark):
+    from chronosieve.operators.score import direction_points
+
+    table = [("Rising", "Rising", 1.0), (" rising", "Rising", 1.0), ("Stable", "Rising", 0.5), ("Rising", "Stable", 0.0), ("Stable", "Stable", 1.0), ("Falling", "Rising", 0.0), (None, "Stable", 0.0)]
+    df = spark.createDataFrame(table, "p string, a string, want double")
+    assert all(r.got == r.want for r in df.select("want", direction_points(F.col("p"), F.col("a")).alias("got")).collect())
+
+
+def test_rewards_table(spark):
+    import math
+
+    from chronosieve.operators.score import graded_reward, request_reward
+
+    names = lambda *x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+    for asked, just in ((("a", "b"), 1.0), (("a",), 0.5), (("a", "b", "c", "x", "y"), 0.0), ((), 0.0)):
+        hit, n, wrong = len({"a", "b"} & set(asked)), len(asked), len(set(asked) - {"a", "b", "c"})
+        want = 0.35 * hit / 2 + 0.2 * (1 - wrong / (n + 1e-6)) + 0.1 * -2 * (2 - hit) + 0.2 * -0.5 * max(0, n - 2 - 1) + 0.15 * just
+        assert math.isclose(one(spark, request_reward(names(*asked), names("a", "b"), names("c"), F.lit(just)))[0], want, abs_tol=1e-12)
+    for core, opt, irr, driver, just in ((2, 0, 0, 0, 1.0), (1, 3, 2, 1, 0.5), (0, 0, 0, 0, 0.0)):
+        parts = 0.35 * core / 2 + 0.2 * (1 - driver / 4) + 0.1 * math.exp(-2 * (2 - core) / 2) + 0.2 * math.exp(-0.5 * max(0, (opt + irr - 2) / 3)) + 0.15 * just
+        got = one(spark, graded_reward(*map(F.lit, (core, opt, irr, driver)), 2, 3, 4, F.lit(just)))[0]
+        assert math.isclose(got, min(0.7, parts), abs_tol=1e-12)
+
+
+def test_gate_knows_words_and_units(spark):
+    table = {"5 mmHg": "value_unit", "3 U/L": "value_unit", "4.2 mmol/L": "value_unit", "7k/ul": "value_unit", "5 mmHgs": None, "x5 mg/dL": None, "on 2024-01-02.": "date", "12024-01-02": None, "id 1234567": "digits", "123456": None}
+    df = spark.createDataFrame(list(table.items()), "t string, want string")
+    assert [(r.t, r.got) for r in df.select("t", X.blocked_reason(F.col("t")).alias("got")).collect()] == list(table.items())
+
+
+def test_phrases_and_merge(spark):
+    from chronosieve.functions import guards as G
+
+    stem = F.lit("Potassium is LIKELY TO RISE and will rise; it belongs to patient A")
+    got = one(spark, G.phrases_in(stem, G.ASSERTIONS), G.phrases_in(stem, G.OWNER_REVEALS), G.phrases_in(F.lit(None).cast("string"), G.ASSERTIONS))
+    assert got[0] == ["likely to rise", "will rise"] and got[1] == ["belongs to patient a"] and got[2] == []
+    verdict = G.merged({"a": F.lit(True), "b": F.lit(True)}, {"b": F.lit(None).cast("boolean")})
+    assert one(spark, *[c.alias(k) for k, c in verdict.items()]).asDict() == {"a": True, "b": True, "accept": True}
+    verdict = G.merged({"a": F.lit(True), "b": F.lit(True)}, {"b": F.lit(False)})
+    assert one(spark, *[c.alias(k) for k, c in verdict.items()]).asDict() == {"a": True, "b": False, "accept": False}
+
+
+def test_chart_checks_table(spark):
+    from chronosieve.functions import guards as G
+
+    def checked(stem, gold, chain, cited):
+        names = lambda x: F.array(*map(F.lit, x)) if x else F.array().cast("array<string>")
+        chart = F.create_map(F.lit("Lactate"), F.lit(True), F.lit("Sodium"), F.lit(False))
+        c = G.chart_checks(F.lit(stem), names(gold), chart, names(chain), F.lit(cited), ["induces", "impairs"], ["x-ray"])
+        return tuple(one(spark, *c.values()))
+
+    assert checked("what is it?", ["Lactate"], ["a induces", "b impairs"], True) == (True, True, True, True)
+    assert checked("what is LACTATE?", ["Lactate"], ["a", "b", "c"], None) == (False, True, True, False)
+    assert checked("an X-ray shows", ["Sodium", "Other"], ["a", "b"], False) == (False, False, False, False)
+    assert checked("what is it?", [], [], True) == (False, False, False, True)
+
+
+def test_trends_of_missing_and_tiny_slopes(spark):
+    from chronosieve.operators.matching import slope_gap, trends_compatible
+
+    table = [(1, 1.0, 1, 0.8, True, 0.2), (1, 1.0, 1, 0.79, False, 0.21), (1, 1.0, -1, -1.0, False, 2.0), (None, None, 1, 1.0, True, 0.0), (1, 0.0004, 1, 0.0009, True, 0.5 / 0.9), (0, 0.0, 0, 0.0, True, 0.0)]
+    df = spark.createDataFrame(table, "da int, sa double, db int, sb double, fits boolean, gap double")
+    for r in df.select("*", trends_compatible(*map(F.col, ("da", "sa", "db", "sb"))).alias("got"), slope_gap(F.col("sa"), F.col("sb")).alias("g")).collect():
+        assert r.got == r.fits and abs(r.g - r.gap) < 1e-9
+
+
+def test_candidate_pairs_equal_all_pairs(spark):
+    import random
+
+    from chronosieve.operators.matching import candidate_pairs
+
+    rnd = random.Random(7)
+    slope = lambda: rnd.choice([None, 0.0, rnd.uniform(0, 0.002), rnd.uniform(0, 5), rnd.choice([1.0, 0.8, 1.25])])
+    rows = [(k, "s", k % 3, k % 2, rnd.randint(0, 9), (None if x is None else 1), x) for k in range(90) for x in [slope()]]
+    df = spark.createDataFrame(rows, "id long, stratum string, kind int, f int, severity int, d int, s double")
+    got = {(r.a_id, r.b_id): r.score for r in candidate_pairs(df, "stratum", "kind", "id", ["f"], [("d", "s")]).collect()}
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a[2] >= b[2]:
+                continue
+            x, y = a[6], b[6]
+            top = max(x, y) if None not in (x, y) else None
+            if top is not None and not (top < 0.001 or abs(x - y) <= 0.2 * top):
+                continue
+            want[a[0], b[0]] = 10 * (a[3] != b[3]) + abs(a[4] - b[4]) + (5 * abs(x - y) / top if top is not None and x + y > 0.001 else 0)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)

@@ -36,9 +36,54 @@ def test_greedy_pairs_are_one_to_one(spark, sf):
         assert g.a_id.is_unique and g.b_id.is_unique
 
 
-def test_caliper_and_reuse_hold(spark, sf):
-    got = catalog.QUERIES["caliper_match"](spark, sf).toPandas()
-    assert got.a_id.is_unique and (got.score <= 0.05).all() and (got.groupby("b_id").size() <= 2).all()
+def one_after_another(rows, share=0.2, reuse=2):
+    """rows: (id, treated, p) of one group -> pairs, each treated row in the order of p taking its nearest control with room."""
+    p = [r[2] for r in rows]
+    width = share * (sum((x - sum(p) / len(p)) ** 2 for x in p) / len(p)) ** 0.5
+    used, pairs = {}, set()
+    for pa, a in sorted((r[2], r[0]) for r in rows if r[1]):
+        for d, b in sorted((abs(r[2] - pa), r[0]) for r in rows if not r[1]):
+            if d > width:
+                break
+            if used.get(b, 0) < reuse:
+                used[b] = used.get(b, 0) + 1
+                pairs.add((a, b))
+                break
+    return pairs
+
+
+def test_caliper_pairs_against_one_after_another(spark):
+    import random
+
+    from chronosieve.operators.matching import caliper_pairs
+
+    rnd = random.Random(3)
+    rows = [(g, k + 1000 * g, int(rnd.random() < 0.6), round(rnd.random(), 3)) for g in (0, 1) for k in range(70)]
+    df = spark.createDataFrame(rows, "g int, id long, treated int, p double")
+    got = caliper_pairs(df, ["g"], "id", "treated").collect()
+    want = {(g, *x) for g in (0, 1) for x in one_after_another([r[1:] for r in rows if r[0] == g])}
+    assert {(r.g, r.a_id, r.b_id) for r in got} == want and len(got) == len(want)
+
+
+def test_greedy_pairs_against_score_order(spark):
+    import random
+
+    from chronosieve.operators.matching import greedy_pairs
+
+    rnd = random.Random(4)
+    rows = [("x", a, b, rnd.randint(1, 9) / 2) for a in range(25) for b in range(20) if rnd.random() < 0.4]
+    used_a, used_b, want = set(), set(), set()
+    for _, a, b, s in sorted(rows, key=lambda r: (r[3], r[1], r[2])):
+        if a not in used_a and b not in used_b:
+            used_a.add(a), used_b.add(b), want.add((a, b))
+    got = greedy_pairs(spark.createDataFrame(rows, "g string, a_id long, b_id long, score double"), ["g"]).collect()
+    assert {(r.a_id, r.b_id) for r in got} == want and len(got) == len(want)
+
+
+def test_overlap_pairs_respect_the_gates(spark, sf):
+    got = catalog.QUERIES["overlap_pairs"](spark, sf).toPandas()
+    assert set(got.columns) == {"a_kind", "b_kind", "a_id", "b_id", "pa", "pb"}
+    assert got.a_id.is_unique and (len(got) == 0 or got.groupby("b_id").size().max() <= 2)
 
 
 def test_pool_is_the_same_on_every_run(spark, sf):
@@ -46,17 +91,60 @@ def test_pool_is_the_same_on_every_run(spark, sf):
     assert one == two and len(one) == len(set(one))
 
 
-def test_packed_chunks_keep_order_and_size(spark):
+def packed(text, size, stride):
+    import re
+
+    chunks, buffer = [], ""
+    for part in filter(None, (x.strip() for x in re.split(r"\n\n+", text.strip()))):
+        if len(buffer) + len(part) <= size:
+            buffer = (buffer + "\n\n" + part).strip()
+            continue
+        chunks += [buffer] * bool(buffer)
+        buffer = part if len(part) <= size else ""
+        if len(part) > size:
+            chunks += filter(None, (part[k : k + size].strip() for k in range(0, len(part), stride)))
+    return chunks + [buffer] * bool(buffer)
+
+
+def test_packed_chunks(spark):
     from chronosieve.operators.retrieval import packed_chunks
 
-    df = spark.createDataFrame([(1, "aa\nbb\n" + "c" * 20 + "\n\ndd"), (2, ""), (3, None)], "doc_id long, text string")
-    got = [(r.doc_id, r.chunk, r.body) for r in packed_chunks(df, "doc_id", "text", 8).orderBy("doc_id", "chunk").collect()]
-    assert got == [(1, 0, "aa\nbb"), (1, 1, "c" * 20), (1, 2, "dd")]
+    texts = ["aa\n\nbb\n\n" + "c" * 20 + "\n\ndd", "", None, "a b\nc\n\n\n\nd", " x " * 30, "\n\n", "ab cd ef gh ij\n\nkl", "12345678\n\n9"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [(r.doc_id, r.chunk, r.body) for r in packed_chunks(df, "doc_id", "text", 8, 6).orderBy("doc_id", "chunk").collect()]
+    assert got == [(i, k, c) for i, t in enumerate(texts) if t for k, c in enumerate(packed(t, 8, 6))]
 
 
 def test_last_json_object(spark):
     from chronosieve.functions.text import last_json_object
 
-    texts = ['x {"a": 1} y {"b": {"c": "}"}} z', "no { here", None, '{"a": 1'[:6]]
+    texts = ['x {"a": 1} y {"b": {"c": 2}} z', "no { here", None, '{"a": 1', "{'k': 'v'} {not json}", '{"b": {"c": "}"}}', "{" * 5000 + "}" * 4999, '{"x": 1} then {"open']
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(last_json_object("t")).collect()]
-    assert got == ['{"b": {"c": "}"}}', None, None, None]
+    assert got == ['{"b": {"c": 2}}', None, None, None, '{"k": "v"}', '{"b": {"c": "}"}}', None, '{"x": 1}']
+
+
+def test_quantiles_narrow_to_the_exact_value(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    from chronosieve.operators import ranks
+
+    monkeypatch.setattr(ranks, "FEW", 5)
+    monkeypatch.setattr(ranks, "BUCKETS", 4)
+    rnd = random.Random(2)
+    rows = [(g, v) for g in "abc" for v in [rnd.gauss(0, 1) ** 3 for _ in range(200)] + [7.0] * 150 * (g == "b") + [1e9] * (g == "c")] + [("d", 3.0), ("e", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {(r.g, r.share): r.quantile for r in ranks.quantiles(df, ["g"], "v", [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
+    want = {(g, s): float(np.quantile([v for h, v in rows if h == g and v == v], s)) for g in "abcd" for s in (0.0, 0.25, 0.5, 0.9, 1.0)}
+    assert got.keys() == want.keys() and all(math.isclose(got[k], want[k], rel_tol=1e-9, abs_tol=1e-12) for k in want)
+
+
+def test_settings_are_checked():
+    from chronosieve.session import SECTIONS, check_settings
+
+    fine = {k: {} for k in SECTIONS} | {"time_zero": {"policy": "first_micro"}}
+    check_settings(fine)
+    for broken in ({k: v for k, v in fine.items() if k != "cohort"}, fine | {"time_zero": {"policy": "other"}}):
+        with pytest.raises(ValueError):
+            check_settings(broken)
