@@ -41,11 +41,11 @@ from .common import load
 FIT_DOCUMENTS, FIT_BYTES = {1: 1500, 0: 4000}, 16_000_000
 HEAD = b"\n<of> ~"
 #: A window recurs if so many toxic documents have it, and is telling if it is so many times as frequent there.
-RECURS, TELLING = 3, 30
+RECURS, TELLING = 3, 12
 TRAIN_BYTES, SHARED_BYTES, ORDINARY_WINDOWS = 1 << 16, 1 << 14, 200_000
 LEVEL, FOLDS, CLEAR, HIGH = 13, 3, 3, 6
 #: Marking an ordinary document counts as so many misses.
-COST = 1.5
+COST = 1.0
 #: Longer runs without a space are looked at in overlapping windows.
 RUN, PIECE, STEP = 40, 16, 4
 #: Gains of so many different words are remembered by a task.
