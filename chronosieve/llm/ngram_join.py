@@ -48,7 +48,9 @@ TOKENS = 1 << 19
 #: Percent of its size by which a set's prefix is longer, and so many of its tokens must be shared.
 LONGER = 3
 #: Sets in a group, about, and sets that ask one opening of it.
-CAP, ASKED = 256, 1024
+CAP, ASKED = 256, 512
+#: Edges of a partition while components are sought.
+EDGES = 20_000
 #: Min-hashes of a set, and how many of them it must share with a leader to be compared with it.
 LEADS, AGREE = 4, 2
 
@@ -236,12 +238,15 @@ def components(edges: DataFrame) -> DataFrame:
     mark = lambda e: e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
     before = mark(edges)
     while before[0]:
-        both = edges.unionByName(edges.select(v.alias("u"), u.alias("v")))
+        # edges only become fewer, and so do the files that a round writes
+        parts = -(-before[0] // EDGES)
+        few = edges.coalesce(parts)
+        both = few.unionByName(few.select(v.alias("u"), u.alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(v.alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(v.alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct().coalesce(parts))
         now = mark(edges)
         if tuple(now) == tuple(before):
             break
@@ -289,15 +294,17 @@ def led(rows: DataFrame, unique: DataFrame, shingle: int, percent: int):
 
 
 def parts_of(links: DataFrame) -> DataFrame:
-    """links (u, v) to leaders, v < u -> (node, root): the least leader's own least leader; linked parts, if not always whole ones."""
+    """links (u, v) to leaders, v < u -> (node, root), one row a node: the least leader's own least leader; linked parts, if not always whole ones."""
     least = checkpointed(links.groupBy("u").agg(F.min("v").alias("v")))
     up = least.select(F.col("u").alias("v"), F.col("v").alias("top"))
-    followers = least.join(up, "v", "left").select(F.col("u").alias("node"), F.coalesce("top", "v").alias("root"))
-    return followers.unionByName(followers.select(F.col("root").alias("node"), "root").distinct())
+    followers = checkpointed(least.join(up, "v", "left").select(F.col("u").alias("node"), F.coalesce("top", "v").alias("root")))
+    # a root may follow another one further up; then it is in that one's part
+    heads = followers.select(F.col("root").alias("node"), "root").distinct().join(followers.select("node"), "node", "left_anti")
+    return followers.unionByName(heads)
 
 
 def similar_sets(rows: DataFrame, shingle: int, percent: int):
-    """rows: doc_id, text_key, text -> (sketches of all rows, links between different sets)."""
+    """rows: doc_id, text_key, text -> (sketches of all rows, links between different sets, roots of the parts that leaders link)."""
     texts = rows.select("text")
 
     # frequent tokens, counted in prefixes twice as long, as others move up when they step back;
@@ -342,15 +349,23 @@ def similar_sets(rows: DataFrame, shingle: int, percent: int):
     named = unique.select(short, "node", "rep")
     members = inner.unionByName(asked).distinct().join(named, "nid").select("gid", "node", "rep")
     links = compared(rows, members, asking.join(named, "nid").select("gid", "node", "rep"), shingle, percent)
-    return sketch, links.unionByName(roots.select(F.col("node").alias("u"), F.col("root").alias("v")))
+    return sketch, links, roots
 
 
 def labelled(docs: DataFrame, shingle: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text_key, n_shingles, component_id, root (null without words) of every row."""
     rows = repeats.keyed(docs, id_col, text_col)
-    sketch, links = similar_sets(rows, shingle, percent)
+    sketch, links, roots = similar_sets(rows, shingle, percent)
+    # links between parts, a part standing for its sets
+    for side in ("u", "v"):
+        part = roots.select(F.col("node").alias(side), F.col("root").alias("__root"))
+        links = links.join(part, side, "left").withColumn(side, F.coalesce("__root", side)).drop("__root")
+    # a part whose root is in another part belongs to it
+    above = roots.where("node != root").join(roots.select(F.col("root").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    whole = components(links.select("u", "v").unionByName(above)).select(F.col("node").alias("part"), F.col("root").alias("whole"))
     own = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    own = own.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
+    own = own.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("part"), "first_id")
+    own = own.join(whole, "part", "left").select("node", F.coalesce("whole", "part").alias("root"), "first_id")
     ids = own.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = checkpointed(own.join(ids, "root").select("node", "root", "component_id"))
     some = sketch.where("n > 0").select("doc_id", "text_key", "n", "node").join(named, "node").select("doc_id", "text_key", F.col("n").alias("n_shingles"), "component_id", "root")
