@@ -519,6 +519,12 @@ def test_hot_groups_of_near_copies(spark):
     assert got == brute_components(rows, 3, 80)
 
 
+def test_parts_of_chains_of_leaders(spark):
+    links = spark.createDataFrame([(b"e", b"d"), (b"d", b"c"), (b"c", b"b"), (b"b", b"a"), (b"x", b"w"), (b"y", b"w"), (b"y", b"x")], "u binary, v binary")
+    got = [(bytes(r.node), bytes(r.root)) for r in ngram_join.parts_of(links).collect()]
+    assert len(got) == len(dict(got)) == 8 and dict(got) == {b"e": b"c", b"d": b"b", b"c": b"a", b"b": b"a", b"a": b"a", b"x": b"w", b"y": b"w", b"w": b"w"}
+
+
 def test_pipeline_stages_on_edges(spark, edge, empty, sf):
     import corpus_pipeline
 
