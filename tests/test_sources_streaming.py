@@ -66,3 +66,43 @@ def test_stream_without_repeats_appends_once(spark, sf, tmp_path):
         s = L.without_repeats(L.event_stream(spark, f"{tmp_path}/in", batch.schema), ["event_id"], "400 days")
         assert L.append_to(s, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out").count() == 200
+
+
+def test_cases_manifest_and_state(spark, tmp_path):
+    import json
+
+    from chronosieve.sources import tables as S
+
+    df = spark.createDataFrame([(1, "a", "f1"), (1, "b", "f2"), (2, "a", "f1"), (3, None, "f3")], "case_id long, kind string, fp string")
+    at = str(tmp_path / "cases")
+    S.write_cases(df, at, "case_id")
+    told = {r.case_id: (r.n_records, r.folder) for r in spark.read.json(f"{at}/manifest").collect()}
+    assert told == {1: (2, "cases/case_id=1"), 2: (1, "cases/case_id=2"), 3: (1, "cases/case_id=3")}
+    assert spark.read.json(f"{at}/{told[1][1]}").count() == 2
+
+    sink = str(tmp_path / "sink")
+    keys, prints, kinds = S.resume_state(spark, sink, df.schema, "case_id", "fp", "kind")
+    assert keys.count() == prints.count() == kinds.count() == 0 and S.finished(spark, sink) is None
+    df.write.json(sink)
+    keys, prints, kinds = S.resume_state(spark, sink, df.schema, "case_id", "fp", "kind")
+    assert keys.count() == 3 and prints.count() == 3 and {r.kind: r.n for r in kinds.collect()} == {"a": 2, "b": 1, None: 1}
+    S.finish(df, sink)
+    assert S.finished(spark, sink) == 4
+
+    S.manifest(df.where("kind is not null"), str(tmp_path / "m"), "kind", records=["case_id", "fp"], seed=7)
+    (part,) = [p for p in (tmp_path / "m").iterdir() if p.name.startswith("part-")]
+    got = json.loads(part.read_text())
+    assert got["total"] == 3 and got["by"] == {"a": 2, "b": 1} and got["seed"] == "7" and [r["case_id"] for r in got["records"]] == [1, 1, 2]
+
+    S.write_readable(df, str(tmp_path / "r"), [("case_id", 4), ("kind", 3)], ["case_id"])
+    assert [r[0] for r in spark.read.text(str(tmp_path / "r" / "header")).collect()] == ["case | kin"]
+    assert sorted(r[0] for r in spark.read.text(str(tmp_path / "r" / "rows")).collect())[0].startswith("1    | a  ")
+
+
+def test_unreadable_documents_are_skipped(spark, tmp_path):
+    from chronosieve.sources import tables as S
+
+    (tmp_path / "a.json").write_text('{"items": [{"x": 1}, {"x": 2}]}')
+    (tmp_path / "b.json").write_text('{"items": [{"x": 3}')
+    got = S.read_document(spark, str(tmp_path), "items array<struct<x: long>>", "items").collect()
+    assert sorted((r.x, r.file_name) for r in got) == [(1, "a.json"), (2, "a.json")]
