@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .cohort import keep_first, per_group
@@ -38,3 +38,20 @@ def inferred_kind(number: Column, kinds: list[str], rules: list[tuple[list[str],
             has = has | F.lower(text).contains(w)
         out = F.when(has & also, kind).otherwise(out)
     return out
+
+
+def full_record(tables: dict[str, DataFrame], key: str, what: str, most: int, t: str = "ts", tie: str = "event_id") -> DataFrame:
+    """One record for each subject: of every table the newest `most` entries, one for each thing and day; an empty list where a table has none."""
+    out = None
+    for name, table in tables.items():
+        once = keep_first(table.withColumn("__day", F.to_date(t)), [key, what, "__day"], [F.col(t), F.col(tie)])
+        own = per_group(once, [key], [F.desc(t), F.desc(tie)], most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(t, tie, what))).alias(name))
+        out = own if out is None else out.join(own, key, "full")
+    empty = lambda n: F.coalesce(n, F.array().cast(dict(out.dtypes)[n]))
+    return out.select(key, *[empty(n).alias(n) for n in tables])
+
+
+def signals_until(events: DataFrame, subject: str, signal: Column, t: str = "ts") -> DataFrame:
+    """`events` with `signals`, how many signals of the subject there are up to their time; the difference of two rows counts those between."""
+    upto = Window.partitionBy(subject).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return events.withColumn("signals", F.sum(signal.cast("long")).over(upto))

@@ -108,3 +108,16 @@ def comparison(rows: DataFrame, case: str, condition: str, scores: list[str]) ->
 def outcomes(episodes: DataFrame, ident: str, trajectories: str, label: str) -> DataFrame:
     """The array of values of one label, for the episodes that have it."""
     return episodes.where(F.map_contains_key(trajectories, label)).select(ident, F.element_at(trajectories, label).alias("trajectory"))
+
+
+def shape_distance(a: Column, b: Column, epsilon: float = 1e-6) -> Column:
+    """L2 distance of two arrays, each less its mean and over its population deviation; the shorter one ends in zeros."""
+
+    def standard(x: Column) -> Column:
+        total = lambda y: F.aggregate(y, F.lit(0.0), lambda acc, v: acc + v)
+        mean = total(x) / F.size(x)
+        deviation = F.sqrt(total(F.transform(x, lambda v: (v - mean) * (v - mean))) / F.size(x))
+        return F.transform(x, lambda v: (v - mean) / (deviation + epsilon))
+
+    gaps = F.zip_with(standard(a), standard(b), lambda x, y: F.coalesce(x, F.lit(0.0)) - F.coalesce(y, F.lit(0.0)))
+    return F.sqrt(F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g))

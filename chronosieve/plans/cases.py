@@ -538,3 +538,54 @@ def value_at(spark, sf):
     """Gated access: values only for the labels and days that are asked for."""
     e = T.events(spark, sf).withColumn("day", F.date_format("ts", "yyyyMMdd").cast("int"))
     return e.where("event_type = 'error' and ts >= timestamp_ntz'2024-01-10' and ts < timestamp_ntz'2024-01-12'").groupBy("user_id", "event_type", "day").agg(F.max_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+@query("shape_padded", """
+WITH l AS (SELECT user_id, list(value ORDER BY ts, event_id) FILTER (WHERE event_type = 'error') AS a, list(value ORDER BY ts, event_id) FILTER (WHERE event_type = 'view') AS b FROM events GROUP BY 1),
+z AS (SELECT user_id, list_transform(a, lambda x: (x - list_avg(a)) / (list_stddev_pop(a) + 1e-6)) AS a, list_transform(b, lambda x: (x - list_avg(b)) / (list_stddev_pop(b) + 1e-6)) AS b FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+g AS (SELECT user_id, unnest(list_zip(a, b)) AS g FROM z)
+SELECT user_id, round(sqrt(sum((coalesce(g[1], 0) - coalesce(g[2], 0)) * (coalesce(g[1], 0) - coalesce(g[2], 0)))), 6) AS distance FROM g GROUP BY 1""")
+def shape_padded(spark, sf):
+    series = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("event_type") == k, F.struct("ts", "event_id", "value")))), lambda x: x["value"])
+    both = T.events(spark, sf).groupBy("user_id").agg(series("error").alias("a"), series("view").alias("b")).where("size(a) > 0 and size(b) > 0")
+    return both.select("user_id", F.round(K.shape_distance(F.col("a"), F.col("b")), 6).alias("distance"))
+
+
+def _listed(kind: str) -> str:
+    return f"""(SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY k DESC) AS {kind} FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, floor(value), date_trunc('day', ts) ORDER BY ts, event_id) AS r FROM events WHERE event_type = '{kind}') WHERE r = 1) WHERE k <= 5 GROUP BY 1) {kind}"""
+
+
+@query("full_records", f"SELECT user_id, coalesce(error, '') AS error, coalesce(view, '') AS view, coalesce(click, '') AS click FROM {_listed('error')} FULL JOIN {_listed('view')} USING (user_id) FULL JOIN {_listed('click')} USING (user_id)")
+def full_records(spark, sf):
+    """Everything of a subject: the newest entries of each table, one for each thing and day."""
+    from ..operators.records import full_record
+
+    e = T.events(spark, sf).withColumn("what", F.floor("value"))
+    kinds = ("error", "view", "click")
+    record = full_record({k: e.where(F.col("event_type") == k) for k in kinds}, "user_id", "what", 5)
+    return record.select("user_id", *[F.array_join(F.transform(k, lambda x: x["event_id"].cast("string")), ",").alias(k) for k in kinds])
+
+
+@query("signal_window_cases", f"""
+WITH {T._PAIRS}, t AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+n AS (SELECT p.user_id, visible_id, target_id, v_visible, v_target, gap_hours, v.ts AS tv, w.ts AS tw, (SELECT count(*) FROM events x WHERE x.user_id = p.user_id AND x.event_type <> 'error' AND x.ts > v.ts AND x.ts <= w.ts) AS n_signals
+  FROM pairs p JOIN t v ON v.event_id = visible_id JOIN t w ON w.event_id = target_id),
+s AS (SELECT *, 3 * n_signals + 2 * CASE WHEN v_target > 0 THEN abs(v_target - v_visible) / v_target WHEN v_target <> v_visible THEN 1 ELSE 0 END + CASE WHEN gap_hours BETWEEN 6 AND 24 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM n),
+b AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, target_id, visible_id) AS r FROM s)
+SELECT b.user_id, visible_id, target_id, n_signals, round(score, 9) AS score, (SELECT count(*) FROM events x WHERE x.user_id = b.user_id AND CASE WHEN x.event_type = 'error' THEN x.ts <= tv ELSE x.ts <= tw END) AS n_seen FROM b WHERE r = 1""")
+def signal_window_cases(spark, sf):
+    """The window of each subject that other measurements tell most about, and how much of its record may be seen."""
+    from ..operators.records import signals_until
+
+    e = T.events(spark, sf)
+    own = F.col("event_type") == "error"
+    counted = signals_until(e, "user_id", ~own).where(own)
+    at = lambda side, t: counted.select(F.col("event_id").alias(f"{side}_id"), F.col("ts").alias(t), F.col("signals").alias(f"n_{side}"))
+    pairs = S.ordered_pairs(e.where(own), ["user_id"]).join(at("visible", "t_visible"), "visible_id").join(at("target", "t_target"), "target_id")
+    scored = pairs.withColumn("n_signals", F.col("n_target") - F.col("n_visible")).withColumn("score", D.window_score("n_signals", D.relative_gap("v_visible", "v_target"), "gap_hours"))
+    best = C.per_group(scored, ["user_id"], [F.desc("score"), F.col("target_id"), F.col("visible_id")], 1)
+    case = best.select("user_id", "visible_id", "target_id", "n_signals", F.round("score", 9).alias("score"), "t_visible", "t_target")
+    keys = ["user_id", "visible_id", "target_id", "n_signals", "score"]
+    return A.masked(e, case, "user_id", own).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_seen"))
