@@ -27,7 +27,7 @@ from .common import load
 
 SPACE = "▁"
 #: Chunks that a task remembers: so many in each of two generations, none longer than this.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 100_000, 48
 _CHUNK = re.compile("\n| *[^ \n]+| +")
 
 
@@ -110,6 +110,8 @@ class Codec:
             p, q = self.pieces[a], self.pieces[b]
             if len(self.pairs) > 2_000_000:
                 self.pairs.clear()
+            if len(self.pairs) >= 2 * REMEMBERED:
+                self.pairs.clear()
             known = self.pairs[key] = self.merged(p + q) == [p, q]
         return known
 
@@ -211,15 +213,19 @@ def tokenized(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: s
     def run(batches):
         encode = shared.value.encode
         for batch in batches:
-            rows = [encode(t.as_py() or "") for t in batch.column("text")]
+            rows = []
+            for t in batch.column("text"):
+                n, ids, decoded = encode(t.as_py() or "")
+                # digests at once: the texts of a whole batch need not be held twice
+                rows.append((n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest(), *((ids, decoded) if with_ids else ())))
             columns = {
                 "doc_id": batch.column("doc_id"),
                 "n_tokens": pa.array([x[0] for x in rows], pa.int64()),
-                "ids_sha256": pa.array([hashlib.sha256(x[1].encode()).hexdigest() for x in rows], pa.string()),
-                "decoded_sha256": pa.array([hashlib.sha256(x[2].encode()).hexdigest() for x in rows], pa.string()),
+                "ids_sha256": pa.array([x[1] for x in rows], pa.string()),
+                "decoded_sha256": pa.array([x[2] for x in rows], pa.string()),
             }
             if with_ids:
-                columns |= {"ids": pa.array([[int(k) for k in x[1].split(",")] if x[1] else [] for x in rows], pa.list_(pa.int32())), "decoded": pa.array([x[2] for x in rows], pa.string())}
+                columns |= {"ids": pa.array([[int(k) for k in x[3].split(",")] if x[3] else [] for x in rows], pa.list_(pa.int32())), "decoded": pa.array([x[4] for x in rows], pa.string())}
             yield pa.RecordBatch.from_pydict(columns)
 
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -49,7 +49,7 @@ COST = 1.0
 #: Longer runs without a space are looked at in overlapping windows.
 RUN, PIECE, STEP = 40, 16, 4
 #: Gains of so many different words are remembered by a task.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Stands for the gain of a run without a window.
 NOTHING = -(1 << 40)
 #: Odd multipliers of the min-hashes that tell near copies in the sample.
@@ -148,6 +148,10 @@ class Distance:
         g = np.array(found + more, np.int64)
         return g[g != NOTHING]
 
+    def forget(self) -> None:
+        """Called when a task ends: Python workers live on, and so would what they remember."""
+        self._known, self._pair = {}, None
+
     def features(self, text: str) -> list[float]:
         """Largest gains, shares of clear and of high gains, and the length."""
         g = self.gains(text)
@@ -162,6 +166,10 @@ class Model:
     def __init__(self, distance: Distance | None, weights: np.ndarray | None = None, constant: float = 0.0):
         self.distance, self.weights, self.constant = distance, weights, constant
 
+    def forget(self) -> None:
+        if self.distance is not None:
+            self.distance.forget()
+
     def score(self, text: bytes | str) -> float:
         if self.distance is None:
             return self.constant
@@ -254,6 +262,7 @@ def score_texts(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             held = [x is not None and zlib.crc32(str(x).encode()) % 5 == 0 for x in ids.to_pylist()]
             scores = [score(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays([ids, pa.array(held), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
+        shared.value.forget()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
@@ -267,6 +276,7 @@ def clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in batches:
             texts = batch.column(text_col).fill_null("").cast(pa.binary())
             yield batch.filter(pa.array([score(t.as_py()) < 0.5 for t in texts], pa.bool_()))
+        shared.value.forget()
 
     return docs.mapInArrow(run, docs.schema)
 
