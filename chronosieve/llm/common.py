@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting by which a query removes its shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -35,7 +37,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in spark.checkpoint.dir. Where that is
     unset, a temporary folder is taken in local mode, as in tests; on a cluster it would
-    be lost with its machine, so that is an error.
+    be lost with its machine, so that is an error. The shuffle files that led to the
+    checkpoint are removed with it, as nothing reads them again.
     """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
@@ -43,7 +46,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
+    conf = df.sparkSession.conf
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, which takes the setting
+    finally:
+        conf.set(CLEANUP, before)
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
