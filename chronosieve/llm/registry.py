@@ -1,6 +1,6 @@
 """The queries of this subpackage by name, and SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, nearest, ngram_join, sharding, substring_dedup, suffix_dedup, surrogates, tokenize, toxicity
+from . import exact_dedup, manifest, minhash, mixing, nearest, negatives, ngram_join, sharding, substring_dedup, suffix_dedup, surrogates, tokenize, toxicity
 
 QUERIES = {
     "op1_sentencepiece": tokenize.op1,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8,
     "op9_surrogates": surrogates.op9,
     "op10_substring_dedup": substring_dedup.op10,
+    "op11_negatives": negatives.op11,
+    "op12_minhash": minhash.op12,
+    "op13_manifest": manifest.op13,
 }
 ORACLES = {
     "op2_nearest": nearest.ORACLE,
@@ -20,4 +23,7 @@ ORACLES = {
     "op7_exact_dedup": exact_dedup.ORACLE,
     "op8_suffix_dedup": suffix_dedup.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_negatives": negatives.ORACLE,
+    "op12_minhash": minhash.ORACLE,
+    "op13_manifest": manifest.ORACLE,
 }
