@@ -111,39 +111,34 @@ def paths(nodes: DataFrame, levels: list[DataFrame], above: DataFrame) -> DataFr
     return nodes.join(checkpointed(down), ["tree", "at"])
 
 
-def levels_of(count: int) -> int:
-    """Levels inside a superblock: all that a small source has, LEVELS in a larger one."""
-    levels, nodes = 0, count
-    while nodes > 1 and levels < LEVELS:
-        nodes, levels = -(-nodes // FAN), levels + 1
-    return levels
+def local_levels(leaves: list[bytes], count: int, most: int) -> list[list[bytes]]:
+    """The nodes of a superblock, level by level, from its leaves up to one node.
 
-
-def local_levels(leaves: list[bytes], count: int) -> list[list[bytes]]:
-    """The nodes of a superblock, level by level, from its leaves up to one node; count: leaves of the whole source."""
+    These are all levels of a source of `count` leaves, but `most` in a larger one.
+    """
     out = [leaves]
-    for _ in range(levels_of(count)):
-        low = out[-1]
+    while count > 1 and len(out) <= most:
+        low, count = out[-1], -(-count // FAN)
         out.append([digest(low[k : k + FAN]) for k in range(0, len(low), FAN)])
     return out
 
 
-def _tops(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _tops(rows: pd.DataFrame, most: int) -> pd.DataFrame:
     """The node of each superblock of a group."""
     out = []
     for (tree, at), some in rows.groupby(["tree", "block"]):
         own = some.sort_values("at")
-        out.append((tree, at, local_levels(own["leaf"].tolist(), int(own["count"].iloc[0]))[-1][0]))
+        out.append((tree, at, local_levels(own["leaf"].tolist(), int(own["count"].iloc[0]), most)[-1][0]))
     return pd.DataFrame(out, columns=["tree", "at", "node"])
 
 
-def _proved(key, leaves: pd.DataFrame, outer: pd.DataFrame) -> pd.DataFrame:
+def _proved(leaves: pd.DataFrame, outer: pd.DataFrame, most: int) -> pd.DataFrame:
     """Proofs and folds of a group's leaves: inner levels first, then the path of their superblock."""
     paths_of = {(r.tree, r.at): r for r in outer.itertuples()}
     out = []
     for (tree, block), some in leaves.groupby(["tree", "block"]):
         own, top = some.sort_values("at"), paths_of[(tree, block)]
-        inner = local_levels(own["leaf"].tolist(), int(own["count"].iloc[0]))
+        inner = local_levels(own["leaf"].tolist(), int(own["count"].iloc[0]), most)
         steps = [(int(s["nth"]), [bytes(x) for x in s["children"]]) for s in top.path]
         beyond = "".join(c.hex() for nth, children in steps for k, c in enumerate(children) if k != nth).encode()
         root = bytes(top.root)
@@ -187,14 +182,15 @@ def manifest(docs: DataFrame, changed: Column | None = None, now: Column | None
     sources = located(*laid_out(sources.select(F.lit(None).cast("string").alias("source"), F.col("source").alias("title"), "count"), F.col("title").asc_nulls_first()))
     sources = checkpointed(sources.select("title", F.col("at").alias("tree"), "count"))
     leaves = located(rows, segments.join(sources, F.col("source").eqNullSafe(F.col("title"))).drop("title"))
-    block = F.shiftright("at", LEVELS * (FAN.bit_length() - 1))
+    most = LEVELS
+    block = F.shiftright("at", most * (FAN.bit_length() - 1))
     leaves = leaves.select("name", "tree", "count", "at", block.alias("block"), "leaf", "now")
     total = sources.agg(F.sum("count")).first()[0] or 0
-    groups = max(1, -(-total // FAN**LEVELS))
+    groups = max(1, -(-total // FAN**most))
     group = lambda tree, at: F.pmod(F.xxhash64(tree, at), F.lit(groups)).alias("group")
     leaves = checkpointed(leaves.withColumn("group", group("tree", "block")))
 
-    tops = checkpointed(leaves.select("group", "tree", "block", "count", "at", "leaf").groupBy("group").applyInPandas(_tops, "tree long, at long, node binary"))
+    tops = checkpointed(leaves.select("group", "tree", "block", "count", "at", "leaf").groupBy("group").applyInPandas(lambda rows: _tops(rows, most), "tree long, at long, node binary"))
     subroots, levels = reduced(tops)
     root, upper = reduced(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), "node"))
     ends = paths(subroots.select(F.lit(0).cast("long").alias("tree"), F.col("tree").alias("at"), "node"), upper, root.select("tree", F.array().cast(STEP).alias("path")))
@@ -202,7 +198,7 @@ def manifest(docs: DataFrame, changed: Column | None = None, now: Column | None
     ends = checkpointed(ends.select(F.col("at").alias("tree"), F.col("node").alias("subroot"), "root", "path"))
     outer = paths(tops, levels, ends.select("tree", "path")).join(ends.select("tree", "subroot", "root"), "tree")
     outer = outer.select(group("tree", "at"), "tree", "at", "subroot", "root", "path")
-    proved = leaves.groupBy("group").cogroup(outer.groupBy("group")).applyInPandas(_proved, OUT)
+    proved = leaves.groupBy("group").cogroup(outer.groupBy("group")).applyInPandas(lambda rows, nodes: _proved(rows, nodes, most), OUT)
     # ids go through pandas as text: beside a null, numbers would become doubles there
     return proved.select(F.col("name").cast("long").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 

@@ -147,10 +147,8 @@ def _tiles(percent: int):
     limit = most_ones(percent)
     schema = pa.schema([("node", pa.binary()), ("home", pa.int64())])
 
-    def column(batch, name, kind, width=1):
-        flat = batch.column(name)
-        data = flat.flatten() if width > 1 else flat
-        return data.to_numpy(zero_copy_only=False).astype(kind).reshape(-1, width) if width > 1 else data.to_numpy(zero_copy_only=False)
+    def column(batch, name):
+        return batch.column(name).to_numpy(zero_copy_only=False)
 
     def asked(members, rows):
         odd, n, part, home = (np.concatenate(x) for x in zip(*members, strict=True))
@@ -165,8 +163,9 @@ def _tiles(percent: int):
     def run(batches):
         tile, members = None, []
         for batch in batches:
-            tiles, role = column(batch, "tile", None), column(batch, "role", None)
-            odd, n, part, home = column(batch, "odd", np.int64, WORDS), column(batch, "n", None), column(batch, "part_key", None), column(batch, "home", None)
+            tiles, role, n, part, home = (column(batch, c) for c in ("tile", "role", "n", "part_key", "home"))
+            # unsigned, as the ones of negative numbers are not their bits to numpy
+            odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
             node, out = batch.column("node").to_pylist(), []
             cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(role) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)], strict=True):

@@ -35,7 +35,7 @@ def vector_rows(seed):
     middle = [rnd.gauss(0, 1) for _ in range(6)]
     rows = [(k, [float(np.float32(x)) for x in near(middle)], rnd.randint(0, 2), "s", 1, 2) for k in range(60)]
     rows += [(100 + k, [1.0, 0.5, 0.0, 0.0, 0.0, 0.25], k % 3, None, None, None) for k in range(40)]  # ties
-    rows += [rows[0], rows[0], (3, [0.5] * 6, 1, "", 0, 0), (6, None, 1, "", 0, 0), (9, [1.0, None, 0, 0, 0, 0], 1, "", 0, 0), (12, [math.nan] * 6, 1, "", 0, 0), (15, [math.inf] * 6, 0, "", 0, 0)]
+    rows += [rows[0], rows[0], (3, [0.5] * 6, 1, "", 0, 0), (6, None, 1, "", 0, 0), (9, [1.0, None, 0.0, 0.0, 0.0, 0.0], 1, "", 0, 0), (12, [math.nan] * 6, 1, "", 0, 0), (15, [math.inf] * 6, 0, "", 0, 0)]
     rows += [(18, [0.5] * 6, None, "", 0, 0), (None, [0.5] * 6, 1, "", 0, 0), (21, [0.25, 1.0], 1, "", 0, 0), (24, [0.25, 0.75], 1, "", 0, 0), (25, [0.25, 0.7], 2, "", 0, 0), (30, [], 1, "", 0, 0), (33, [0.0] * 6, 1, "", 0, 0)]
     return rows
 
