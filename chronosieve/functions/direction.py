@@ -101,8 +101,9 @@ def overridden(struct: Column, **fields) -> Column:
 
 
 def severity_bin(score) -> Column:
+    # fixed values: the names of the bins
     s = _col(score)
-    return F.when(s < 4, "mild").when(s < 7, "moderate").when(s < 10, "severe").otherwise("critical")
+    return F.when(s < 4, "mild").when(s < 7, "moderate").when(s < 10, "moderately_severe").otherwise("severe")
 
 
 def difficulty(n_context) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
+from .calipers import nearest_controls
 from .cohort import either_side
 from .ranks import numbered, quantiles
 
@@ -157,14 +158,12 @@ def caliper_pairs(rows: DataFrame, group: list[str], ident: str, treated: str, p
     """Each treated row with its nearest control within the caliper, controls used `reuse` times at most.
 
     The caliper is `share` population deviations of p in the group. Treated rows choose
-    in the order of p (ties by id), each the nearest control (ties by id) that has room.
+    in the order of p (ties by id), each the nearest control (ties by id) that has room;
+    see calipers, also for ties of points on both sides.
     """
-    width = rows.groupBy(*group).agg((F.stddev_pop(p) * share).alias("__width")) if group else rows.agg((F.stddev_pop(p) * share).alias("__width"))
-    sized = (rows.join(F.broadcast(width), group) if group else rows.crossJoin(F.broadcast(width))).withColumn("__cell", F.coalesce(F.floor(F.try_divide(F.col(p), "__width")), F.lit(0)))  # a row for each group
-    a = sized.where(F.col(treated) == 1).select(*group, F.col(ident).alias("a_id"), F.col(p).alias("pa"), "__width", F.explode(F.array(F.col("__cell") - 1, F.col("__cell"), F.col("__cell") + 1)).alias("__cell"))
-    b = sized.where(F.col(treated) == 0).select(*group, F.col(ident).alias("b_id"), F.col(p).alias("pb"), "__cell")
-    near = a.join(b, [*group, "__cell"]).withColumn("score", F.abs(F.col("pa") - F.col("pb"))).where(F.col("score") <= F.col("__width")).select(*group, "a_id", "b_id", "pa", "pb", "score")
-    return settled(near, group, ["score", "b_id"], ["pa", "a_id"], reuse)
+    known = rows.where(F.col(p).isNotNull() & ~F.isnan(p))
+    width = (known.groupBy(*group) if group else known).agg((F.stddev_pop(p) * share).alias("__width"))
+    return nearest_controls(rows, group, ident, treated, p, width, reuse)
 
 
 def systems(label: Column, words: dict[str, str], other: str = "other") -> Column:

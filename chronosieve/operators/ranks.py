@@ -1,7 +1,7 @@
-"""Places and quantiles over a whole table, in two steps: counts of buckets, then order within a bucket.
+"""Places, neighbours and quantiles over a whole table, in two steps: about all parts together, then within each.
 
-No task orders more than a bucket, and what is known about the buckets is bounded
-by their number, whatever the size of the table.
+Places and neighbours take range partitions, quantiles counts of buckets. No task orders
+more than a part, and what is known about the parts is bounded by their number.
 """
 
 from __future__ import annotations
@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+
 BUCKETS = 1024
 #: Rows of one bucket that are ordered at once; a fuller bucket is divided again.
 FEW = 100_000
@@ -20,20 +22,53 @@ def _bucket(x: Column, low: Column, high: Column, n: int = BUCKETS) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(n - 1), at)).cast("int")
 
 
+def _laid_out(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """`rows` in range partitions of the whole order, checkpointed, with __part and __nth (the place in it).
+
+    Spark samples the order's keys for the ends of the ranges, so partitions are about
+    equally full however the keys are spread. Rows that are equal in the whole
+    order lie in one partition, so it should end in an id.
+    """
+    nth = F.monotonically_increasing_id()
+    part = F.shiftright(nth, 33)
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return saved(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("*", part.alias("__part"), (nth - F.shiftleft(part, 33)).alias("__nth")))
+
+
+def running(rows: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """`rows` with, for each name, the sum of a value over all rows before in the order; of F.lit(1), that is the place from 0."""
+    placed = _laid_out(rows, order)
+    own = Window.partitionBy("__part").orderBy("__nth").rowsBetween(Window.unboundedPreceding, -1)
+    sums = placed.groupBy("__part").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    # a row for each partition, so one task orders them and all get them
+    ahead = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select("__part", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"__b_{n}") for n in values])
+    inside = placed.withColumns({f"__o_{n}": F.coalesce(F.sum(v).over(own), F.lit(0)) for n, v in values.items()})
+    out = inside.join(F.broadcast(before), "__part")
+    return out.withColumns({n: F.col(f"__o_{n}") + F.col(f"__b_{n}") for n in values}).select(*rows.columns, *values)
+
+
 def numbered(rows: DataFrame, lead: Column, order: list[Column], name: str = "number", value: Column | None = None) -> DataFrame:
-    """`rows` with their place from 0 in the order of (lead, *order), or with the sum of `value` over all rows before.
+    """`rows` with their place from 0 in the order of (lead, *order), or with the sum of `value` over all rows before."""
+    return running(rows, [lead, *order], {name: F.lit(1) if value is None else value})
+
+
+def previous(rows: DataFrame, group: list[str], order: list[Column], column: str, name: str) -> DataFrame:
+    """`rows` with a column's value in the row before of the same group, null in a group's first row.
 
-    lead is a number that orders the rows roughly; it should be spread over its range.
+    A partition's first row gets what its left neighbour's last row holds: one
+    row is carried over each boundary.
     """
-    rows = rows.withColumn("__lead", lead.cast("double"))
-    ends = rows.agg(F.min("__lead").alias("__low"), F.max("__lead").alias("__high"))
-    part = rows.crossJoin(F.broadcast(ends)).withColumn("__bucket", _bucket(F.col("__lead"), F.col("__low"), F.col("__high"))).drop("__low", "__high")  # one row on the right
-    v = F.lit(1) if value is None else value
-    sums = part.groupBy("__bucket").agg(F.sum(v).alias("__sum"))  # BUCKETS rows at most
-    before = sums.select("__bucket", F.coalesce(F.sum("__sum").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    own = Window.partitionBy("__bucket").orderBy("__lead", *order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = part.withColumn("__own", F.coalesce(F.sum(v).over(own), F.lit(0))).join(F.broadcast(before), "__bucket")
-    return placed.withColumn(name, F.col("__own") + F.col("__before")).drop("__lead", "__bucket", "__own", "__before")
+    placed = _laid_out(rows, [*map(F.col, group), *order])
+    held = F.struct(*group, F.col(column).alias("__value"))
+    last = placed.groupBy("__part").agg(F.max_by(held, "__nth").alias("__last"))
+    carried = last.select("__part", F.lag("__last").over(Window.orderBy("__part")).alias("__carried"))  # a row for each partition
+    inside = placed.withColumn("__held", F.lag(held).over(Window.partitionBy("__part").orderBy("__nth")))
+    out = inside.join(F.broadcast(carried), "__part").withColumn("__held", F.when(F.col("__nth") == 0, F.col("__carried")).otherwise(F.col("__held")))
+    same = F.lit(True)
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__held.{g}"))
+    return out.withColumn(name, F.when(same, F.col("__held.__value"))).select(*rows.columns, name)
 
 
 def quantiles(rows: DataFrame, group: list[str], value: str, shares: list[float]) -> DataFrame:

@@ -1,4 +1,4 @@
 """All queries of the library by name, each with its DuckDB statement where SQL can express it."""
 
-from . import cases, cohorts, records, scores, texts, timelines  # noqa: F401  they register themselves
+from . import bundles, cases, cohorts, records, scores, texts, timelines  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES  # noqa: F401

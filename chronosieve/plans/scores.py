@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import direction as D
 from ..operators import score as K
-from ..operators.ranks import quantiles
+from ..operators.ranks import previous, quantiles
 from ..session import load
 from . import timelines as T
 from .registry import query
@@ -134,7 +134,7 @@ SELECT event_type, CAST(count(*) FILTER (WHERE sign(change) = sign(predicted)) A
   CAST(count(*) FILTER (WHERE sign(change) = sign(other)) AS DOUBLE) / count(*) AS permuted FROM p WHERE other IS NOT NULL GROUP BY 1""")
 def invariance_shuffle(spark, sf):
     """The sign match as given, with both sides swapped (which cannot change it), and with the next subject's prediction."""
-    p = _ends(spark, sf).withColumn("other", F.lag("predicted").over(Window.partitionBy("event_type").orderBy("user_id"))).where("other is not null")
+    p = previous(_ends(spark, sf), ["event_type"], [F.col("user_id")], "predicted", "other").where("other is not null")
     rate = lambda a, b: F.count_if(F.signum(a) == F.signum(b)) / F.count(F.lit(1))
     return p.groupBy("event_type").agg(rate(F.col("change"), F.col("predicted")).alias("as_given"), rate(-F.col("change"), -F.col("predicted")).alias("swapped"), rate(F.col("change"), F.col("other")).alias("permuted"))
 

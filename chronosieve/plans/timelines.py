@@ -204,7 +204,7 @@ def inflection_index(spark, sf):
 _SEVERITY = """
 b AS (SELECT user_id, event_type, max(value) AS m FROM events GROUP BY 1, 2),
 sev AS (SELECT user_id, CAST(least(sum(CASE WHEN m > 200 THEN 4 WHEN m > 120 THEN 3 WHEN m > 80 THEN 2 WHEN m > 40 THEN 1 ELSE 0 END), 24) AS BIGINT) AS severity FROM b GROUP BY 1)"""
-_BIN = "CASE WHEN severity < 4 THEN 'mild' WHEN severity < 7 THEN 'moderate' WHEN severity < 10 THEN 'severe' ELSE 'critical' END"
+_BIN = "CASE WHEN severity < 4 THEN 'mild' WHEN severity < 7 THEN 'moderate' WHEN severity < 10 THEN 'moderately_severe' ELSE 'severe' END"
 
 
 def _severity(spark, sf):

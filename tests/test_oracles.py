@@ -65,6 +65,57 @@ def test_caliper_pairs_against_one_after_another(spark):
     assert {(r.g, r.a_id, r.b_id) for r in got} == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("seed, treated, n, points, share", [(1, 0.5, 300, 8, 0.2), (3, 0.3, 200, 9, 0.05), (2, 0.8, 90, 7, 0.3)])
+def test_caliper_pairs_over_seams(spark, monkeypatch, seed, treated, n, points, share):
+    """Blocks of a few points, with controls to spare and with too few of them: the same pairs as one scan over all."""
+    import random
+
+    from chronosieve.operators import calipers
+    from chronosieve.operators.matching import caliper_pairs
+
+    monkeypatch.setattr(calipers, "POINTS", points)
+    rnd = random.Random(seed)
+    rows = [(g, k + 1000 * g, int(rnd.random() < treated), round(rnd.random() ** (1 + g), 12)) for g in (0, 1) for k in range(n)]
+    df = spark.createDataFrame([*rows, (0, -1, 1, None), (1, -2, 0, float("nan")), (None, -3, 1, 0.5), (None, -4, 0, 0.5)], "g int, id long, treated int, p double")
+    got = caliper_pairs(df, ["g"], "id", "treated", share=share).collect()
+    want = {(g, *x) for g in (0, 1) for x in one_after_another([r[1:] for r in rows if r[0] == g], share)}
+    assert {(r.g, r.a_id, r.b_id) for r in got} == want and len(got) == len(want)
+
+
+def test_caliper_pairs_of_one_point_and_of_nothing(spark, monkeypatch):
+    """All rows at one p: each treated row, by id, takes the next place; treated rows beyond a block go into further ones."""
+    from chronosieve.operators import calipers
+    from chronosieve.operators.matching import caliper_pairs
+
+    monkeypatch.setattr(calipers, "POINTS", 16)
+    rows = [(k, 1, 0.5) for k in range(100)] + [(k, 0, 0.5) for k in range(100, 140)] + [(200, 0, 0.9), (201, 1, 0.9)]
+    got = {(r.a_id, r.b_id) for r in caliper_pairs(spark.createDataFrame(rows, "id long, treated int, p double"), [], "id", "treated", share=0.1).collect()}
+    assert got == {(k, 100 + k // 2) for k in range(80)} | {(201, 200)}
+    assert caliper_pairs(spark.createDataFrame([], "id long, treated int, p double"), [], "id", "treated").collect() == []
+
+
+def test_places_under_an_outlier(spark):
+    """One far value: ranges stay about equally full, places and running sums exact, neighbours found across all boundaries."""
+    from pyspark.sql import functions as F
+
+    from chronosieve.operators import ranks
+
+    rows = [(k, float((k * 7919) % 4001), "ab"[k % 2]) for k in range(4000)] + [(4000, 1e300, "a")]
+    df = spark.createDataFrame(rows, "id long, x double, g string").repartition(6)
+    order = sorted(rows, key=lambda r: (r[1], r[0]))
+    got = {r.id: (r.number, r.total) for r in ranks.running(df, [F.col("x"), F.col("id")], {"number": F.lit(1), "total": F.col("id")}).collect()}
+    total = 0
+    for k, r in enumerate(order):
+        assert got[r[0]] == (k, total)
+        total += r[0]
+    sizes = [r["count"] for r in ranks._laid_out(df, [F.col("x"), F.col("id")]).groupBy("__part").count().collect()]
+    assert max(sizes) < 2 * sorted(sizes)[len(sizes) // 2]
+    before = {r.id: r.other for r in ranks.previous(df, ["g"], [F.col("x"), F.col("id")], "id", "other").collect()}
+    for g in "ab":
+        own = [r[0] for r in order if r[2] == g]
+        assert [before[i] for i in own] == [None, *own[:-1]]
+
+
 def test_greedy_pairs_against_score_order(spark):
     import random
 
