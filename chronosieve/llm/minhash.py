@@ -12,10 +12,11 @@ SAMPLES min-hashes of a set serve twice:
 
 A large group of near copies must not cost its pairs. So links are sought in this order:
 
-1. Leaders. In each bucket the least set leads; of the leaders of its buckets, each set is
-   confirmed against the one whose sketch is nearest. Linked parts are found, and once more
-   each set asks the nearest leader of another part. These rounds are linear, and nothing
-   is decided against a set in them.
+1. Leaders. In each bucket the set leads whose buckets are the fullest, as it is likely in the
+   middle of its group; of the leaders of its buckets, each set is confirmed against the
+   one whose sketch is nearest. Linked parts are found, and each set asks the nearest
+   leader of another part, as long as that joins many. These rounds are linear, and
+   nothing is decided against a set in them.
 2. The rest. Only buckets that still hold several parts are looked at as a whole, in
    tiles of BLOCK by BLOCK sketches, without the pairs inside the bucket's largest part.
    A set whose sketch passes against some set of a group is confirmed against that group;
@@ -42,8 +43,10 @@ SAMPLES, ROWS = 128, 4
 #: Bits of an odd sketch, in words of 64.
 WORDS = 16
 BITS = 64 * WORDS
-#: Rounds in which sets ask leaders; sets of a tile's side, about; tokens of a group's sets, about.
-ROUNDS, BLOCK, TOKENS = 2, 512, 1 << 20
+#: Sets of a tile's side, about; tokens of a group's sets, about.
+BLOCK, TOKENS = 512, 1 << 20
+#: Leaders are asked again as long as a round leaves at most this share of the places in mixed buckets.
+FEWER = 0.7
 #: Standard deviations of the estimate by which a link may look less similar than it is.
 SIGMAS = 6
 
@@ -115,29 +118,30 @@ def fits(n: str, m: str, percent: int) -> Column:
 
 
 def leaders(keys: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """keys: node, part, key; sets: node, n, odd, rep -> node, lead, reps: for each set the leader of another part that its sketch is nearest to.
+    """keys: node, part, rank, key; sets: node, n, odd, rep -> node, part, rep, lead, lead_part, lead_rep: for each set the leader of another part that its sketch is nearest to.
 
-    A bucket has two leaders of different parts, so each set has one that is not of its own.
+    In a bucket the highest rank leads its own part's sets no further than to the highest rank
+    of another part, so each set has a leader that is not of its own part.
     """
-    low = F.min(F.struct("node", "part"))
-    first = keys.groupBy("key").agg(low.alias("one"))
-    # of each part the least set, then the least of another part than the bucket's least
-    of_parts = keys.groupBy("key", "part").agg(F.min("node").alias("node"))
-    second = of_parts.join(first, "key").where(F.col("part") != F.col("one.part")).groupBy("key").agg(F.first("one").alias("one"), low.alias("two"))
-    second = checkpointed(second)
-    lead = F.when(F.col("part") == F.col("one.part"), F.col("two.node")).otherwise(F.col("one.node"))
-    pairs = keys.join(second, "key").select("node", lead.alias("lead")).distinct()
+    best = F.max(F.struct("rank", "node", "part"))
+    of_parts = keys.groupBy("key", "part").agg(F.max(F.struct("rank", "node")).alias("top")).select("key", "part", "top.rank", "top.node")
+    one = of_parts.groupBy("key").agg(best.alias("one"))
+    two = of_parts.join(one, "key").where(F.col("part") != F.col("one.part")).groupBy("key").agg(F.first("one").alias("one"), best.alias("two"))
+    two = checkpointed(two)
+    lead = F.when(F.col("part") == F.col("one.part"), F.col("two")).otherwise(F.col("one"))
+    pairs = keys.join(two, "key").select("node", "part", lead.alias("lead")).select("node", "part", F.col("lead.node").alias("lead"), F.col("lead.part").alias("lead_part")).distinct()
     own = sets.select("node", "n", "odd", "rep")
     theirs = sets.select(F.col("node").alias("lead"), F.col("n").alias("m"), F.col("odd").alias("lead_odd"), F.col("rep").alias("lead_rep"))
     both = pairs.join(own, "node").join(theirs, "lead").where(fits("n", "m", percent)).withColumn("ones", ones("odd", "lead_odd"))
     both = both.where(F.col("ones") <= most_ones(percent))
-    return both.groupBy("node", "rep").agg(F.min(F.struct("ones", "lead", "lead_rep")).alias("best")).select("node", "rep", "best.lead", "best.lead_rep")
+    near = F.min(F.struct("ones", "lead", "lead_part", "lead_rep")).alias("best")
+    return both.groupBy("node", "part").agg(F.first("rep").alias("rep"), near).select("node", "part", "rep", "best.lead", "best.lead_part", "best.lead_rep")
 
 
 def in_parts(keys: DataFrame, links: DataFrame) -> DataFrame:
-    """keys with the part (least linked node) of each node; only buckets that hold several parts."""
-    part = components(links).select("node", F.col("root").alias("part"))
-    keys = keys.select("node", "key").join(part, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    """keys: node, rank, key, part -> the same with parts joined by links (u, v) between parts; only buckets that hold several parts."""
+    whole = components(links).select(F.col("node").alias("part"), F.col("root").alias("__whole"))
+    keys = keys.join(whole, "part", "left").select("node", "rank", "key", F.coalesce("__whole", "part").alias("part"))
     mixed = keys.groupBy("key").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a != b").select("key")
     return checkpointed(keys.join(mixed, "key", "left_semi"))
 
@@ -236,18 +240,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     sets = sketch.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"), F.first("odd").alias("odd"), F.first("bands").alias("bands"))
     sets = checkpointed(sets)
     keys = sets.select("node", F.posexplode("bands").alias("r", "h")).select("node", F.xxhash64("r", "h").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select("key")
-    keys = checkpointed(keys.join(shared, "key", "left_semi").withColumn("part", F.col("node")))
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1")
+    keys = checkpointed(keys.join(shared, "key"))
+    # sets in the fullest buckets are in the middle of their group, and most of it is near them
+    rank = keys.groupBy("node").agg(F.sum("sets").alias("rank"))
+    keys = checkpointed(keys.join(rank, "node").select("node", "rank", "key", F.col("node").alias("part")))
+    left = keys.count()
     links = None
-    for _ in range(ROUNDS):
+    while left:
         asks = checkpointed(leaders(keys, sets, percent).withColumn("gid", F.xxhash64("lead")))
         led = asks.select("gid", F.col("lead").alias("node"), F.col("lead_rep").alias("rep")).distinct()
-        found = compared(rows, led, asks.select("gid", "node", "rep"), shingle, percent)
-        links = checkpointed(found if links is None else links.unionByName(found))
-        keys = in_parts(keys, links)
+        found = checkpointed(compared(rows, led, asks.select("gid", "node", "rep"), shingle, percent))
+        links = found if links is None else links.unionByName(found)
+        # a set asked once at most, so its link is known by it
+        parts = found.join(asks.select(F.col("node").alias("u"), "part", "lead_part"), "u").select(F.col("part").alias("u"), F.col("lead_part").alias("v"))
+        keys = in_parts(keys, parts)
+        before, left = left, keys.count()
+        if left > FEWER * before:
+            break
     members, asking = rest(keys, sets, percent)
-    links = links.unionByName(compared(rows, members, asking, shingle, percent))
-    roots = components(links)
+    members, asking = rest(keys, sets, percent)
+    last = compared(rows, members, asking, shingle, percent)
+    roots = components(last if links is None else links.unionByName(last))
     own = sets.select("node", "first_id").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "first_id")
     named = own.join(own.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("node", "component_id")
     some = sketch.where("n > 0").select("doc_id", "n", "node").join(named, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
