@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a maximal run of characters other than the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Spark's setting by which a query removes its shuffle files when it ends.
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Seconds between two looks at what the driver needs no more.
+EVERY_S = 5.0
+_looked = 0.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -37,22 +40,26 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
     The folder is the one the cluster names in spark.checkpoint.dir. Where that is
     unset, a temporary folder is taken in local mode, as in tests; on a cluster it would
-    be lost with its machine, so that is an error. The shuffle files that led to the
-    checkpoint are removed with it, as nothing reads them again.
+    be lost with its machine, so that is an error.
+
+    Spark's cleaner removes shuffle files, and checkpoints if
+    spark.cleaner.referenceTracking.cleanCheckpoints is set, when the driver has collected
+    what referred to them; a driver with memory to spare would let the executors' disks fill
+    before. So it is asked to collect every few seconds: only what nothing can read again goes.
     """
+    global _looked
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    conf = df.sparkSession.conf
-    before = conf.get(CLEANUP, "false")
-    conf.set(CLEANUP, "true")
-    try:
-        return df.select("*").checkpoint()  # a query of its own, which takes the setting
-    finally:
-        conf.set(CLEANUP, before)
+    out = df.checkpoint()
+    if time.monotonic() - _looked > EVERY_S:
+        gc.collect()
+        sc._jvm.System.gc()
+        _looked = time.monotonic()
+    return out
 
 
 def numbered(df: DataFrame, *order: Column) -> DataFrame:
