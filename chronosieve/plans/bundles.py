@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import bundles as B, episodes as E
+from ..functions import direction as D
+from ..functions.timewin import micros_between
+from ..operators import bundles as B, charts, cohort as C, episodes as E, series as S, translation
 from ..session import load
+from ..sources import slices
 from . import timelines as T
 from .registry import query
 
@@ -129,3 +132,137 @@ def whole_episodes(spark, sf):
         "subject", "episode", "kind", F.array_join("diagnoses", ",").alias("diagnoses"), F.array_join("medications", ",").alias("medications"), join(pre).alias("pre"), join(post).alias("post"), join(trends).alias("trends"),
         F.col("severity").cast("long").alias("severity"), "severity_bin", "flags.one", "flags.two", F.round(F.col("shifts.error") * 1000).cast("long").alias("shift_error"), F.round(F.col("shifts.view") * 1000).cast("long").alias("shift_view"),
     )
+
+
+POOL = 40
+
+
+def pool_tables(spark, sf) -> dict[str, str]:
+    """Slices of a seeded pool of subjects: measurements with their dictionary, conditions, and procedures with a code."""
+    e = chart(spark, sf)
+    pool = e.select("subject").distinct().orderBy(C.seeded(17, "subject"), "subject").limit(POOL)
+    dictionary = spark.createDataFrame([("error", "E", 10.0, 50.0), ("view", "V", 5.0, 45.0)], "name string, label string, low double, high double")
+    labs = e.where("role = 'measurement'").join(F.broadcast(dictionary), "name", "left").select("subject", "event_id", "ts", "label", "value", "low", "high")  # two rows
+    return slices.materialised({"labs": labs, "conditions": e.where("role = 'condition'").select("subject", "event_id", "name"), "procedures": e.where("role = 'procedure'").select("subject", "event_id", "ts", "code")}, pool, "subject")
+
+
+def of_slices(spark, names: dict[str, str]):
+    """A row for each subject of the slices, from joins and aggregations on their key: no exchange."""
+    labs = spark.table(names["labs"]).groupBy("subject").agg(F.count(F.lit(1)).alias("n_labs"), F.count_if(F.col("value") > F.col("high")).alias("n_high"), F.max_by("label", F.struct("ts", "event_id")).alias("last_label"))
+    conditions = spark.table(names["conditions"]).groupBy("subject").agg(F.concat_ws(",", F.array_sort(F.collect_set("name"))).alias("conditions"))
+    procedures = spark.table(names["procedures"]).groupBy("subject").agg(F.min_by("code", F.struct("ts", "event_id")).alias("first_code"))
+    return labs.join(conditions, "subject", "left").join(procedures, "subject", "left")
+
+
+@query("pool_slices", f"""
+WITH {_CHART}, p AS (SELECT subject FROM (SELECT DISTINCT subject FROM e) ORDER BY md5('17:' || subject), subject LIMIT {POOL}),
+d(name, label, low, high) AS (VALUES ('error', 'E', 10.0::DOUBLE, 50.0::DOUBLE), ('view', 'V', 5.0::DOUBLE, 45.0::DOUBLE)),
+l AS (SELECT subject, count(*) AS n_labs, count(*) FILTER (WHERE value > high) AS n_high, max_by(label, (ts, event_id)) AS last_label FROM e LEFT JOIN d USING (name) WHERE role = 'measurement' AND subject IN (FROM p) GROUP BY 1),
+c AS (SELECT subject, string_agg(DISTINCT name, ',' ORDER BY name) AS conditions FROM e WHERE role = 'condition' GROUP BY 1),
+r AS (SELECT subject, min_by(code, (ts, event_id)) AS first_code FROM e WHERE role = 'procedure' GROUP BY 1)
+SELECT l.*, CASE WHEN c.subject IS NOT NULL THEN coalesce(conditions, '') END AS conditions, first_code FROM l LEFT JOIN c USING (subject) LEFT JOIN r USING (subject)""")
+def pool_slices(spark, sf):
+    return of_slices(spark, pool_tables(spark, sf))
+
+
+ROLES = ["condition", "drug", "procedure", "observation", "visit", "measurement"]
+_SIX = """
+x AS (SELECT user_id AS subject, ts, event_id, value, CASE event_type WHEN 'purchase' THEN 'procedure' WHEN 'signup' THEN 'visit' WHEN 'click' THEN CASE event_id % 3 WHEN 0 THEN 'condition' WHEN 1 THEN 'drug' ELSE 'observation' END ELSE 'measurement' END AS role,
+  CASE event_type WHEN 'error' THEN 'error' WHEN 'view' THEN CASE WHEN event_id % 3 > 0 THEN 'view' ELSE 'odd' END ELSE 'c' || event_id % 7 END AS code FROM events)"""
+_SERIES_DIR = T._DIR.format(b="v1", a="v2")
+
+
+def six_tables(spark, sf):
+    """events as six tables in one, with a main, a known and an unknown kind of measurement."""
+    t, i = F.col("event_type"), F.col("event_id")
+    role = F.when(t == "purchase", "procedure").when(t == "signup", "visit").when(t == "click", F.element_at(F.array(*map(F.lit, ["condition", "drug", "observation"])), (i % 3 + 1).cast("int"))).otherwise("measurement")
+    code = F.when(t == "error", "error").when(t == "view", F.when(i % 3 > 0, "view").otherwise("odd")).otherwise(F.concat(F.lit("c"), (i % 7).cast("string")))
+    return load(spark, sf, "events").select(F.col("user_id").alias("subject"), "ts", "event_id", "value", role.alias("role"), code.alias("code"), code.alias("name"))
+
+
+@query("full_chart_cases", f"""
+WITH {_SIX}, n AS (SELECT subject, event_id, ts, value AS v1, lead(value) OVER w AS v2, lead(ts) OVER w AS ts2, row_number() OVER w AS k FROM x WHERE code = 'error' WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id)),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY md5('23:' || subject || ':' || event_id), event_id) AS r FROM n WHERE {T._H.format(a='ts', b='ts2')} BETWEEN 1 AND 48 AND v1 <> v2) WHERE r = 1),
+s AS (SELECT x.*, count(*) FILTER (WHERE role = 'measurement') OVER (PARTITION BY x.subject) AS total, CASE WHEN role = 'measurement' THEN CASE WHEN x.value IS NULL THEN 'none' WHEN code = 'error' THEN 'pinned' WHEN code = 'view' THEN 'known' ELSE 'unknown' END END AS kind FROM x JOIN c ON c.subject = x.subject AND x.ts <= c.ts),
+a AS (SELECT *, CASE WHEN total > 30 THEN 14 ELSE 20 END AS cap, greatest(0, CASE WHEN total > 30 THEN 14 ELSE 20 END - count(*) FILTER (WHERE kind = 'pinned') OVER u) AS room, count(*) FILTER (WHERE kind = 'known') OVER u AS n_known,
+  row_number() OVER (PARTITION BY subject, kind ORDER BY ts, event_id) AS old, row_number() OVER (PARTITION BY subject, kind ORDER BY ts DESC, event_id DESC) AS new FROM s WINDOW u AS (PARTITION BY subject)),
+k AS (SELECT * FROM a WHERE role <> 'measurement' OR kind = 'pinned' OR (kind = 'known' AND (n_known <= room OR new <= room)) OR (kind = 'unknown' AND n_known <= room AND old <= room - n_known)),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject, role, code, CASE WHEN role <> 'condition' THEN ts::DATE END, CASE WHEN role = 'measurement' THEN event_id END ORDER BY ts, event_id) AS f FROM k) WHERE f = 1),
+l AS (SELECT subject, any_value(total) AS total, any_value(cap) AS cap, {", ".join(f"coalesce(string_agg(event_id::VARCHAR, ',' ORDER BY ts, event_id) FILTER (WHERE role = '{r}'), '') AS {r}" for r in ROLES)} FROM o GROUP BY 1)
+SELECT l.*, c.event_id AS visible_id, v2 AS truth, {_SERIES_DIR} AS direction, CAST(round((v2 - v1) / v1 * 1000) AS BIGINT) AS change_permille, CASE WHEN k <= 1 THEN 'hard' WHEN k = 2 THEN 'medium' ELSE 'easy' END AS difficulty,
+  CAST(round({T._H.format(a='c.ts', b='ts2')} * 10) AS BIGINT) AS tenths_ahead FROM l JOIN c USING (subject)""")
+def full_chart_cases(spark, sf):
+    """One case of each subject: all six tables up to the visible value, capped by the subject's volume, and the truth."""
+    x = six_tables(spark, sf)
+    pairs = S.next_pairs(x.where("code = 'error'"), ["subject"])
+    chosen = C.per_group(pairs, ["subject"], [C.seeded(23, "subject", "event_id"), F.col("event_id")], 1)
+    seen = x.where("code = 'error'").select("event_id", F.col("ts").alias("cutoff"))
+    cases = chosen.join(seen, "event_id").select("subject", "cutoff", F.col("event_id").alias("visible_id"), "before", "after", "direction", "difficulty", "hours_ahead")
+    chart_ = charts.chart_until(x, cases, "subject", ROLES, ["condition"], F.col("code") == "error", F.col("code") == "view", 20, 14, 30)
+    ids = lambda c: F.array_join(F.transform(c, lambda e: e["event_id"].cast("string")), ",").alias(c)
+    return chart_.join(cases, "subject").select(
+        "subject", "total", F.col("cap").cast("int").alias("cap"), *[ids(r) for r in ROLES], "visible_id", F.col("after").alias("truth"), "direction",
+        F.round((F.col("after") - F.col("before")) / F.col("before") * 1000).cast("long").alias("change_permille"), "difficulty", F.round(F.col("hours_ahead") * 10).cast("long").alias("tenths_ahead"),
+    )
+
+
+#: lab, low, high, mean, deviation of two populations, and rules on the first.
+ONE = [("click", 20.0, 60.0, 40.0, 10.0), ("error", 10.0, 50.0, 30.0, 10.0), ("purchase", 15.0, 70.0, 45.0, 12.0), ("view", 5.0, 45.0, 25.0, 10.0)]
+OTHER = [("click", 30.0, 50.0, 40.0, 5.0), ("error", 40.0, 90.0, 65.0, 13.0), ("view", 25.0, 60.0, 45.0, 8.0), ("signup", 1.0, 2.0, 1.5, 0.2)]
+LAB_RULES = [("error", "above", 80.0, "stop", 1), ("view", "above", 60.0, "check", 2), ("purchase", "above", 50.0, "hold", 3), ("click", "below", 15.0, "wake", 4)]
+PIVOTS = [("error", "warm"), ("view", "lift")]
+_POPULATIONS = f"""
+{_values("one(lab, low, high, mean, sd)", ONE)}, {_values("other(lab, low, high, mean, sd)", OTHER)}, {_values("rules(lab, direction, threshold, action, priority)", LAB_RULES)}, {_values("pivots(lab, action)", PIVOTS)},
+b AS (SELECT lab, s.low AS s_low, s.high AS s_high, s.mean AS s_mean, s.sd AS s_sd, t.low AS t_low, t.high AS t_high, t.mean AS t_mean, t.sd AS t_sd FROM one s JOIN other t USING (lab)),
+q AS (SELECT user_id AS subject, ts::DATE AS day, event_type AS lab, min_by(value, (ts, event_id)) AS value FROM events GROUP BY 1, 2, 3)"""
+_X = "(t_mean + (value - s_mean) / s_sd * t_sd)"
+
+
+def panels(spark, sf):
+    """The first value of each lab on a subject's day."""
+    e = load(spark, sf, "events").withColumn("day", F.to_date("ts"))
+    return e.groupBy(F.col("user_id").alias("subject"), "day", F.col("event_type").alias("lab")).agg(F.min_by("value", F.struct("ts", "event_id")).alias("value"))
+
+
+def _populations(spark):
+    schema = "lab string, low double, high double, mean double, sd double"
+    return spark.createDataFrame(ONE, schema), spark.createDataFrame(OTHER, schema)
+
+
+@query("translated_cases", f"""
+WITH {_POPULATIONS}, y AS (SELECT *, {_X} AS x, (value - s_mean) / s_sd AS z FROM q JOIN b USING (lab)),
+p AS (SELECT subject, day, count(*) AS n, string_agg(lab || ' ' || CAST(round(x * 10) AS BIGINT) || ' ' || CASE WHEN x > t_high THEN 'HIGH' WHEN x < t_low THEN 'LOW' ELSE 'NORMAL' END, ';' ORDER BY lab) AS panel FROM y GROUP BY 1, 2 HAVING count(*) >= 3),
+h AS (SELECT q.subject, q.day, lab, value, direction, threshold, action, priority FROM q JOIN rules USING (lab) WHERE CASE direction WHEN 'above' THEN value > threshold ELSE value < threshold END),
+f AS (SELECT subject, day, min_by(lab, (priority, lab, threshold)) AS lab, min_by(action, (priority, lab, threshold)) AS action, count(*) AS n_source_hits FROM h GROUP BY 1, 2),
+g AS (SELECT h.*, {_X} AS x, (value - s_mean) / s_sd AS z, t_mean + (threshold - s_mean) / s_sd * t_sd AS limit_x FROM h JOIN b USING (lab)),
+l AS (SELECT subject, day, string_agg(lab || ' ' || CAST(round(x * 10) AS BIGINT) || ' ' || CAST(round(limit_x * 10) AS BIGINT) || ' ' || action, ';' ORDER BY priority, lab) AS hits FROM g GROUP BY 1, 2)
+SELECT subject, day::VARCHAR AS day, panel, hits, n_source_hits, g.lab AS pivot_lab, g.action, CAST(round(g.x * 10) AS BIGINT) AS pivot_value, CAST(round(g.limit_x * 10) AS BIGINT) AS pivot_threshold, g.direction FROM p JOIN f USING (subject, day) JOIN l USING (subject, day) JOIN g USING (subject, day, lab, action)""")
+def translated_cases(spark, sf):
+    """Days of subjects as cases of another population: panel, hits and the hit that counts, with their thresholds."""
+    rules = spark.createDataFrame(LAB_RULES, "lab string, direction string, threshold double, action string, priority int")
+    got = translation.translated_cases(panels(spark, sf), rules, *_populations(spark), ["subject", "day"])
+    tenths = lambda x: F.round(x * 10).cast("long")
+    panel = F.transform("panel", lambda x: F.concat_ws(" ", x["lab"], tenths(x["value"]).cast("string"), x["side"]))
+    hits = F.transform("hits", lambda x: F.concat_ws(" ", x["lab"], tenths(x["value"]).cast("string"), tenths(x["threshold"]).cast("string"), x["action"]))
+    return got.select("subject", F.col("day").cast("string").alias("day"), F.array_join(panel, ";").alias("panel"), F.array_join(hits, ";").alias("hits"), "n_source_hits", F.col("pivot.lab").alias("pivot_lab"), "pivot.action", tenths(F.col("pivot.value")).alias("pivot_value"), tenths(F.col("pivot.threshold")).alias("pivot_threshold"), "pivot.direction")
+
+
+_MIDDLE = "CAST(round((t_low + t_high) / 2 * 10) AS BIGINT)"
+_NATURAL = f"CASE WHEN {_X} BETWEEN t_low AND t_high THEN CAST(round({_X} * 10) AS BIGINT) ELSE {_MIDDLE} END"
+
+
+@query("deceptive_cases", f"""
+WITH {_POPULATIONS}, v AS (SELECT subject, day, lab AS pivot_lab, action, round(value, 1) AS v, t_low, t_high FROM q JOIN b USING (lab) JOIN pivots USING (lab) WHERE round(value, 1) BETWEEN s_low AND s_high AND (round(value, 1) < t_low OR round(value, 1) > t_high)),
+o AS (SELECT *, CASE WHEN v > t_high THEN 'HIGH' ELSE 'LOW' END AS direction, abs(v - CASE WHEN v > t_high THEN t_high ELSE t_low END) / CASE WHEN v > t_high THEN t_high ELSE t_low END * 100 AS off FROM v),
+c AS (SELECT subject, day, pivot_lab, action, v, direction, off FROM (SELECT *, row_number() OVER (PARTITION BY pivot_lab, action ORDER BY off, subject, day) AS r FROM o) WHERE r <= 10),
+w AS (SELECT c.*, b.*, q.value FROM c CROSS JOIN b LEFT JOIN q ON q.subject = c.subject AND q.day = c.day AND q.lab = b.lab)
+SELECT subject, day::VARCHAR AS day, pivot_lab, action, direction, CAST(round(v * 10) AS BIGINT) AS pivot_value, CAST(round(off * 10) AS BIGINT) AS off,
+  string_agg(lab || ' ' || CASE WHEN lab = pivot_lab THEN CAST(round(v * 10) AS BIGINT) ELSE {_NATURAL} END, ';' ORDER BY lab) AS panel, string_agg(lab || ' ' || CASE WHEN lab = pivot_lab THEN {_MIDDLE} ELSE {_NATURAL} END, ';' ORDER BY lab) AS counterfactual,
+  coalesce(string_agg(lab, ',' ORDER BY lab) FILTER (WHERE lab <> pivot_lab AND (value IS NULL OR NOT {_X} BETWEEN t_low AND t_high)), '') AS put_to_middle FROM w GROUP BY ALL""")
+def deceptive_cases(spark, sf):
+    """Days whose pivot one population calls normal and the other does not, with counterfactuals."""
+    pivots = spark.createDataFrame(PIVOTS, "lab string, action string")
+    got = translation.deceptive_cases(panels(spark, sf), pivots, *_populations(spark), ["subject", "day"], 10)
+    tenths = lambda x: F.round(x * 10).cast("long")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["lab"], tenths(x["value"]).cast("string"))), ";").alias(c)
+    return got.select("subject", F.col("day").cast("string").alias("day"), F.col("pivot").alias("pivot_lab"), "action", "direction", tenths(F.col("pivot_value")).alias("pivot_value"), tenths(F.col("off")).alias("off"), shown("panel"), shown("counterfactual"), F.array_join("put_to_middle", ",").alias("put_to_middle"))

@@ -25,18 +25,24 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: what loops read again is computed once and survives a lost executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of this session's checkpoints, which all executors share.
 
-    It goes to the folder in spark.checkpoint.dir. Where that is unset, local mode takes
-    a temporary folder; on a cluster that would be lost with its machine, so it is an error.
+    It lies in spark.checkpoint.dir. Where that is unset, local mode takes a temporary
+    folder; on a cluster that would be lost with its machine, so it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: what loops read again is computed once and survives a lost executor."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -5,7 +5,7 @@ Paths go to Spark's readers and writers only, so any store that Spark knows work
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -72,16 +72,14 @@ def write_cases(df: DataFrame, path: str, key: str, mode: str = "overwrite") ->
 
 
 def append_new(df: DataFrame, path: str, key: str) -> int:
-    """Appends the records whose key is not in the sink yet, and says how many."""
+    """Appends the records whose key is not in the sink yet, and says how many. One writer at a time; see commits for more, and for crashes."""
     spark = df.sparkSession
     if exists(spark, path):
         done = spark.read.schema(df.schema).json(path).select(key)
         df = df.join(done, key, "left_anti")
-    new = df.dropDuplicates([key])
-    n = new.count()
-    if n:
-        new.write.mode("append").json(path)
-    return n
+    told = Observation()
+    df.dropDuplicates([key]).observe(told, F.count(F.lit(1)).alias("n")).write.mode("append").json(path)
+    return told.get["n"]
 
 
 def finish(df: DataFrame, path: str) -> None:

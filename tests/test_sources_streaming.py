@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronosieve.sources import tables as R
@@ -106,3 +107,63 @@ def test_unreadable_documents_are_skipped(spark, tmp_path):
     (tmp_path / "b.json").write_text('{"items": [{"x": 3}')
     got = S.read_document(spark, str(tmp_path), "items array<struct<x: long>>", "items").collect()
     assert sorted((r.x, r.file_name) for r in got) == [(1, "a.json"), (2, "a.json")]
+
+
+def test_slices_are_read_without_a_shuffle(spark, sf):
+    from chronosieve.plans import bundles
+    from chronosieve.sources import slices
+
+    names = bundles.pool_tables(spark, sf)
+    df = bundles.of_slices(spark, names)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan and df.count() > 0
+        one = slices.of_key(spark, names["labs"], "subject", df.first().subject)
+        plan = one._jdf.queryExecution().executedPlan().toString()
+        assert f"SelectedBucketsCount: 1 out of {slices.BUCKETS}" in plan and "isnotnull(subject" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    slices.dropped(spark, names)
+
+
+def test_appends_happen_exactly_once(spark, tmp_path, monkeypatch):
+    from chronosieve.sources import commits
+
+    path, schema = str(tmp_path / "sink"), "id long, v string"
+    runs = spark.sparkContext.accumulator(0)
+
+    def batch(ids):
+        def told(rows):
+            for r in rows:
+                runs.add(1)
+                yield r
+
+        return spark.createDataFrame(spark.sparkContext.parallelize([(i, str(i)) for i in ids], 2).mapPartitions(told), schema)
+
+    held = lambda: sorted(r.id for r in commits.committed(spark, path, schema).collect())
+    assert commits.append_batch(batch([1, 2, 2, 3]), path, "id", "a") == 3 and runs.value == 4
+    # the same batch again: not even computed
+    assert commits.append_batch(batch([1, 2, 2, 3]), path, "id", "a") == 3 and runs.value == 4
+    # a crash between the write and the record
+    real = commits._record
+    monkeypatch.setattr(commits, "_record", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        commits.append_batch(batch([3, 4, 5]), path, "id", "b")
+    assert held() == [1, 2, 3] and len(commits.unused(spark, path)) == 1
+    monkeypatch.setattr(commits, "_record", real)
+    assert commits.append_batch(batch([3, 4, 5]), path, "id", "b") == 2 and held() == [1, 2, 3, 4, 5]
+    # another writer takes the number in between, with a key of this batch
+    raced = []
+
+    def slow(spark_, path_, number, **about):
+        if not raced:
+            raced.append(1)
+            assert commits.append_batch(batch([6, 7]), path, "id", "fast") == 2
+        return real(spark_, path_, number, **about)
+
+    monkeypatch.setattr(commits, "_record", slow)
+    runs.value = 0
+    assert commits.append_batch(batch([7, 8]), path, "id", "slow") == 1 and runs.value == 4
+    assert held() == [1, 2, 3, 4, 5, 6, 7, 8] and [r["batch"] for r in commits.records(spark, path)] == ["a", "b", "fast", "slow"]
