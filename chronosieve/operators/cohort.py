@@ -172,9 +172,9 @@ def pair_counts(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return pairs.groupBy(a, b).agg(F.count(F.lit(1)).alias("n"))
 
 
-def either_side(pairs: DataFrame, a: str, b: str, name: str) -> DataFrame:
-    """All different members of pairs, whichever side they are on."""
-    return pairs.select(F.col(a).alias(name)).union(pairs.select(F.col(b).alias(name))).distinct()
+def either_side(pairs: DataFrame, a: str, b: str, name: str, also: list[str] = ()) -> DataFrame:
+    """All different members of pairs, whichever side they are on; `also`: with further columns of their pairs."""
+    return pairs.select(*also, F.col(a).alias(name)).union(pairs.select(*also, F.col(b).alias(name))).distinct()
 
 
 def weighted_size(counts: dict[str, int], per_token: int = 4) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import saved
 from .calipers import nearest_controls
 from .cohort import either_side
-from .ranks import numbered, quantiles
+from .ranks import quantiles, running
 
 
 def imputed(wide: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,12 +59,12 @@ def standardised(wide: DataFrame, columns: list[str]) -> DataFrame:
     return wide.crossJoin(F.broadcast(moments)).select(*[c for c in wide.columns if c not in columns], *[z(c).alias(c) for c in columns])
 
 
-def balance(rows: DataFrame, treated: Column, columns: list[str]) -> DataFrame:
-    """Standardised mean difference of each column between treated and others."""
-    long = rows.select(treated.alias("__t"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select("__t", "c.*")
+def balance(rows: DataFrame, treated: Column, columns: list[str], group: list[str] = ()) -> DataFrame:
+    """Standardised mean difference of each column between treated and others, of each group."""
+    long = rows.select(*group, treated.alias("__t"), F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select(*group, "__t", "c.*")
     part = lambda f, t: f(F.when(F.col("__t") == t, F.col("x")))
-    g = long.groupBy("covariate").agg(part(F.avg, True).alias("ma"), part(F.avg, False).alias("mb"), part(F.var_pop, True).alias("va"), part(F.var_pop, False).alias("vb"))
-    return g.select("covariate", (F.abs(F.col("ma") - F.col("mb")) / (F.sqrt((F.col("va") + F.col("vb")) / 2) + 1e-9)).alias("smd"))
+    g = long.groupBy(*group, "covariate").agg(part(F.avg, True).alias("ma"), part(F.avg, False).alias("mb"), part(F.var_pop, True).alias("va"), part(F.var_pop, False).alias("vb"))
+    return g.select(*group, "covariate", (F.abs(F.col("ma") - F.col("mb")) / (F.sqrt((F.col("va") + F.col("vb")) / 2) + 1e-9)).alias("smd"))
 
 
 def candidate_pairs(episodes: DataFrame, stratum: str, kind: str, ident: str, flags: list[str], trends: list[tuple[str, str]], severity: str = "severity", cell: Column | None = None) -> DataFrame:
@@ -147,11 +147,16 @@ def propensity(rows: DataFrame, treated: str, columns: list[str], keep: bool = F
     return model.transform(data).withColumn("p", F.round(vector_to_array("probability")[1], 12)).drop("__x", "rawPrediction", "probability", "prediction", *(names if keep else []))
 
 
-def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Area under the ROC curve from ranks; ties count half. Ranks come from counts per score, summed over buckets of scores."""
-    per = rows.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
-    below = numbered(per, F.col(score), [F.col(score)], "neg_below", F.col("neg"))
-    return below.agg((F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+def auc(rows: DataFrame, label: str, score: str, group: list[str] = ()) -> DataFrame:
+    """Area under the ROC curve of each group from ranks; ties count half. Ranks come from counts per score, summed over range partitions."""
+    per = rows.groupBy(*group, score).agg(F.sum(F.col(label).cast("long")).alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("neg", F.col("n") - F.col("pos"))
+    below = running(per, [*map(F.col, group), F.col(score)], {"neg_below": F.col("neg")})
+    if group:
+        # the sum runs over all groups; each begins with its smallest
+        first = below.groupBy(*group).agg(F.min("neg_below").alias("__first"))
+        below = below.join(first, list(group)).withColumn("neg_below", F.col("neg_below") - F.col("__first"))
+    share = F.try_divide(F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg"))
+    return below.groupBy(*group).agg(share.alias("auc")) if group else below.agg(share.alias("auc"))
 
 
 def caliper_pairs(rows: DataFrame, group: list[str], ident: str, treated: str, p: str = "p", share: float = 0.2, reuse: int = 2) -> DataFrame:
@@ -174,32 +179,95 @@ def systems(label: Column, words: dict[str, str], other: str = "other") -> Colum
     return out
 
 
-def overlap_pairs(rows: DataFrame, kind: str, ident: str, columns: list[str], system: dict[str, str], least: int = 20, common: int = 1, top: int = 10, share: float = 0.2, reuse: int = 2, largest: float = 0.25) -> tuple[DataFrame, list[dict]]:
-    """Matched pairs across systems of kinds, and a diagnosis of each pair of kinds.
+def propensities(rows: DataFrame, group: str, treated: str, columns: list[str], name: str = "p", rounds: int = 60) -> DataFrame:
+    """Adds the probability of treatment within each group: one L2-regularised logistic model a group, all fitted together.
 
-    The `top` most frequent kinds with at least `common` rows are paired if their systems
-    are known and differ and both have `least` rows; pairs stay if no covariate differs
-    by more than `largest` deviations after matching. A model is fitted for each pair of
-    kinds, so their number is bounded by `top`; rows stay on the executors.
+    Covariates are standardised in the group, constant ones are 0; the intercept is not
+    penalised. Each pass over the rows gives the gradients and Hessians of all groups,
+    and each group takes Newton steps, halved while its loss does not fall, until its
+    gradient is gone. The driver holds the moments of a group's covariates, so groups should be few
+    (thousands). p is rounded to twelve digits.
     """
+    import numpy as np
+
+    spark = rows.sparkSession
+    d, kind = len(columns), dict(rows.dtypes)[group]
+    moments = rows.groupBy(group).agg(F.count(F.lit(1)).alias("__n"), *[F.avg(c).alias(f"__a{k}") for k, c in enumerate(columns)], *[F.stddev_pop(c).alias(f"__s{k}") for k, c in enumerate(columns)])
+    z = [F.when(F.col(f"__s{k}") > 0, (F.col(c) - F.col(f"__a{k}")) / F.col(f"__s{k}")).otherwise(0.0) for k, c in enumerate(columns)]
+    data = saved(rows.join(F.broadcast(moments), group).withColumn("__x", F.array(F.lit(1.0), *z)).select(*rows.columns, "__x"))  # a row for each group
+    narrow = data.select(group, F.col(treated).cast("double").alias("__y"), "__x")
+    pairs = [(j, k) for j in range(d + 1) for k in range(j + 1)]
+    ridge = np.diag([0.0] + [1.0] * d)
+
+    def weighted(df: DataFrame, weights: dict) -> DataFrame:
+        table = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in weights.items()], f"{group} {kind}, __w array<double>")
+        eta = F.aggregate(F.zip_with("__w", "__x", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+        return df.join(F.broadcast(table), group).withColumn("__eta", eta).withColumn("__p", 1 / (1 + F.exp(-F.col("__eta"))))
+
+    def looked(weights: dict) -> dict:
+        """Loss, gradient and Hessian of each group at its weights."""
+        at = weighted(narrow, weights)
+        x = [F.get("__x", F.lit(k)) for k in range(d + 1)]
+        loss = F.sum(F.greatest("__eta", F.lit(0.0)) - F.col("__y") * F.col("__eta") + F.log1p(F.exp(-F.abs("__eta"))))
+        v = F.col("__p") * (1 - F.col("__p"))
+        got = at.groupBy(group).agg(loss.alias("l"), F.array(*[F.sum((F.col("__p") - F.col("__y")) * x[k]) for k in range(d + 1)]).alias("g"), F.array(*[F.sum(v * x[j] * x[k]) for j, k in pairs]).alias("h"))
+        out = {}
+        for r in got.collect():  # a row for each group
+            w, h = np.array(weights[r[group]]), np.zeros((d + 1, d + 1))
+            for (j, k), value in zip(pairs, r.h, strict=True):
+                h[j, k] = h[k, j] = value
+            out[r[group]] = (r.l + 0.5 * w[1:] @ w[1:], np.array(r.g) + ridge @ w, h + ridge)
+        return out
+
+    weights = {r[group]: np.zeros(d + 1) for r in moments.select(group).collect()}
+    state, done = looked(weights) if weights else {}, {}
+    step = {g: 1.0 for g in weights}
+    for _ in range(rounds):
+        open_ = {g: s for g, s in state.items() if g not in done and np.abs(s[1]).max() > 1e-9 * max(1.0, np.abs(s[2]).max())}
+        done |= {g: weights[g] for g in state if g not in open_}
+        if not open_:
+            break
+        tried = {g: weights[g] - step[g] * np.linalg.lstsq(h, grad, rcond=None)[0] for g, (_, grad, h) in open_.items()}
+        for g, s in looked(tried).items():
+            if s[0] <= state[g][0] + 1e-12 * abs(state[g][0]):
+                weights[g], state[g], step[g] = tried[g], s, 1.0
+            else:
+                step[g] /= 2
+                if step[g] < 1e-6:
+                    done[g] = weights[g]
+    if not weights:
+        return data.drop("__x").withColumn(name, F.lit(None).cast("double"))
+    return weighted(data, weights).withColumn(name, F.round("__p", 12)).drop("__w", "__x", "__eta", "__p")
+
+
+def overlap_diagnosis(rows: DataFrame, kind: str, ident: str, columns: list[str], system: dict[str, str], least: int = 20, common: int = 1, top: int = 10, share: float = 0.2, reuse: int = 2, largest: float = 0.25) -> tuple[DataFrame, DataFrame]:
+    """(matched pairs across systems of kinds, a diagnosis of each pair of kinds).
+
+    The `top` most frequent kinds with at least `common` rows are paired if their systems are
+    known and differ and both have `least` rows. All pairs of kinds go through each step together:
+    one model each, matching within calipers, balance, one model each on what was matched.
+    The diagnosis has a row for each pair of kinds: a_kind, b_kind, systems, n_a, n_b, n_pairs, auc_before, auc_after,
+    largest_smd, mean_smd (rounded to three digits; null without pairs) and kept: whether
+    there are pairs and no covariate differs by more than `largest`. Pairs of kept ones are returned.
+    """
+    spark = rows.sparkSession
     order = rows.groupBy(kind).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= common).orderBy(F.desc("n"), kind).limit(top).withColumn("system", systems(F.col(kind), system)).collect()
-    pairs, told = None, []
+    told = []
     for i, x in enumerate(order):
         for y in order[i + 1 :]:
-            if "other" in (x.system, y.system) or x.system == y.system or min(x.n, y.n) < least:
-                continue
-            both = saved(propensity(rows.where(F.col(kind).isin(x[kind], y[kind])).withColumn("__treated", (F.col(kind) == x[kind]).cast("int")), "__treated", columns, keep=True))
-            got = saved(caliper_pairs(both, [], ident, "__treated", "p", share, reuse))
-            case = {"a": x[kind], "b": y[kind], "systems": f"{x.system} vs {y.system}", "auc_before": auc(both, "__treated", "p").first()[0], "n_pairs": got.count()}
-            told.append(case)
-            if not case["n_pairs"]:
-                continue
-            matched = saved(both.join(either_side(got, "a_id", "b_id", ident), ident, "left_semi").drop("p"))
-            gaps = [r.smd for r in balance(matched, F.col("__treated") == 1, columns).collect()]  # a row for each covariate
-            case |= {"largest_smd": max(gaps), "mean_smd": sum(gaps) / len(gaps), "auc_after": auc(propensity(matched, "__treated", columns), "__treated", "p").first()[0]}
-            if case["largest_smd"] <= largest:
-                own = got.select(F.lit(x[kind]).alias("a_kind"), F.lit(y[kind]).alias("b_kind"), "a_id", "b_id", "pa", "pb")
-                pairs = own if pairs is None else pairs.unionByName(own)
-    if pairs is None:
-        pairs = rows.sparkSession.createDataFrame([], f"a_kind string, b_kind string, a_id {dict(rows.dtypes)[ident]}, b_id {dict(rows.dtypes)[ident]}, pa double, pb double")
-    return pairs, told
+            if "other" not in (x.system, y.system) and x.system != y.system and min(x.n, y.n) >= least:
+                told.append((len(told), x[kind], y[kind], f"{x.system} vs {y.system}", x.n, y.n))
+    kinds = dict(rows.dtypes)
+    cases = spark.createDataFrame(told, f"__case int, a_kind {kinds[kind]}, b_kind {kinds[kind]}, systems string, n_a long, n_b long")  # top * (top - 1) / 2 rows at most
+    sides = cases.select("__case", F.explode(F.array(F.struct(F.col("a_kind").alias("__kind"), F.lit(1).alias("__treated")), F.struct(F.col("b_kind").alias("__kind"), F.lit(0).alias("__treated")))).alias("s")).select("__case", "s.*")
+    data = rows.select(F.col(ident).alias("__ident"), F.col(kind).alias("__kind"), *columns).join(F.broadcast(sides), "__kind").drop("__kind")
+    both = saved(propensities(data, "__case", "__treated", columns))
+    pairs = saved(caliper_pairs(both, ["__case"], "__ident", "__treated", "p", share, reuse))
+    matched = either_side(pairs, "a_id", "b_id", "__ident", ["__case"])
+    again = saved(propensities(both.drop("p").join(matched, ["__case", "__ident"], "left_semi"), "__case", "__treated", columns))
+    gaps = balance(again, F.col("__treated") == 1, columns, ["__case"]).groupBy("__case").agg(F.round(F.max("smd"), 3).alias("largest_smd"), F.round(F.avg("smd"), 3).alias("mean_smd"))
+    area = lambda df, c: auc(df, "__treated", "p", ["__case"]).select("__case", F.round("auc", 3).alias(c))
+    said = cases.join(pairs.groupBy("__case").agg(F.count(F.lit(1)).alias("n_pairs")), "__case", "left").join(area(both, "auc_before"), "__case", "left").join(area(again, "auc_after"), "__case", "left").join(gaps, "__case", "left")
+    said = saved(said.withColumn("n_pairs", F.coalesce("n_pairs", F.lit(0).cast("long"))).withColumn("kept", (F.col("n_pairs") > 0) & F.coalesce(F.col("largest_smd") <= largest, F.lit(False))))
+    own = pairs.join(F.broadcast(said.where("kept").select("__case", "a_kind", "b_kind")), "__case").select("a_kind", "b_kind", "a_id", "b_id", "pa", "pb")
+    return own, said.drop("__case")

@@ -386,15 +386,25 @@ def system_map(spark, sf):
     return load(spark, sf, "part").select("p_partkey", M.systems(F.col("p_name"), {"ring": "round", "widget": "device", "red": "coloured"}).alias("system"))
 
 
+def _overlap(spark, sf, system):
+    """Customers of different segments, by their orders: pairs and diagnosis."""
+    o = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).cast("double").alias("orders"), F.max("o_totalprice").alias("largest"))
+    c = load(spark, sf, "customer").select("c_custkey", F.lower("c_mktsegment").alias("kind"), F.col("c_acctbal").alias("balance"))
+    columns = ["balance", "orders", "largest"]
+    rows = M.imputed(c.join(o, "c_custkey", "left"), columns)
+    return M.overlap_diagnosis(rows, "kind", "c_custkey", M.varying(rows, columns), system)
+
+
 @query("overlap_pairs")
 def overlap_pairs(spark, sf):
     """Subjects of two kinds of different systems, matched on a propensity, if the kinds overlap enough."""
-    from .cohorts import features
+    return _overlap(spark, sf, {"auto": "road", "machin": "plant"})[0]
+
 
-    kind = F.element_at(F.array(*map(F.lit, ["dialysis", "ventilation", "dressing"])), (F.col("user_id") % 3 + 1).cast("int"))
-    rows = M.imputed(features(spark, sf), ["error", "view", "click"]).withColumn("kind", kind)
-    columns = M.varying(rows, ["error", "view", "click"])
-    return M.overlap_pairs(rows, "kind", "user_id", columns, {"dialysis": "renal", "ventilation": "respiratory"}, least=2, largest=1.0)[0]
+@query("overlap_diagnosis")
+def overlap_diagnosis(spark, sf):
+    """What was found about each pair of kinds, kept or not."""
+    return _overlap(spark, sf, {"auto": "road", "machin": "plant", "building": "plant", "furn": "home"})[1]
 
 
 # reports

@@ -137,6 +137,55 @@ def test_overlap_pairs_respect_the_gates(spark, sf):
     assert got.a_id.is_unique and (len(got) == 0 or got.groupby("b_id").size().max() <= 2)
 
 
+def newton(x, y):
+    """L2-regularised logistic regression on standardised columns, the intercept free."""
+    import numpy as np
+
+    sd = x.std(0)
+    z = np.hstack([np.ones((len(x), 1)), np.where(sd > 0, (x - x.mean(0)) / np.where(sd > 0, sd, 1), 0)])
+    w, ridge = np.zeros(z.shape[1]), np.diag([0.0] + [1.0] * x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-z @ w))
+        w = w - np.linalg.solve(z.T @ (z * (p * (1 - p))[:, None]) + ridge, z.T @ (p - y) + ridge @ w)
+    return 1 / (1 + np.exp(-z @ w))
+
+
+def area(p, y):
+    a, b = p[y == 1], p[y == 0]
+    return sum((x > b).sum() + (x == b).sum() / 2 for x in a) / (len(a) * len(b))
+
+
+def test_overlap_diagnosis_against_one_pair_after_another(spark):
+    """All pairs of kinds in one pass: the same models, pairs, balance and verdicts as each alone."""
+    import random
+
+    import numpy as np
+
+    from chronosieve.operators.matching import overlap_diagnosis
+
+    rnd = random.Random(8)
+    shift = {"dialysis": 0.0, "ventilator": 0.4, "intubation": 2.5, "dressing": 0.0, "crrt": 0.1}
+    rows = [(k, kind, rnd.gauss(s, 1), rnd.gauss(0, 2), 7.0) for k, (kind, s) in enumerate((kind, s) for kind, s in shift.items() for _ in range(19 if kind == "crrt" else 60))]
+    df = spark.createDataFrame(rows, "id long, kind string, x double, y double, constant double")
+    system = {"dialysis": "renal", "crrt": "renal", "ventil": "respiratory", "intub": "respiratory"}
+    pairs, told = overlap_diagnosis(df, "kind", "id", ["x", "y", "constant"], system, least=20, largest=0.1)
+    told, got = {(r.a_kind, r.b_kind): r for r in told.collect()}, pairs.collect()
+    assert set(told) == {("dialysis", "intubation"), ("dialysis", "ventilator")}
+    for (a, b), r in told.items():
+        own = [x for x in rows if x[1] in (a, b)]
+        x, y = np.array([r[2:] for r in own]), np.array([r[1] == a for r in own], float)
+        p = newton(x, y).round(12)
+        matched = one_after_another([(o[0], int(t), float(v)) for o, t, v in zip(own, y, p, strict=True)])
+        assert r.n_pairs == len(matched) and r.auc_before == pytest.approx(area(p, y), abs=6e-4)
+        sides = [np.array([o[2:] for o in own if o[0] in {m[k] for m in matched}]) for k in (0, 1)]
+        gap = abs(sides[0].mean(0) - sides[1].mean(0)) / (np.sqrt((sides[0].var(0) + sides[1].var(0)) / 2) + 1e-9)
+        assert r.largest_smd == pytest.approx(gap.max(), abs=6e-4) and r.mean_smd == pytest.approx(gap.mean(), abs=6e-4) and r.kept == (round(gap.max(), 3) <= 0.1)
+        both, t = np.vstack(sides), np.r_[np.ones(len(sides[0])), np.zeros(len(sides[1]))]
+        assert r.auc_after == pytest.approx(area(newton(both, t).round(12), t), abs=6e-4)
+        assert {(g.a_id, g.b_id) for g in got if (g.a_kind, g.b_kind) == (a, b)} == (matched if r.kept else set())
+    assert {r.kept for r in told.values()} == {True, False}, told
+
+
 def test_pool_is_the_same_on_every_run(spark, sf):
     one, two = (sorted(r.user_id for r in catalog.QUERIES["hash_pool_sample"](spark, sf).collect()) for _ in range(2))
     assert one == two and len(one) == len(set(one))
