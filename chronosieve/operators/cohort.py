@@ -57,8 +57,8 @@ def hash_order(seed: int, *cols: str) -> list[Column]:
 
 
 def pool(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
-    """n keys, uniformly without replacement, the same on every run."""
-    return rows.select(key).distinct().orderBy(*hash_order(seed, key)).limit(n)
+    """n keys, uniformly without replacement, the same on every run and in any engine; null is no key."""
+    return rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(seeded(seed, key), key).limit(n)
 
 
 def per_group(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:

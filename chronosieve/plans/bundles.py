@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import direction as D
 from ..functions.timewin import micros_between
-from ..operators import bundles as B, charts, cohort as C, episodes as E, series as S, translation
+from ..operators import bundles as B, charts, cohort as C, contexts as X, episodes as E, series as S, translation
 from ..session import load
 from ..sources import slices
 from . import timelines as T
@@ -266,3 +266,87 @@ def deceptive_cases(spark, sf):
     tenths = lambda x: F.round(x * 10).cast("long")
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["lab"], tenths(x["value"]).cast("string"))), ";").alias(c)
     return got.select("subject", F.col("day").cast("string").alias("day"), F.col("pivot").alias("pivot_lab"), "action", "direction", tenths(F.col("pivot_value")).alias("pivot_value"), tenths(F.col("off")).alias("off"), shown("panel"), shown("counterfactual"), F.array_join("put_to_middle", ",").alias("put_to_middle"))
+
+
+_PEOPLE = "n AS (SELECT DISTINCT subject, 60 + subject % 40 AS age, CASE WHEN subject % 3 = 0 THEN 'F' ELSE 'M' END AS gender FROM e WHERE 60 + subject % 40 < 89)"
+_BLOCKS = f"""
+{_CHART}, {_PEOPLE}, {_values("refs(label, low, high)", [(k, *v) for k, v in REFS.items()])},
+ix AS (SELECT subject, event_id AS episode, ts AS t, code AS kind, age, gender FROM e JOIN n USING (subject) WHERE role = 'procedure' AND event_id % 5 = 0),
+m AS (SELECT ix.episode, ix.t, name AS label, ts, event_id, value, (epoch_us(ts) - epoch_us(t)) / 3.6e9 AS h FROM ix JOIN e USING (subject) WHERE e.role = 'measurement' AND value IS NOT NULL),
+s AS (SELECT episode, label, max_by(value, (ts, event_id)) AS latest, count(*) AS k, min(value) AS least, max(value) AS most FROM m WHERE ts <= t GROUP BY 1, 2),
+pre AS (SELECT episode, string_agg(label || ' ' || CAST(round(latest * 100) AS BIGINT) || ' ' || k || ' ' || CAST(round(least * 100) AS BIGINT) || ' ' || CAST(round(most * 100) AS BIGINT), ';' ORDER BY label) AS pre FROM s GROUP BY 1),
+w AS (SELECT m.*, low, high FROM m JOIN refs USING (label) WHERE h BETWEEN -72 AND 72),
+tr AS (SELECT episode, label, max_by(value, (ts, event_id)) FILTER (WHERE h <= 0) AS b, median(value) FILTER (WHERE h > 0) AS p, any_value(low) AS low, any_value(high) AS high, count(*) FILTER (WHERE h <= 0) AS n_pre, count(*) FILTER (WHERE h > 0) AS n_post FROM w GROUP BY 1, 2),
+post AS (SELECT episode, string_agg(label || ' ' || event_id || ' ' || CAST(round(h * 10) AS BIGINT), ';' ORDER BY label, ts, event_id) AS post FROM w WHERE h > 0 GROUP BY 1),
+c1 AS (SELECT subject, code, min(ts) AS first_ts FROM e WHERE role = 'procedure' GROUP BY 1, 2),
+pr AS (SELECT episode, string_agg(c1.code, ',' ORDER BY c1.code) AS prior FROM ix JOIN c1 ON c1.subject = ix.subject AND first_ts < t GROUP BY 1),
+fl AS (SELECT subject, max(starts_with(name, 'n1')::INT) AS one, max((starts_with(name, 'n2') OR starts_with(name, 'n3'))::INT) AS two FROM e WHERE role = 'condition' AND name IS NOT NULL GROUP BY 1),
+bl AS (SELECT ix.*, coalesce(one, 0) AS one, coalesce(two, 0) AS two, coalesce(pre, '') AS pre, coalesce(prior, '') AS prior, coalesce(post, '') AS post FROM ix LEFT JOIN fl USING (subject) LEFT JOIN pre USING (episode) LEFT JOIN pr USING (episode) LEFT JOIN post USING (episode))"""
+
+
+def _index(spark, sf):
+    e = chart(spark, sf)
+    index = e.where("role = 'procedure' and event_id % 5 = 0").select("subject", F.col("event_id").alias("episode"), F.col("ts").alias("t"), F.col("code").alias("kind"))
+    people = e.select("subject").distinct().select("subject", (60 + F.col("subject") % 40).alias("age"), F.when(F.col("subject") % 3 == 0, "F").otherwise("M").alias("gender"))
+    return e, index, people
+
+
+def _blocks(spark, sf):
+    e, index, people = _index(spark, sf)
+    ranges = spark.createDataFrame([(k, *v) for k, v in REFS.items()], "label string, low double, high double")
+    return X.blocks(e, index, people, ranges, GROUPS, list(REFS))
+
+
+def _hundredths(x):
+    return F.round(x * 100).cast("long").cast("string")
+
+
+def _pre_text(c):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["label"], _hundredths(x["latest"]), x["n"].cast("string"), _hundredths(x["least"]), _hundredths(x["most"]))), ";")
+
+
+def _post_text(c):
+    return F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["label"], x["event_id"].cast("string"), F.round(x["h"] * 10).cast("long").cast("string"))), ";")
+
+
+@query("procedure_contexts", f"""
+WITH {_BLOCKS},
+tx AS (SELECT episode, string_agg(label || ' ' || CASE WHEN p BETWEEN low AND high THEN 'Stable' WHEN p >= b THEN 'Rising' ELSE 'Falling' END || ' ' || CAST(round(b * 1000) AS BIGINT) || ' ' || CAST(round(p * 1000) AS BIGINT) || ' ' || n_pre || ' ' || n_post, ';' ORDER BY label) AS trajectories FROM tr WHERE b IS NOT NULL AND p IS NOT NULL GROUP BY 1)
+SELECT subject, episode, kind, age, gender, one, two, pre, prior, coalesce(trajectories, '') AS trajectories, post FROM bl LEFT JOIN tx USING (episode)""")
+def procedure_contexts(spark, sf):
+    """What was known by each index procedure, and the trajectories that followed."""
+    whole = lambda x: F.round(x * 1000).cast("long").cast("string")
+    paths = F.transform("trajectories", lambda x: F.concat_ws(" ", x["label"], x["direction"], whole(x["baseline"]), whole(x["post_rep"]), x["n_pre"].cast("string"), x["n_post"].cast("string")))
+    return _blocks(spark, sf).select("subject", "episode", "kind", "age", "gender", "flags.one", "flags.two", _pre_text("pre").alias("pre"), F.array_join("prior", ",").alias("prior"), F.array_join(paths, ";").alias("trajectories"), _post_text("post").alias("post"))
+
+
+@query("pair_contexts", f"""
+WITH {_BLOCKS},
+o AS (SELECT episode, row_number() OVER (ORDER BY md5('31:' || episode), episode) - 1 AS place FROM (SELECT event_id AS episode FROM e WHERE role = 'procedure' AND event_id % 5 = 0)),
+pp AS (SELECT a.episode AS a_id, b.episode AS b_id, CASE WHEN substr(md5('31:' || a.episode), 1, 1) < '8' THEN 'A' ELSE 'B' END AS owner FROM o a JOIN o b ON a.place % 2 = 0 AND b.place = a.place + 1)
+SELECT a_id, b_id, owner, a.kind || ' ' || a.age || ' ' || a.gender || ' ' || a.one || a.two || ' ' || a.prior || ' ' || a.pre AS patient_a, b.kind || ' ' || b.age || ' ' || b.gender || ' ' || b.one || b.two || ' ' || b.prior || ' ' || b.pre AS patient_b,
+  CASE WHEN owner = 'A' THEN a.post ELSE b.post END AS shown FROM pp JOIN bl a ON a.episode = a_id JOIN bl b ON b.episode = b_id""")
+def pair_contexts(spark, sf):
+    """Both sides of seeded pairs, and what came after on one of them; pairs with a subject of 89 or more go, whichever side it is."""
+    _, index, _ = _index(spark, sf)
+    placed = C.shuffled(index.select("episode"), 31, "episode").withColumn("__two", F.floor(F.col("place") / 2))
+    side = lambda k, name: placed.where(F.col("place") % 2 == k).select("__two", F.col("episode").alias(name))
+    pairs = side(0, "a_id").join(side(1, "b_id"), "__two").drop("__two")
+    made = X.pair_contexts(pairs, _blocks(spark, sf), C.coin(31, "a_id"))
+    text = lambda p: F.concat_ws(" ", F.col(f"{p}.kind"), F.col(f"{p}.age").cast("string"), F.col(f"{p}.gender"), F.concat(F.col(f"{p}.flags.one").cast("string"), F.col(f"{p}.flags.two").cast("string")), F.array_join(f"{p}.prior", ","), _pre_text(F.col(f"{p}.pre"))).alias(p)
+    return made.select("a_id", "b_id", "owner", text("patient_a"), text("patient_b"), _post_text("shown").alias("shown"))
+
+
+@query("baseline_covariates", f"""
+WITH {_CHART}, {_PEOPLE}, ix AS (SELECT subject, event_id AS episode, ts AS t, code AS kind FROM e WHERE role = 'procedure' AND event_id % 5 = 0),
+l AS (SELECT episode, max_by(value, (ts, event_id)) FILTER (WHERE name = 'error') AS error, max_by(value, (ts, event_id)) FILTER (WHERE name = 'view') AS view FROM ix JOIN e USING (subject) WHERE role = 'measurement' AND value IS NOT NULL AND ts <= t GROUP BY 1),
+f AS (SELECT subject, max(starts_with(name, 'n1')::INT) AS one, max((starts_with(name, 'n2') OR starts_with(name, 'n3'))::INT) AS two FROM e WHERE role = 'condition' AND name IS NOT NULL GROUP BY 1),
+r AS (SELECT subject, episode, kind, error, view, coalesce(one, 0)::DOUBLE AS one, coalesce(two, 0)::DOUBLE AS two, (60 + subject % 40)::DOUBLE AS age FROM ix LEFT JOIN l USING (episode) LEFT JOIN f USING (subject)),
+z AS (SELECT subject, episode, kind, coalesce(error, (SELECT median(error) FROM r), 0) AS lab_error, coalesce(view, (SELECT median(view) FROM r), 0) AS lab_view, one AS cm_one, two AS cm_two, age FROM r)
+SELECT subject, episode, kind, {", ".join(f"CASE WHEN min({c}) OVER () <> max({c}) OVER () THEN {c} END AS {c}" for c in ("lab_error", "lab_view", "cm_one", "cm_two", "age"))} FROM z""")
+def baseline_covariates(spark, sf):
+    """Covariates of the index procedures; a column with one value only is null here."""
+    e, index, people = _index(spark, sf)
+    got = X.covariates(e, index, people, GROUPS, list(REFS))
+    names = ["lab_error", "lab_view", "cm_one", "cm_two", "age"]
+    return got.select("subject", "episode", "kind", *[F.col(c) if c in got.columns else F.lit(None).cast("double").alias(c) for c in names])

@@ -180,7 +180,7 @@ def stride_picks(spark, sf):
     return C.stride_picks(load(spark, sf, "events").where("event_type = 'click'"), "user_id", [F.col("ts"), F.col("event_id")], [F.abs(F.col("value") - 50), F.col("event_id")], 4).select("user_id", "event_id", "i")
 
 
-@query("hash_pool_sample")
+@query("hash_pool_sample", "SELECT user_id FROM (SELECT DISTINCT user_id FROM events WHERE user_id IS NOT NULL) ORDER BY md5('7:' || user_id), user_id LIMIT 40")
 def hash_pool_sample(spark, sf):
     return C.pool(load(spark, sf, "events"), "user_id", 40, 7)
 
