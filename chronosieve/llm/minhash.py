@@ -17,10 +17,10 @@ A large group of near copies must not cost its pairs. So links are sought in thi
    one whose sketch is nearest. Linked parts are found, and each set asks the nearest
    leader of another part, as long as that joins many. These rounds are linear, and
    nothing is decided against a set in them.
-2. The rest. Only buckets that still hold several parts are looked at as a whole, in
-   tiles of BLOCK by BLOCK sketches, without the pairs inside the bucket's largest part.
-   A set whose sketch passes against some set of a group is confirmed against that group;
-   groups are bounded by sets and by tokens.
+2. The rest. Sets of buckets that still hold several parts are put into groups, bounded by
+   sets and by tokens. Two groups that meet in a bucket make a tile, in which all
+   sketches of the one are held against all of the other, but not within a part. A set
+   whose sketch passes against some set of a group is confirmed against that group.
 3. Components of all links.
 """
 
@@ -43,8 +43,8 @@ SAMPLES, ROWS = 128, 4
 #: Bits of an odd sketch, in words of 64.
 WORDS = 16
 BITS = 64 * WORDS
-#: Sets of a tile's side, about; tokens of a group's sets, about.
-BLOCK, TOKENS = 512, 1 << 20
+#: Tokens of a group's sets, about; CAP is the number of its sets.
+TOKENS = 1 << 20
 #: Leaders are asked again as long as a round leaves at most this share of the places in mixed buckets.
 FEWER = 0.7
 #: Standard deviations of the estimate by which a link may look less similar than it is.
@@ -147,30 +147,25 @@ def in_parts(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _tiles(percent: int):
-    """Sorted by tile, members first: which askers' sketches pass against which groups of members."""
+    """Sorted by tile, members first: which askers' sketches pass against some member of a larger part. A tile is an asking group and an asked one."""
     limit = most_ones(percent)
     schema = pa.schema([("node", pa.binary()), ("home", pa.int64())])
 
-    def column(batch, name):
-        return batch.column(name).to_numpy(zero_copy_only=False)
-
-    def asked(members, rows):
-        odd, n, part, home = (np.concatenate(x) for x in zip(*members, strict=True))
+    def asking(members, rows):
+        odd, n, size, part = (np.concatenate(x) for x in zip(*members, strict=True))
         for at in range(0, len(rows[0]), 32):
-            o, m, p = (x[at : at + 32] for x in rows[:3])
-            near = np.bitwise_count(o[:, None, :] ^ odd[None, :, :]).sum(axis=2, dtype=np.int64) <= limit
-            near &= (100 * np.minimum(m[:, None], n) >= percent * np.maximum(m[:, None], n)) & (p[:, None] != part)
-            i, j = np.nonzero(near)
-            found = np.unique(np.stack([i, home[j]], 1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-            yield from zip((rows[3][at + k] for k in found[:, 0].tolist()), found[:, 1].tolist(), strict=True)
+            o, m, z, p = (x[at : at + 32, None] for x in rows)
+            near = np.bitwise_count(o ^ odd[None, :, :]).sum(axis=2, dtype=np.int64) <= limit if len(odd) else np.zeros((len(o), 0), bool)
+            near &= (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((z < size) | ((z == size) & (p < part)))
+            yield from (at + np.flatnonzero(near.any(axis=1))).tolist()
 
     def run(batches):
         tile, members = None, []
         for batch in batches:
-            tiles, role, n, part, home = (column(batch, c) for c in ("tile", "role", "n", "part_key", "home"))
+            tiles, role, n, size, part, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "role", "n", "size", "part_key", "home"))
             # unsigned, as the ones of negative numbers are not their bits to numpy
             odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-            node, out = batch.column("node").to_pylist(), []
+            node, out = batch.column("node"), []
             cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(role) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)], strict=True):
                 if a == b:
@@ -178,50 +173,43 @@ def _tiles(percent: int):
                 if tiles[a] != tile:
                     tile, members = tiles[a], []
                 if role[a] == 0:
-                    members.append((odd[a:b], n[a:b], part[a:b], home[a:b]))
+                    members.append((odd[a:b], n[a:b], size[a:b], part[a:b]))
                 elif members:
-                    out += asked(members, (odd[a:b], n[a:b], part[a:b], node[a:b]))
+                    out += [a + k for k in asking(members, (odd[a:b], n[a:b], size[a:b], part[a:b]))]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.binary()), pa.array([x[1] for x in out], pa.int64())], schema=schema)
+                yield pa.RecordBatch.from_arrays([node.take(pa.array(out)), pa.array(home[out], pa.int64())], schema=schema)
 
     return run
 
 
 def rest(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """keys: node, part, key of buckets that hold several parts; sets: node, n, odd, rep -> (members, asking) for `compared`: gid, node, rep."""
+    """keys: node, part, key of buckets that hold several parts; sets: node, n, odd, rep -> (members, asking) for `compared`: gid, node, rep.
+
+    Sets are in groups: those of a part, or those alone that share their fullest bucket, cut
+    by sets and by tokens. Of two parts the smaller one asks, so a large part costs its
+    size for each smaller one beside it. Two groups that meet in any bucket make one tile.
+    """
     spark = keys.sparkSession
-    of_parts = keys.groupBy("key", "part").agg(F.count(F.lit(1)).alias("sets"))
-    buckets = of_parts.groupBy("key").agg(F.sum("sets").alias("sets"), F.max(F.struct("sets", "part")).alias("major"))
-    others = F.greatest(F.lit(1), F.ceil((F.col("sets") - F.col("major.sets")) / BLOCK)).cast("int")
-    buckets = checkpointed(buckets.select("key", "sets", F.col("major.part").alias("major"), others.alias("others"), F.ceil(F.col("major.sets") / BLOCK).cast("int").alias("majors")))
-    rows = checkpointed(keys.join(buckets, "key"))
-    # a set's group: its part, or, alone, the largest of its buckets; cut by sets and by tokens
-    base = rows.groupBy("node").agg(F.first("part").alias("part"), F.max(F.struct("sets", "key"))["key"].alias("bucket"))
-    base = base.join(sets, "node").withColumn("base", F.when(F.col("part") == F.col("node"), F.col("bucket")).otherwise(F.xxhash64("part")))
-    base = checkpointed(base.select("node", "n", "odd", "rep", "base"))
-    pieces = base.groupBy("base").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CAP, F.sum("n") / TOKENS)).alias("pieces"))
-    homes = checkpointed(base.join(pieces, "base").select("node", "n", "odd", "rep", F.xxhash64("base", F.pmod(F.xxhash64("node"), F.col("pieces"))).alias("home")))
-
-    inner = F.col("part") == F.col("major")
-    own = F.pmod(F.xxhash64("node"), F.when(inner, F.col("majors")).otherwise(F.col("others"))).cast("int")
-    rows = rows.withColumns({"inner": inner, "own": own})
-    every = lambda a, b: F.sequence(a, b)
-    none = F.array().cast("array<struct<a:int,inner:boolean,b:int,role:int>>")
-    cell = lambda a, side, b, role: F.struct(a.cast("int").alias("a"), side.alias("inner"), b.cast("int").alias("b"), F.lit(role).alias("role"))
-    first, yes, no = F.lit(0), F.lit(True), F.lit(False)
-    with_major = F.transform(every(first, F.col("majors") - 1), lambda b: cell(F.col("own"), yes, b, 1))
-    above = F.transform(every(F.col("own"), F.col("others") - 1), lambda b: cell(F.col("own"), no, b, 1))
-    below = F.transform(every(first, F.col("own")), lambda a: cell(a, no, F.col("own"), 0))
-    as_major = F.transform(every(first, F.col("others") - 1), lambda a: cell(a, yes, F.col("own"), 0))
-    cells = F.when(F.col("inner"), F.concat(none, as_major)).otherwise(F.concat(none, with_major, above, below))
-    cells = rows.select("node", F.xxhash64("part").alias("part_key"), "key", F.explode(cells).alias("cell"))
-    cells = cells.select("node", "part_key", F.xxhash64("key", "cell.a", "cell.inner", "cell.b").alias("tile"), "cell.role")
-    sent = cells.join(homes.select("node", "n", "odd", "home"), "node").select("tile", "role", "node", "n", "part_key", "home", "odd")
-    sent = sent.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "role")
-    asking = checkpointed(sent.mapInArrow(_tiles(percent), "node binary, home long").distinct())
-    reps = homes.select("node", "rep", "home")
-    members = reps.join(asking.select("home").distinct(), "home", "left_semi").select(F.col("home").alias("gid"), "node", "rep")
-    return members, asking.select("node", F.col("home").alias("gid")).join(reps.drop("home"), "node").select("gid", "node", "rep")
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
+    own = keys.join(full, "key").groupBy("node").agg(F.first("part").alias("part"), F.max(F.struct("sets", "key"))["key"].alias("bucket"))
+    own = checkpointed(own.join(sets, "node").select("node", "part", "bucket", "n", "odd", "rep"))
+    size = own.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
+    own = own.join(size, "part").withColumn("base", F.when(F.col("size") == 1, F.col("bucket")).otherwise(F.xxhash64("part")))
+    pieces = own.groupBy("base").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CAP, F.sum("n") / TOKENS)).alias("pieces"))
+    own = own.join(pieces, "base").withColumn("home", F.xxhash64("base", F.pmod(F.xxhash64("node"), F.col("pieces"))))
+    homes = checkpointed(own.select("node", "n", "odd", "rep", "size", F.xxhash64("part").alias("part_key"), "home"))
+    order = F.struct("size", "part_key")
+    cells = keys.select("node", "key").join(homes.select("node", "home", order.alias("order")), "node").groupBy("key", "home").agg(F.min("order").alias("low"), F.max("order").alias("top"))
+    cells = checkpointed(cells)
+    met = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.low") < F.col("b.top")))
+    met = checkpointed(met.select(F.col("a.home").alias("asks"), F.col("b.home").alias("asked")).distinct())
+    tile = F.xxhash64("asks", "asked").alias("tile")
+    sides = [met.select(tile, F.lit(0).alias("role"), F.col("asked").alias("of"), F.col("asked").alias("target")), met.select(tile, F.lit(1).alias("role"), F.col("asks").alias("of"), F.col("asked").alias("target"))]
+    sent = sides[0].unionByName(sides[1]).join(homes.withColumnRenamed("home", "of"), "of")
+    sent = sent.select("tile", "role", "node", "n", "size", "part_key", F.col("target").alias("home"), "odd").repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "role")
+    asking = checkpointed(sent.mapInArrow(_tiles(percent), "node binary, home long"))
+    members = homes.join(asking.select("home").distinct(), "home", "left_semi").select(F.col("home").alias("gid"), "node", "rep")
+    return members, asking.select("node", F.col("home").alias("gid")).join(homes.select("node", "rep"), "node").select("gid", "node", "rep")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
