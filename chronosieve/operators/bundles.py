@@ -134,3 +134,28 @@ def as_text(entries: Column, fields: list[str]) -> Column:
     """A list of entries as text, for comparison: fields by '|', entries by ';'."""
     one = lambda x: F.concat_ws("|", *[F.coalesce(x[f] if f not in ("diagnoses", "medications") else F.array_join(x[f], ","), F.lit("-")) for f in fields])
     return F.array_join(F.transform(entries, one), ";")
+
+
+def next_value_records(events: DataFrame, cases: DataFrame, main: Column, kinds: list[tuple[str, str]], days: float = 90, most: int = 80, conditions: int = 8, drugs: int = 12) -> DataFrame:
+    """One row for each case (subject, t1, and what else it has): its timeline, earlier main values, and the conditions and drugs of its visit.
+
+    The timeline holds the first measurement of each label and minute up to t1: the main label from the
+    beginning, all others of the last `days`. Main ones all stay; beyond `most` entries the oldest others go.
+    The visit is that of the main measurement nearest to t1; its lists end at t1 too. The cases' subjects are different.
+    """
+    seen = events.join(cases.select("subject", "t1"), "subject").where(F.col("ts") <= F.col("t1"))
+    measured = seen.where("role = 'measurement' and value is not null").withColumn("main", main)
+    recent = measured.where(F.col("main") | (micros_between("ts", "t1") <= int(days * DAY_US)))
+    once = keep_first(recent.withColumn("minute", F.date_trunc("minute", "ts")), ["subject", "name", "minute"], [F.col("ts"), F.col("event_id")])
+    whole = Window.partitionBy("subject")
+    newest = F.row_number().over(Window.partitionBy("subject", "main").orderBy(F.desc("minute"), F.desc("name")))
+    kept = once.withColumns({"__main": F.count_if("main").over(whole), "__new": newest}).where(F.col("main") | (F.col("__new") <= F.greatest(F.lit(0), most - F.col("__main"))))
+    entry = F.struct("minute", "name", "value", "event_id")
+    line = kept.groupBy("subject").agg(F.array_sort(F.collect_list(entry)).alias("timeline"), F.array_sort(F.collect_list(F.when(F.col("main"), entry))).alias("prior"))
+    gap = F.struct(F.abs(micros_between("ts", "t1")).alias("gap"), "ts", "event_id")
+    current = measured.where("main").groupBy("subject").agg(F.min_by("visit", gap).alias("visit"))
+    lists = visits(seen.drop("t1"), kinds, conditions, drugs).select("subject", "visit", "diagnoses", "medications")
+    held = current.join(lists, ["subject", "visit"], "left").drop("visit")
+    out = cases.join(line, "subject").join(held, "subject", "left")
+    empty = F.array().cast("array<string>")
+    return out.withColumns({c: F.coalesce(c, empty) for c in ("diagnoses", "medications")})

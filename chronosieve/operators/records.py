@@ -55,3 +55,32 @@ def signals_until(events: DataFrame, subject: str, signal: Column, t: str = "ts"
     """`events` with `signals`, how many signals of the subject there are up to their time; the difference of two rows counts those between."""
     upto = Window.partitionBy(subject).orderBy(t).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     return events.withColumn("signals", F.sum(signal.cast("long")).over(upto))
+
+
+def pair_outcomes(pairs: DataFrame, made: DataFrame, label: str) -> DataFrame:
+    """pairs (a_id, b_id) of episodes -> what happened to one label on both sides, and how far the changes are apart.
+
+    Of each side: the last value before (0 without one), the grid's last value after (the baseline without
+    any), the change, its direction (unknown without any), and whether it fell. made: episodes with pre and post.
+    """
+    before = F.element_at(F.filter("pre", lambda x: x["label"] == label), -1)["value"]
+    after = F.get(F.filter("post", lambda x: x["label"] == label), F.lit(0))["post"]["grid"]
+    base, has = F.coalesce(F.when(F.exists("pre", lambda x: x["label"] == label), before), F.lit(0.0)), after.isNotNull()
+    final = F.when(has, F.element_at(after, -1))
+    ends = made.select("episode", "kind", "severity", "flags", base.alias("baseline"), F.coalesce(final, base).alias("final"), F.when(has, final - base).otherwise(0.0).alias("change"), F.when(~has, "unknown").when(final > base, "rising").otherwise("falling").alias("direction"), F.coalesce(final < base, F.lit(False)).alias("improved"), has.alias("measured"))
+    out = pairs
+    for side in "ab":
+        out = out.join(ends.select(F.col("episode").alias(f"{side}_id"), *[F.col(c).alias(f"{c}_{side}") for c in ends.columns[1:]]), f"{side}_id")
+    apart = F.when(F.col("measured_a") & F.col("measured_b"), F.abs(F.col("change_a") - F.col("change_b"))).otherwise(0.0)
+    return out.withColumn("apart", apart).drop("measured_a", "measured_b")
+
+
+def balance_report(outcomes: DataFrame, deviation: float = 0.5, good: float = 0.1) -> DataFrame:
+    """One row: how many pairs, how many of them with balanced severities, and a map of the pairs of kinds (sorted) to their number.
+
+    A pair is balanced if its severities differ by less than `good` assumed deviations.
+    """
+    gap = F.abs(F.col("severity_a") - F.col("severity_b")) / deviation
+    kinds = F.array_join(F.array_sort(F.array("kind_a", "kind_b")), " vs ")
+    per = outcomes.groupBy(kinds.alias("kinds")).agg(F.count(F.lit(1)).alias("n"), F.count_if(gap < good).alias("good"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.coalesce(F.sum("good"), F.lit(0)).alias("n_good_balance"), F.array_sort(F.collect_list(F.struct("kinds", "n"))).alias("kinds"))  # a row for each pair of kinds

@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import direction as D
-from ..functions.timewin import micros_between
-from ..operators import bundles as B, charts, cohort as C, contexts as X, episodes as E, series as S, translation
+from ..functions import direction as D, guards as G
+from ..operators import bundles as B, charts, cohort as C, contexts as X, episodes as E, records as R, series as S, translation
 from ..session import load
 from ..sources import slices
 from . import timelines as T
@@ -350,3 +349,74 @@ def baseline_covariates(spark, sf):
     got = X.covariates(e, index, people, GROUPS, list(REFS))
     names = ["lab_error", "lab_view", "cm_one", "cm_two", "age"]
     return got.select("subject", "episode", "kind", *[F.col(c) if c in got.columns else F.lit(None).cast("double").alias(c) for c in names])
+
+
+_OUTCOMES = f"""
+{_EPISODES.split("SELECT ep.subject, ep.episode")[0].rstrip()},
+o AS (SELECT episode, row_number() OVER (ORDER BY md5('37:' || episode), episode) - 1 AS place FROM ep),
+pp AS (SELECT a.episode AS a_id, b.episode AS b_id FROM o a JOIN o b ON a.place % 2 = 0 AND b.place = a.place + 1),
+w AS (SELECT episode, max_by(value, (ts, event_id)) AS b FROM m WHERE NOT post AND label = 'error' GROUP BY 1),
+y AS (SELECT episode, ys[-1] AS f FROM g WHERE label = 'error'),
+z AS (SELECT ep.episode, kind, coalesce(severity, 0) AS severity, coalesce(b, 0) AS baseline, coalesce(f, b, 0) AS final, CASE WHEN f IS NULL THEN 0 ELSE f - coalesce(b, 0) END AS change,
+  CASE WHEN f IS NULL THEN 'unknown' WHEN f > coalesce(b, 0) THEN 'rising' ELSE 'falling' END AS direction, coalesce(f < coalesce(b, 0), false) AS improved, f IS NOT NULL AS measured FROM ep JOIN r USING (episode) LEFT JOIN s USING (episode) LEFT JOIN w USING (episode) LEFT JOIN y USING (episode)),
+x AS (SELECT a_id, b_id, a.kind AS kind_a, b.kind AS kind_b, a.severity AS severity_a, b.severity AS severity_b, a.baseline AS baseline_a, b.baseline AS baseline_b, a.final AS final_a, b.final AS final_b, a.change AS change_a, b.change AS change_b, a.direction AS direction_a, b.direction AS direction_b, a.improved AS improved_a, b.improved AS improved_b,
+  CASE WHEN a.measured AND b.measured THEN abs(a.change - b.change) ELSE 0 END AS apart FROM pp JOIN z a ON a.episode = a_id JOIN z b ON b.episode = b_id)"""
+
+
+def _outcomes(spark, sf):
+    made = episode_records(spark, sf)
+    _, index, _ = _index(spark, sf)
+    placed = C.shuffled(index.select("episode"), 37, "episode").withColumn("__two", F.floor(F.col("place") / 2))
+    side = lambda k, name: placed.where(F.col("place") % 2 == k).select("__two", F.col("episode").alias(name))
+    return R.pair_outcomes(side(0, "a_id").join(side(1, "b_id"), "__two").drop("__two"), made, "error")
+
+
+@query("pair_outcomes", f"{_OUTCOMES} SELECT a_id, b_id, kind_a, kind_b, CAST(round(baseline_a * 100) AS BIGINT) AS baseline_a, CAST(round(baseline_b * 100) AS BIGINT) AS baseline_b, CAST(round(final_a * 100) AS BIGINT) AS final_a, CAST(round(final_b * 100) AS BIGINT) AS final_b, CAST(round(change_a * 100) AS BIGINT) AS change_a, CAST(round(change_b * 100) AS BIGINT) AS change_b, direction_a, direction_b, improved_a, improved_b, CAST(round(apart * 100) AS BIGINT) AS apart FROM x")
+def pair_outcomes(spark, sf):
+    """The truth of questions about pairs of episodes, in hundredths."""
+    out = _outcomes(spark, sf)
+    numbers = [f"{c}_{s}" for c in ("baseline", "final", "change") for s in "ab"] + ["apart"]
+    return out.select("a_id", "b_id", "kind_a", "kind_b", *[F.round(F.col(c) * 100).cast("long").alias(c) for c in numbers], "direction_a", "direction_b", "improved_a", "improved_b")
+
+
+@query("balance_report", f"{_OUTCOMES}, h AS (SELECT least(kind_a, kind_b) || ' vs ' || greatest(kind_a, kind_b) AS k, count(*) AS n, count(*) FILTER (WHERE abs(severity_a - severity_b) / 0.5 < 0.1) AS good FROM x GROUP BY 1) SELECT coalesce(sum(n), 0)::BIGINT AS n_pairs, coalesce(sum(good), 0)::BIGINT AS n_good_balance, string_agg(k || ' ' || n, ';' ORDER BY k) AS kinds FROM h")
+def balance_report(spark, sf):
+    r = R.balance_report(_outcomes(spark, sf))
+    return r.select("n_pairs", "n_good_balance", F.array_join(F.transform("kinds", lambda x: F.concat_ws(" ", x["kinds"], x["n"].cast("string"))), ";").alias("kinds"))
+
+
+@query("next_value_records", f"""
+WITH {_CHART}, m AS (SELECT * FROM e WHERE role = 'measurement' AND value IS NOT NULL),
+n AS (SELECT subject, event_id AS visible_id, ts AS t1, value AS v1, lead(value) OVER w AS v2, lead(ts) OVER w AS t2, row_number() OVER w AS k FROM m WHERE name = 'error' WINDOW w AS (PARTITION BY subject ORDER BY ts, event_id)),
+c AS (SELECT * EXCLUDE r FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY md5('29:' || subject || ':' || visible_id), visible_id) AS r FROM n WHERE {T._H.format(a='t1', b='t2')} BETWEEN 1 AND 48 AND v1 <> v2) WHERE r = 1),
+d AS (SELECT * FROM (SELECT m.*, t1, date_trunc('minute', m.ts) AS minute, row_number() OVER (PARTITION BY m.subject, m.name, date_trunc('minute', m.ts) ORDER BY m.ts, m.event_id) AS r FROM m JOIN c ON c.subject = m.subject AND m.ts <= t1 AND (m.name = 'error' OR epoch_us(t1) - epoch_us(m.ts) <= 10 * 86400000000)) WHERE r = 1),
+k AS (SELECT *, count(*) FILTER (WHERE name = 'error') OVER (PARTITION BY subject) AS n_main, row_number() OVER (PARTITION BY subject, name = 'error' ORDER BY minute DESC, name DESC) AS nth FROM d),
+l AS (SELECT subject, string_agg(event_id::VARCHAR, ',' ORDER BY minute, name, value, event_id) AS timeline, string_agg(event_id::VARCHAR, ',' ORDER BY minute, name, value, event_id) FILTER (WHERE name = 'error') AS prior FROM k WHERE name = 'error' OR nth <= greatest(0, 20 - n_main) GROUP BY 1),
+v AS (SELECT subject, first(visit ORDER BY abs(epoch_us(ts) - epoch_us(t1)), ts, event_id) AS visit FROM m JOIN c USING (subject) WHERE name = 'error' AND ts <= t1 GROUP BY 1),
+f AS (SELECT e.subject, role, e.name, min((ts, event_id)) AS seen FROM v JOIN c USING (subject) JOIN e ON e.subject = v.subject AND e.visit = v.visit AND e.ts <= t1 WHERE role IN ('condition', 'drug') AND e.name IS NOT NULL GROUP BY ALL),
+g AS (SELECT subject, string_agg(name, ',' ORDER BY seen) FILTER (WHERE role = 'condition' AND z <= 8) AS diagnoses, string_agg(name, ',' ORDER BY seen) FILTER (WHERE role = 'drug' AND z <= 12) AS medications FROM (SELECT *, row_number() OVER (PARTITION BY subject, role ORDER BY seen) AS z FROM f) GROUP BY 1)
+SELECT c.subject, visible_id, CASE WHEN k <= 1 THEN 'hard' WHEN k = 2 THEN 'medium' ELSE 'easy' END AS difficulty, CASE WHEN v2 > v1 * 1.2::DOUBLE THEN 'rising' WHEN v2 < v1 * 0.8::DOUBLE THEN 'falling' ELSE 'stable' END AS direction, CAST(round(v2 * 100) AS BIGINT) AS truth,
+  timeline, prior, coalesce(diagnoses, '') AS diagnoses, coalesce(medications, '') AS medications FROM c JOIN l USING (subject) LEFT JOIN g USING (subject)""")
+def next_value_records(spark, sf):
+    """One case of each subject with its whole record: timeline, earlier values, conditions and drugs of the visit, truth."""
+    e = chart(spark, sf)
+    main = e.where("role = 'measurement' and name = 'error' and value is not null")
+    chosen = C.per_group(S.next_pairs(main, ["subject"]), ["subject"], [C.seeded(29, "subject", "event_id"), F.col("event_id")], 1)
+    cases = chosen.join(main.select("event_id", F.col("ts").alias("t1")), "event_id").select("subject", "t1", F.col("event_id").alias("visible_id"), "difficulty", D.direction("before", "after", base="product").alias("direction"), "after")
+    got = B.next_value_records(e, cases, F.col("name") == "error", KINDS, 10, 20)
+    ids = lambda c: F.array_join(F.transform(c, lambda x: x["event_id"].cast("string")), ",").alias(c)
+    return got.select("subject", "visible_id", "difficulty", "direction", F.round(F.col("after") * 100).cast("long").alias("truth"), ids("timeline"), ids("prior"), F.array_join("diagnoses", ",").alias("diagnoses"), F.array_join("medications", ",").alias("medications"))
+
+
+_LISTS = {"assertions": G.ASSERTIONS, "owners": G.OWNER_REVEALS}
+_SAID = {k: "[" + ", ".join(f"'{p}'" for p in v) + "]" for k, v in _LISTS.items()}
+
+
+@query("phrase_leaks", f"""
+WITH s AS (SELECT conv_id, turn, lower(coalesce(text, '') || CASE WHEN turn % 3 = 0 THEN ' It ' || {_SAID["assertions"]}[1 + conv_id % {len(G.ASSERTIONS)}] ELSE '' END || CASE WHEN turn % 2 = 1 THEN ' The Labs ' || upper({_SAID["owners"]}[1 + conv_id % {len(G.OWNER_REVEALS)}]) ELSE '' END) AS t FROM conversations)
+SELECT conv_id, turn, {", ".join(f"array_to_string(list_sort(list_filter({v}, lambda p: contains(t, p))), ',') AS {k}" for k, v in _SAID.items())} FROM s""")
+def phrase_leaks(spark, sf):
+    """What stems give away, by the two fixed lists: conversations, some with a phrase of either list added."""
+    pick = lambda phrases: F.element_at(F.array(*map(F.lit, phrases)), (F.col("conv_id") % len(phrases) + 1).cast("int"))
+    text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" It "), pick(G.ASSERTIONS))).otherwise(""), F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" The Labs "), F.upper(pick(G.OWNER_REVEALS)))).otherwise(""))
+    return load(spark, sf, "conversations").select("conv_id", "turn", *[F.array_join(G.phrases_in(text, v), ",").alias(k) for k, v in _LISTS.items()])
