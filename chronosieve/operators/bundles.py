@@ -136,6 +136,25 @@ def as_text(entries: Column, fields: list[str]) -> Column:
     return F.array_join(F.transform(entries, one), ";")
 
 
+def protected_timeline(seen: DataFrame, most: int) -> DataFrame:
+    """seen: subject, ts, event_id, name, value, main -> subject, timeline, prior (its main entries).
+
+    The first measurement of each label and minute; main ones all stay, and beyond `most` entries the oldest others go.
+    """
+    once = keep_first(seen.withColumn("minute", F.date_trunc("minute", "ts")), ["subject", "name", "minute"], [F.col("ts"), F.col("event_id")])
+    newest = F.row_number().over(Window.partitionBy("subject", "main").orderBy(F.desc("minute"), F.desc("name")))
+    kept = once.withColumns({"__main": F.count_if("main").over(Window.partitionBy("subject")), "__new": newest}).where(F.col("main") | (F.col("__new") <= F.greatest(F.lit(0), most - F.col("__main"))))
+    entry = F.struct("minute", "name", "value", "event_id")
+    return kept.groupBy("subject").agg(F.array_sort(F.collect_list(entry)).alias("timeline"), F.array_sort(F.collect_list(F.when(F.col("main"), entry))).alias("prior"))
+
+
+def window_records(measured: DataFrame, cases: DataFrame, main: Column, most: int) -> DataFrame:
+    """cases (subject, t_visible, t_target, ...) with the record that may be shown: the main series up to the visible value, all others up to the target."""
+    seen = measured.withColumn("main", main).join(cases.select("subject", "t_visible", "t_target"), "subject")
+    seen = seen.where(F.col("ts") <= F.when(F.col("main"), F.col("t_visible")).otherwise(F.col("t_target")))
+    return cases.join(protected_timeline(seen, most), "subject")
+
+
 def next_value_records(events: DataFrame, cases: DataFrame, main: Column, kinds: list[tuple[str, str]], days: float = 90, most: int = 80, conditions: int = 8, drugs: int = 12) -> DataFrame:
     """One row for each case (subject, t1, and what else it has): its timeline, earlier main values, and the conditions and drugs of its visit.
 
@@ -146,12 +165,7 @@ def next_value_records(events: DataFrame, cases: DataFrame, main: Column, kinds:
     seen = events.join(cases.select("subject", "t1"), "subject").where(F.col("ts") <= F.col("t1"))
     measured = seen.where("role = 'measurement' and value is not null").withColumn("main", main)
     recent = measured.where(F.col("main") | (micros_between("ts", "t1") <= int(days * DAY_US)))
-    once = keep_first(recent.withColumn("minute", F.date_trunc("minute", "ts")), ["subject", "name", "minute"], [F.col("ts"), F.col("event_id")])
-    whole = Window.partitionBy("subject")
-    newest = F.row_number().over(Window.partitionBy("subject", "main").orderBy(F.desc("minute"), F.desc("name")))
-    kept = once.withColumns({"__main": F.count_if("main").over(whole), "__new": newest}).where(F.col("main") | (F.col("__new") <= F.greatest(F.lit(0), most - F.col("__main"))))
-    entry = F.struct("minute", "name", "value", "event_id")
-    line = kept.groupBy("subject").agg(F.array_sort(F.collect_list(entry)).alias("timeline"), F.array_sort(F.collect_list(F.when(F.col("main"), entry))).alias("prior"))
+    line = protected_timeline(recent, most)
     gap = F.struct(F.abs(micros_between("ts", "t1")).alias("gap"), "ts", "event_id")
     current = measured.where("main").groupBy("subject").agg(F.min_by("visit", gap).alias("visit"))
     lists = visits(seen.drop("t1"), kinds, conditions, drugs).select("subject", "visit", "diagnoses", "medications")

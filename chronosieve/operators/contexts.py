@@ -85,7 +85,7 @@ def covariates(events: DataFrame, index: DataFrame, people: DataFrame, groups: d
     rows = index.join(wide, "episode", "left").join(flags, "subject", "left").join(people.select("subject", F.col("age").cast("double").alias("age")), "subject", "left")
     names = [f"lab_{c}" for c in labels] + [f"cm_{g}" for g in groups] + ["age"]
     rows = rows.withColumns({f"cm_{g}": F.coalesce(f"cm_{g}", F.lit(0)).cast("double") for g in groups})
-    full = saved(imputed(saved(rows.select("subject", "episode", "t", "kind", *names)), names))
+    full = saved(imputed(rows.select("subject", "episode", "t", "kind", *names), names))
     return full.select("subject", "episode", "t", "kind", *varying(full, names))
 
 

@@ -14,7 +14,8 @@ from .ranks import quantiles, running
 
 
 def imputed(wide: DataFrame, columns: list[str]) -> DataFrame:
-    """Missing covariates become the column's median, 0 if it has none."""
+    """Missing covariates become the column's median, 0 if it has none. The rows are computed once, as the medians take several passes."""
+    wide = saved(wide)
     long = wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("covariate"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")).select("c.*")
     found = {r.covariate: r.quantile for r in quantiles(long, ["covariate"], "x", [0.5]).collect()}  # a row for each column
     return wide.select(*[c for c in wide.columns if c not in columns], *[F.coalesce(F.col(c), F.lit(float(found.get(c, 0.0)))).alias(c) for c in columns])

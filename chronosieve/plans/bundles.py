@@ -420,3 +420,51 @@ def phrase_leaks(spark, sf):
     pick = lambda phrases: F.element_at(F.array(*map(F.lit, phrases)), (F.col("conv_id") % len(phrases) + 1).cast("int"))
     text = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("turn") % 3 == 0, F.concat(F.lit(" It "), pick(G.ASSERTIONS))).otherwise(""), F.when(F.col("turn") % 2 == 1, F.concat(F.lit(" The Labs "), F.upper(pick(G.OWNER_REVEALS)))).otherwise(""))
     return load(spark, sf, "conversations").select("conv_id", "turn", *[F.array_join(G.phrases_in(text, v), ",").alias(k) for k, v in _LISTS.items()])
+
+
+_SHOWN = """d AS (SELECT * FROM (SELECT x.event_id, x.user_id, x.event_type AS name, x.value, date_trunc('minute', x.ts) AS minute, row_number() OVER (PARTITION BY x.user_id, x.event_type, date_trunc('minute', x.ts) ORDER BY x.ts, x.event_id) AS r FROM c JOIN events x USING (user_id) WHERE x.ts <= CASE WHEN x.event_type = 'error' THEN tv ELSE tw END) WHERE r = 1),
+k AS (SELECT *, count(*) FILTER (WHERE name = 'error') OVER (PARTITION BY user_id) AS n_main, row_number() OVER (PARTITION BY user_id, name = 'error' ORDER BY minute DESC, name DESC) AS nth FROM d),
+l AS (SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY minute, name, value, event_id) AS timeline, count(*) FILTER (WHERE name = 'error') AS n_prior FROM k WHERE name = 'error' OR nth <= greatest(0, 24 - n_main) GROUP BY 1)"""
+
+
+def _windows_of(spark, sf, cases):
+    """Cases with their times and the record that may be shown; ids as text."""
+    e = T.events(spark, sf).withColumnsRenamed({"user_id": "subject", "event_type": "name"})
+    at = lambda side: e.where("name = 'error'").select(F.col("event_id").alias(f"{side}_id"), F.col("ts").alias(f"t_{side}"))
+    timed = cases.withColumnRenamed("user_id", "subject").join(at("visible"), "visible_id").join(at("target"), "target_id")
+    made = B.window_records(e.select("subject", "ts", "event_id", "name", "value"), timed, F.col("name") == "error", 24)
+    ids = F.array_join(F.transform("timeline", lambda x: x["event_id"].cast("string")), ",")
+    return made.withColumnsRenamed({"subject": "user_id"}).withColumns({"timeline": ids, "n_prior": F.size("prior").cast("long")})
+
+
+@query("reversal_records", f"""
+WITH {T._PAIRS}, s AS (SELECT *, visible_trend || '_to_' || actual_dir AS reversal_type, 3 * CASE WHEN v_visible > 0 THEN abs(v_target - v_visible) / v_visible ELSE 0 END + 0.01::DOUBLE * n_between + CASE WHEN gap_hours BETWEEN 6 AND 24 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM rev WHERE visible_trend <> actual_dir),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, target_id, visible_id) AS r FROM s) WHERE r = 1),
+q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reversal_type ORDER BY score DESC, user_id) <= 2 AS by_quota FROM b) ORDER BY by_quota DESC, score DESC, user_id LIMIT 12),
+c AS (SELECT q.*, v.ts AS tv, w.ts AS tw FROM q JOIN events v ON v.event_id = visible_id JOIN events w ON w.event_id = target_id), {_SHOWN}
+SELECT user_id, visible_id, target_id, reversal_type, by_quota, CAST(round(v_target * 100) AS BIGINT) AS truth, n_prior, timeline FROM c JOIN l USING (user_id)""")
+def reversal_records(spark, sf):
+    """Whole cases whose visible trend turns: the best window of a subject, some of each kind of turn first, and what may be shown."""
+    best = S.best_window(T.visible_trend_reversal(spark, sf), "user_id")
+    chosen = C.quota_then_fill(best, "reversal_type", 2, 12, [F.desc("score"), F.col("user_id")])
+    return _windows_of(spark, sf, chosen).select("user_id", "visible_id", "target_id", "reversal_type", "by_quota", F.round(F.col("v_target") * 100).cast("long").alias("truth"), "n_prior", "timeline")
+
+
+@query("signal_records", f"""
+WITH {T._PAIRS}, t AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'error'),
+n AS (SELECT p.*, v.ts AS tv, w.ts AS tw, (SELECT count(*) FROM events x WHERE x.user_id = p.user_id AND x.event_type <> 'error' AND x.ts > v.ts AND x.ts <= w.ts) AS n_signals FROM pairs p JOIN t v ON v.event_id = visible_id JOIN t w ON w.event_id = target_id),
+s AS (SELECT *, {T._DIR.format(b='v_visible', a='v_target')} AS direction, 3 * n_signals + 2 * CASE WHEN v_target > 0 THEN abs(v_target - v_visible) / v_target WHEN v_target <> v_visible THEN 1 ELSE 0 END + CASE WHEN gap_hours BETWEEN 6 AND 24 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS score FROM n),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, target_id, visible_id) AS r FROM s) WHERE r = 1),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY direction ORDER BY score DESC, user_id) AS z FROM b) WHERE z <= CASE direction WHEN 'stable' THEN 4 ELSE 5 END), {_SHOWN}
+SELECT user_id, visible_id, target_id, direction, n_signals, CAST(round(v_target * 100) AS BIGINT) AS truth, n_prior, timeline FROM c JOIN l USING (user_id)""")
+def signal_records(spark, sf):
+    """Whole cases that other measurements tell most about: the best window of a subject, directions in thirds, and what may be shown."""
+    e = T.events(spark, sf)
+    own = F.col("event_type") == "error"
+    counted = R.signals_until(e, "user_id", ~own).where(own)
+    at = lambda side: counted.select(F.col("event_id").alias(f"{side}_id"), F.col("signals").alias(f"n_{side}"))
+    pairs = S.ordered_pairs(e.where(own), ["user_id"]).join(at("visible"), "visible_id").join(at("target"), "target_id").withColumn("n_signals", F.col("n_target") - F.col("n_visible"))
+    scored = pairs.withColumns({"score": D.window_score("n_signals", D.relative_gap("v_visible", "v_target"), "gap_hours"), "direction": D.direction("v_visible", "v_target")})
+    best = C.per_group(scored, ["user_id"], [F.desc("score"), F.col("target_id"), F.col("visible_id")], 1).drop("rank")
+    chosen = C.balanced(best, F.lit("all"), "direction", C.thirds(14), [F.desc("score"), F.col("user_id")])
+    return _windows_of(spark, sf, chosen).select("user_id", "visible_id", "target_id", "direction", "n_signals", F.round(F.col("v_target") * 100).cast("long").alias("truth"), "n_prior", "timeline")
