@@ -173,3 +173,30 @@ def next_value_records(events: DataFrame, cases: DataFrame, main: Column, kinds:
     out = cases.join(line, "subject").join(held, "subject", "left")
     empty = F.array().cast("array<string>")
     return out.withColumns({c: F.coalesce(c, empty) for c in ("diagnoses", "medications")})
+
+
+def admission_records(admissions: DataFrame, lines: DataFrame, diagnoses: int = 8, drugs: int = 12, drugs_now: int = 15) -> DataFrame:
+    """One row for each subject: its earlier admissions in order, and the current one with its measurements.
+
+    admissions: subject, visit, t, kind, part (prior or current; one current a subject). lines: visit, nth, date, diagnosis,
+    drug, procedure, label, value, any of which may be null. Of an admission: the first diagnoses by nth, all
+    procedures by date, the first different drugs by name; of the current one also the first value of each label and day.
+    What is listed is cut for each admission before a subject's admissions meet.
+    """
+    own = Window.partitionBy("visit")
+    some = lines.join(admissions.select("visit", "part"), "visit")
+    once = F.row_number().over(Window.partitionBy("visit", "date", "label").orderBy("nth"))
+    some = some.withColumns({"__d": F.count("diagnosis").over(own.orderBy("nth")), "__once": once})
+    per = some.groupBy("visit").agg(
+        F.array_sort(F.collect_list(F.when(F.col("diagnosis").isNotNull() & (F.col("__d") <= diagnoses), F.struct("nth", "diagnosis")))).alias("d"),
+        F.array_sort(F.collect_list(F.when(F.col("procedure").isNotNull(), F.struct("date", "nth", "procedure")))).alias("p"),
+        F.array_sort(F.collect_set("drug")).alias("m"),
+        F.array_sort(F.collect_list(F.when((F.col("part") == "current") & F.col("label").isNotNull() & (F.col("__once") == 1), F.struct("date", "label", "value")))).alias("labs"),
+    )
+    empty = lambda c: F.coalesce(F.col(c), F.array().cast(dict(per.dtypes)[c]))
+    full = admissions.join(per, "visit", "left").withColumns({c: empty(c) for c in ("d", "p", "m", "labs")})
+    names = lambda c, field: F.transform(c, lambda x: x[field])
+    prior = F.struct("t", "visit", F.to_date("t").alias("admit_date"), "kind", names("d", "diagnosis").alias("diagnoses"), names("p", "procedure").alias("procedures"), F.slice("m", 1, drugs).alias("medications"))
+    now = F.col("part") == "current"
+    current = F.struct("visit", F.to_date("t").alias("admit_date"), "kind", names("d", "diagnosis").alias("diagnoses"), F.slice("m", 1, drugs_now).alias("medications"))
+    return full.groupBy("subject").agg(F.array_sort(F.collect_list(F.when(~now, prior))).alias("history"), F.first(F.when(now, current), ignorenulls=True).alias("current"), F.first(F.when(now, F.col("labs")), ignorenulls=True).alias("lab_data"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import direction as D, guards as G
-from ..operators import bundles as B, charts, cohort as C, contexts as X, episodes as E, records as R, series as S, translation
+from ..operators import anchor as A, bundles as B, charts, cohort as C, contexts as X, episodes as E, records as R, series as S, translation
 from ..session import load
 from ..sources import slices
 from . import timelines as T
@@ -468,3 +468,49 @@ def signal_records(spark, sf):
     best = C.per_group(scored, ["user_id"], [F.desc("score"), F.col("target_id"), F.col("visible_id")], 1).drop("rank")
     chosen = C.balanced(best, F.lit("all"), "direction", C.thirds(14), [F.desc("score"), F.col("user_id")])
     return _windows_of(spark, sf, chosen).select("user_id", "visible_id", "target_id", "direction", "n_signals", F.round(F.col("v_target") * 100).cast("long").alias("truth"), "n_prior", "timeline")
+
+
+@query("admission_records", """
+WITH c AS (SELECT o_custkey, min_by(o_orderkey, (o_orderdate, o_orderkey)) AS cut_key, min((o_orderdate, o_orderkey)) AS cut FROM orders WHERE o_orderstatus = 'P' GROUP BY 1),
+a AS (SELECT o_custkey AS subject, o_orderkey AS visit, o_orderdate AS t, o_orderpriority AS kind, o_orderkey = cut_key AS now FROM orders JOIN c USING (o_custkey) WHERE (o_orderdate, o_orderkey) <= cut),
+l AS (SELECT l_orderkey AS visit, (l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nth, l_shipdate::DATE AS date, CASE WHEN l_quantity > 10 THEN l_partkey END AS diagnosis, l_suppkey % 20 AS drug, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS procedure, l_linestatus AS label, l_extendedprice AS value FROM lineitem),
+x AS (SELECT l.*, count(diagnosis) OVER (PARTITION BY visit ORDER BY nth) AS d, row_number() OVER (PARTITION BY visit, date, label ORDER BY nth) AS f FROM l),
+p AS (SELECT visit, string_agg(diagnosis::VARCHAR, ',' ORDER BY nth) FILTER (WHERE d <= 3) AS diagnoses, string_agg(procedure::VARCHAR, ',' ORDER BY date, nth) AS procedures, array_to_string(list_sort(list_distinct(list(drug)))[1:3], ',') AS drugs, array_to_string(list_sort(list_distinct(list(drug)))[1:5], ',') AS drugs_now,
+  string_agg(date || ' ' || label || ' ' || CAST(round(value * 100) AS BIGINT), ';' ORDER BY date, label) FILTER (WHERE f = 1) AS labs FROM x GROUP BY 1)
+SELECT subject, coalesce(string_agg(t::DATE || '|' || kind || '|' || coalesce(diagnoses, '') || '|' || coalesce(procedures, '') || '|' || coalesce(drugs, ''), ';' ORDER BY t, a.visit) FILTER (WHERE NOT now), '') AS history, max(a.visit) FILTER (WHERE now) AS cut_key,
+  coalesce(max(t::DATE || '|' || kind || '|' || coalesce(diagnoses, '') || '|' || coalesce(drugs_now, '')) FILTER (WHERE now), '') AS current, coalesce(max(labs) FILTER (WHERE now), '') AS lab_data FROM a LEFT JOIN p ON p.visit = a.visit GROUP BY 1""")
+def admission_records(spark, sf):
+    """Each subject's admissions before its first open one, and that one, as whole records."""
+    o = C.split_at(load(spark, sf, "orders"), "o_custkey", [F.col("o_orderdate"), F.col("o_orderkey")], F.col("o_orderstatus") == "P").where("part in ('prior', 'current')")
+    admissions = o.select(F.col("o_custkey").alias("subject"), F.col("o_orderkey").alias("visit"), F.col("o_orderdate").alias("t"), F.col("o_orderpriority").alias("kind"), "part")
+    lines = load(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("visit"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("nth"), F.to_date("l_shipdate").alias("date"), F.when(F.col("l_quantity") > 10, F.col("l_partkey")).alias("diagnosis"),
+        (F.col("l_suppkey") % 20).alias("drug"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("procedure"), F.col("l_linestatus").alias("label"), F.col("l_extendedprice").alias("value"),
+    )
+    r = B.admission_records(admissions, lines, 3, 3, 5)
+    texts = lambda x: F.array_join(F.transform(x, lambda v: v.cast("string")), ",")
+    told = lambda x, fields: F.concat_ws("|", x["admit_date"].cast("string"), x["kind"], *[texts(x[f]) for f in fields])
+    labs = F.transform("lab_data", lambda x: F.concat_ws(" ", x["date"].cast("string"), x["label"], F.round(x["value"] * 100).cast("long").cast("string")))
+    history = F.transform("history", lambda x: told(x, ["diagnoses", "procedures", "medications"]))
+    return r.select("subject", F.array_join(history, ";").alias("history"), F.col("current.visit").alias("cut_key"), told(F.col("current"), ["diagnoses", "medications"]).alias("current"), F.array_join(labs, ";").alias("lab_data"))
+
+
+@query("converted_episodes", f"""
+WITH m AS (SELECT user_id, event_type, ts, event_id, value FROM events),
+n AS (SELECT user_id, event_id AS visible_id, ts AS t1, value AS v1, lead(value) OVER w AS v2, lead(ts) OVER w AS t2 FROM m WHERE event_type = 'error' WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('29:' || user_id || ':' || visible_id), visible_id) AS r FROM n WHERE {T._H.format(a='t1', b='t2')} BETWEEN 1 AND 48 AND v1 <> v2) WHERE r = 1),
+p AS (SELECT c.user_id, count(*) AS n_pre, max_by(m.value, (m.ts, m.event_id)) FILTER (WHERE event_type = 'error') AS b FROM c JOIN m ON m.user_id = c.user_id AND m.ts <= t1 GROUP BY 1)
+SELECT c.user_id, visible_id, n_pre, CASE WHEN visible_id % 7 = 0 THEN 'statin' ELSE ['heparin', 'beta blocker', 'diuretic'][1 + (visible_id - 1) % 3] END AS kind,
+  array_to_string(list_transform(range(96), lambda i: CAST(round((b + (v2 - b) * i / 95) * 1000) AS BIGINT)::VARCHAR), ' ') AS grid FROM c JOIN p USING (user_id)""")
+def converted_episodes(spark, sf):
+    """Next-value cases as episodes: what was measured up to the cut-off, an inferred kind, and a straight line from the last value to the truth."""
+    e = T.events(spark, sf)
+    main = e.where("event_type = 'error'")
+    chosen = C.per_group(S.next_pairs(main, ["user_id"]), ["user_id"], [C.seeded(29, "user_id", "event_id"), F.col("event_id")], 1)
+    cases = chosen.join(main.select("event_id", F.col("ts").alias("anchor_ts")), "event_id").select("user_id", F.col("event_id").alias("visible_id"), "after", "anchor_ts")
+    at = F.struct("ts", "event_id")
+    own = F.col("event_type") == "error"
+    seen = A.before_anchor(e, cases, "user_id").groupBy("user_id", "visible_id", "after").agg(F.count(F.lit(1)).alias("n_pre"), F.max_by(F.when(own, F.col("value")), F.when(own, at)).alias("b"))
+    kind = R.inferred_kind(F.col("visible_id"), ["heparin", "beta blocker", "diuretic"], [(["7"], F.when(F.col("visible_id") % 7 == 0, F.lit("7")), F.lit(True), "statin")])
+    line = F.transform(F.sequence(F.lit(0), F.lit(95)), lambda i: F.round((F.coalesce("b", F.lit(0.0)) + (F.col("after") - F.coalesce("b", F.lit(0.0))) * i / 95) * 1000).cast("long").cast("string"))
+    return seen.select("user_id", "visible_id", "n_pre", kind.alias("kind"), F.array_join(line, " ").alias("grid"))

@@ -66,12 +66,12 @@ def condition_pivot(spark, sf):
 
 
 @query("describe_values", """
-SELECT event_type, count(value) AS n, min(value) AS smallest, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS mid, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS largest, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value), 6) AS mean FROM events GROUP BY 1""")
+SELECT event_type, count(value) AS n, min(value) AS smallest, round(quantile_cont(value, 0.25), 6) AS q1, round(median(value), 6) AS mid, round(quantile_cont(value, 0.75), 6) AS q3, max(value) AS largest, round(CAST(sum(CAST(value AS DECIMAL(18,2))) AS DOUBLE) / count(value), 6) AS mean, round(stddev_samp(value), 6) AS deviation FROM events GROUP BY 1""")
 def describe_values(spark, sf):
     from ..operators.ranks import quantiles
 
     e = load(spark, sf, "events")
-    whole = e.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("smallest"), F.max("value").alias("largest"), F.round(F.avg(F.col("value").cast("decimal(18,2)")), 6).cast("double").alias("mean"))
+    whole = e.groupBy("event_type").agg(F.count("value").alias("n"), F.min("value").alias("smallest"), F.max("value").alias("largest"), F.round(F.avg(F.col("value").cast("decimal(18,2)")), 6).cast("double").alias("mean"), F.round(F.stddev_samp("value"), 6).alias("deviation"))
     at = quantiles(e, ["event_type"], "value", [0.25, 0.5, 0.75])
     wide = at.groupBy("event_type").agg(*[F.round(F.max(F.when(F.col("share") == p, F.col("quantile"))), 6).alias(k) for k, p in (("q1", 0.25), ("mid", 0.5), ("q3", 0.75))])
     return whole.join(wide, "event_type")
