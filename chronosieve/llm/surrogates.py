@@ -59,7 +59,13 @@ ENDINGS = {"latin": {"m": "n", "f": "a"}, "cyrillic": {"m": "н", "f": "а"}, "g
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
 _PLAIN = "|".join(t for ts in PLAIN_TITLES.values() for t in ts)
 _HONORIFIC = "|".join(HONORIFICS)
-NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?"
+#: A word of a name: capital first, hyphens and apostrophes inside (Jean-Luc, O'Neil), but not a possessive's.
+WORD_OF_NAME = r"\p{Lu}(?:['’]\p{Lu})?\p{L}+(?:-\p{L}+|['’]\p{Lu}\p{L}+)*"
+NAME = rf"(?<![\p{{L}}])(?:{_TITLE})\.? {WORD_OF_NAME}(?: {WORD_OF_NAME})?"
+#: What a text without its entities consists of: words as names have them, other runs of letters, and all between.
+PIECE = rf"{WORD_OF_NAME}|\p{{L}}+|[^\p{{L}}]+"
+#: Groups into which the names of a text are dealt, so that a word is looked up among few of them.
+GROUPS = 256
 PLAIN_NAME = rf"(?<![\p{{L}}])(?:{_PLAIN}) [\p{{IsArabic}}\p{{IsHebrew}}]{{2,}}"
 HONOURED = rf"(?<![\p{{IsHan}}])\p{{IsHan}}{{1,4}}(?:{_HONORIFIC})"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, ADDRESS, CARD, PHONE, NAME, PLAIN_NAME, HONOURED))
@@ -255,21 +261,42 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     nothing = F.array().cast("array<string>")
     rows = rows.select("*", F.explode(F.array(F.when(some, made).otherwise(nothing))).alias("made"))
     # persons named in this text: how they are called without a title, and what that becomes
-    names = F.filter(F.zip_with("found", "made", lambda m, s: F.when(kind(m) == "name", F.struct(named_in(m).alias("name"), named_in(s).alias("new")))), lambda x: x.isNotNull())
-    last = lambda x: F.struct(F.substring_index(x["name"], " ", -1).alias("name"), F.substring_index(x["new"], " ", -1).alias("new"))
-    rows = rows.select("*", F.explode(F.array(names)).alias("names")).withColumn("persons", F.concat("names", F.transform(F.filter("names", lambda x: x["name"].contains(" ")), last)))
-    alone = lambda n: F.concat(F.lit(r"(?<!\p{L})"), n, F.lit(r"(?!\p{L})"))  # noqa: E731  names are letters and spaces
-
-    def replacing(acc: Column, x: Column) -> Column:
-        hits = F.regexp_count(acc["text"], alone(x["name"]))
-        return F.struct(F.when(hits > 0, F.regexp_replace(acc["text"], alone(x["name"]), x["new"])).otherwise(acc["text"]).alias("text"), (acc["hits"] + hits).alias("hits"))
-
-    # a part between entities, and how often it calls a person without a title
-    parts = F.transform(F.split("text", ANY, -1), lambda p: F.aggregate("persons", F.struct(p.alias("text"), F.lit(0).alias("hits")), replacing))
-    rows = rows.select("*", F.explode(F.array(F.when(F.size("persons") > 0, parts))).alias("parts"))
-    pieces = F.when(F.col("parts").isNotNull(), F.transform("parts", lambda p: p["text"])).otherwise(F.split("text", ANY, -1))
+    named = lambda m, s: F.when(kind(m) == "name", F.concat_ws("|", F.lower(named_in(m)), named_in(s)))
+    names = F.filter(F.zip_with("found", "made", named), lambda x: x.isNotNull())
+    # as strings, which Spark makes distinct by hashing
+    rows = rows.select("*", F.explode(F.array(F.array_distinct(names))).alias("names"))
+    last = lambda x: F.concat_ws("|", F.substring_index(F.substring_index(x, "|", 1), " ", -1), F.substring_index(F.substring_index(x, "|", -1), " ", -1))
+    every = F.array_distinct(F.concat("names", F.transform(F.filter("names", lambda x: x.contains(" ")), last)))
+    group = lambda name: F.pmod(F.hash(name), F.lit(GROUPS))
+    person = lambda x: F.struct(F.substring_index(x, "|", 1).alias("name"), F.substring_index(x, "|", -1).alias("new"), group(F.substring_index(x, "|", 1)).alias("group"))
+    rows = rows.select("*", F.explode(F.array(F.transform(every, person))).alias("persons"))
+    groups = F.transform(F.sequence(F.lit(0), F.lit(GROUPS - 1)), lambda g: F.filter("persons", lambda x: x["group"] == g))
+    rows = rows.select("*", F.explode(F.array(F.when(F.size("persons") > 0, groups))).alias("groups"))
+    # the text between entities in pieces, each looked at once, so nothing that was put in is replaced again
+    split = F.transform(F.split("text", ANY, -1), lambda p: F.regexp_extract_all(p, F.lit(PIECE), 0))
+    rows = rows.select("*", F.explode(F.array(F.when(F.size("persons") > 0, split))).alias("split"))
+
+    def called(words: Column, whole: bool) -> Column:
+        """What a person of this text who is called so becomes; null if nobody is. In capitals only whole names count, as one word may be an acronym."""
+        low = F.lower(words)
+        new = F.get(F.filter(F.get("groups", group(low)), lambda x: x["name"] == low), F.lit(0))["new"]
+        loud = (F.length(words) > 1) & (F.upper(words) == words) & (low != words)
+        return F.when(words.rlike(r"^[\p{Lu}\p{Lo}]"), F.when(~loud, new).when(F.lit(whole), F.upper(new)))
+
+    def looked_up(p: Column) -> Column:
+        # a piece alone, and with the word after the space that follows it
+        alone = F.transform(p, lambda x: F.struct(x.alias("x"), called(x, False).alias("one")))
+        return F.transform(alone, lambda x, i: F.struct(x["x"].alias("x"), x["one"].alias("one"), F.when(F.get(p, i + 1) == " ", called(F.concat(x["x"], F.lit(" "), F.get(p, i + 2)), True)).alias("two")))
+
+    rows = rows.select("*", F.explode(F.array(F.transform("split", looked_up))).alias("seen"))
+    # a name of two words takes the pieces that it is made of, unless the name before it took the first
+    two = lambda p, i: F.when(i >= 0, F.get(p, i)["two"])
+    starts = lambda p, i: two(p, i).isNotNull() & two(p, i - 2).isNull()
+    put = lambda p: F.transform(p, lambda x, i: F.when(starts(p, i), x["two"]).when(starts(p, i - 1) | starts(p, i - 2), "").otherwise(F.coalesce(x["one"], x["x"])))
+    number = lambda p: F.size(F.filter(p, lambda x, i: starts(p, i) | (x["one"].isNotNull() & ~starts(p, i - 2))))
+    pieces = F.when(F.col("seen").isNotNull(), F.transform("seen", lambda p: F.array_join(put(p), ""))).otherwise(F.split("text", ANY, -1))
     told = F.zip_with(pieces, "made", lambda p, s: F.concat(p, F.coalesce(s, F.lit(""))))
-    hits = F.when(F.col("parts").isNotNull(), F.aggregate("parts", F.lit(0), lambda n, p: n + p["hits"])).otherwise(0)
+    hits = F.when(F.col("seen").isNotNull(), F.aggregate("seen", F.lit(0), lambda n, p: n + number(p))).otherwise(0)
     kinds = F.array_join(F.array_sort(F.array_distinct(F.transform("found", kind))), ",")
     return rows.select("doc_id", (F.size("found") + hits).cast("long").alias("n_entities"), kinds.alias("kinds"), some.alias("changed"), F.when(some, F.array_join(told, "")).otherwise(F.col("text")).alias("text"))
 

@@ -4,6 +4,8 @@ import collections
 import hashlib
 import math
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_operators import FOLD, SCHEMA, counted, docs, edge, empty, real, words  # noqa: F401
 
-from chronosieve.llm import manifest, minhash, negatives, ngram_join
+from chronosieve.llm import manifest, minhash, negatives, ngram_join, surrogates
 
 VECTORS = "vec_id long, embedding array<float>, label int, score string, anchor_id int, v int"
 
@@ -189,3 +191,27 @@ def test_manifest_of_nothing_and_without_changes(spark, empty):  # noqa: F811
     assert manifest.manifest(empty).collect() == []
     one = manifest.manifest(spark.createDataFrame([(1, None, None, None, None, None, None, None)], SCHEMA)).collect()
     assert len(one) == 1 and one[0].leaf == one[0].subroot == one[0].root == one[0].folded_root == hashlib.sha256(b"1:1----").hexdigest() and one[0].verified
+
+
+def test_names_with_marks_and_in_capitals(spark):
+    """Hyphens, apostrophes and possessives, a name in capitals, one that is a common word, and names that overlap."""
+    texts = ["I met Prof. Jean-Luc Picard. Picard said that Jean-Luc Picard and JEAN-LUC PICARD left.", "Mrs O'Neil saw O'Neil; Mr Smith's dog bit Smith and SMITH, but a smith works.", "Mr John Smith, JOHN SMITH and John Smith Smith", "Ms A Baker Mr Baker baker Baker"]
+    got = [r.text for r in surrogates.replaced(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    for word in ("Picard", "PICARD", "Jean", "Luc", "Neil", "Smith", "John", "JOHN", "Baker"):
+        assert not any(word in t for t in got), word
+    # one word in capitals may be an acronym
+    last = re.search(r"Mr (\w+)'s dog bit (\w+) and SMITH, but a smith works", got[1])
+    assert last[1] == last[2] and re.fullmatch(r"Mr (\w+ \w+), [A-Z]+ [A-Z]+ and \1 \w+", got[2])
+    first, name = re.search(r"Prof\. (\w+) (\w+)\.", got[0]).groups()
+    assert got[0] == f"I met Prof. {first} {name}. {name} said that {first} {name} and {first.upper()} {name.upper()} left."
+    assert got[3].startswith("Ms A ") and got[3].split()[3:] == ["Mr", got[3].split()[2], "baker", got[3].split()[2]]
+
+
+def test_a_text_of_thousands_of_names(spark):
+    names = [f"{a.upper()}{b}{c} {d.upper()}{a}x" for a in "abcdefgh" for b in "aeiou" for c in "klmnopqr" for d in "bcdfghjklmnp"]
+    text = " said. ".join(f"Mr {n}" for n in names) + ". " + ". ".join(names)
+    began = time.time()
+    got = surrogates.replaced(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()[0]
+    words_ = got.text.split(". ")
+    assert got.n_entities == 2 * len(names) and time.time() - began < 120
+    assert [w.removeprefix("Mr ").removesuffix(" said") for w in words_[: len(names)]] == words_[len(names) :]
