@@ -17,10 +17,10 @@ A large group of near copies must not cost its pairs. So links are sought in thi
    one whose sketch is nearest. Linked parts are found, and each set asks the nearest
    leader of another part, as long as that joins many. These rounds are linear, and
    nothing is decided against a set in them.
-2. The rest. Sets of buckets that still hold several parts are put into groups, bounded by
-   sets and by tokens. Two groups that meet in a bucket make a tile, in which all
-   sketches of the one are held against all of the other, but not within a part. A set
-   whose sketch passes against some set of a group is confirmed against that group.
+2. The rest. Sets of buckets that still hold several parts are put into blocks, and these into
+   groups, bounded by sets and by tokens. Two blocks that meet in a bucket make a tile, in
+   which all sketches of the one are held against all of the other, but not within a part. A
+   set whose sketch passes against some set of a group is confirmed against that group.
 3. Components of all links.
 """
 
@@ -43,10 +43,10 @@ SAMPLES, ROWS = 128, 4
 #: Bits of an odd sketch, in words of 64.
 WORDS = 16
 BITS = 64 * WORDS
-#: Tokens of a group's sets, about; CAP is the number of its sets.
-TOKENS = 1 << 20
+#: Sets of a block, about (some 700 KB), and tokens of a group's sets; CAP is the number of its sets.
+BLOCK, TOKENS = 4096, 1 << 20
 #: Leaders are asked again as long as a round leaves at most this share of the places in mixed buckets.
-FEWER = 0.7
+FEWER = 0.5
 #: Standard deviations of the estimate by which a link may look less similar than it is.
 SIGMAS = 6
 
@@ -147,17 +147,20 @@ def in_parts(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _tiles(percent: int):
-    """Sorted by tile, members first: which askers' sketches pass against some member of a larger part. A tile is an asking group and an asked one."""
+    """Sorted by tile, members first: which askers' sketches pass against which groups of members of larger parts. A tile is an asking block and an asked one."""
     limit = most_ones(percent)
     schema = pa.schema([("node", pa.binary()), ("home", pa.int64())])
 
     def asking(members, rows):
-        odd, n, size, part = (np.concatenate(x) for x in zip(*members, strict=True))
-        for at in range(0, len(rows[0]), 32):
-            o, m, z, p = (x[at : at + 32, None] for x in rows)
-            near = np.bitwise_count(o ^ odd[None, :, :]).sum(axis=2, dtype=np.int64) <= limit if len(odd) else np.zeros((len(o), 0), bool)
+        odd, n, size, part, home = (np.concatenate(x) for x in zip(*members, strict=True))
+        names, group = np.unique(home, return_inverse=True)
+        for at in range(0, len(rows[0]), 16):
+            o, m, z, p = (x[at : at + 16, None] for x in rows)
+            near = np.bitwise_count(o ^ odd[None, :, :]).sum(axis=2, dtype=np.int64) <= limit
             near &= (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((z < size) | ((z == size) & (p < part)))
-            yield from (at + np.flatnonzero(near.any(axis=1))).tolist()
+            i, j = np.nonzero(near)
+            found = np.unique(i * len(names) + group[j])
+            yield at + found // len(names), names[found % len(names)]
 
     def run(batches):
         tile, members = None, []
@@ -165,7 +168,6 @@ def _tiles(percent: int):
             tiles, role, n, size, part, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "role", "n", "size", "part_key", "home"))
             # unsigned, as the ones of negative numbers are not their bits to numpy
             odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
-            node, out = batch.column("node"), []
             cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(role) != 0)) + 1
             for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(tiles)], strict=True):
                 if a == b:
@@ -173,40 +175,40 @@ def _tiles(percent: int):
                 if tiles[a] != tile:
                     tile, members = tiles[a], []
                 if role[a] == 0:
-                    members.append((odd[a:b], n[a:b], size[a:b], part[a:b]))
+                    members.append((odd[a:b], n[a:b], size[a:b], part[a:b], home[a:b]))
                 elif members:
-                    out += [a + k for k in asking(members, (odd[a:b], n[a:b], size[a:b], part[a:b]))]
-            if out:
-                yield pa.RecordBatch.from_arrays([node.take(pa.array(out)), pa.array(home[out], pa.int64())], schema=schema)
+                    for who, asked in asking(members, (odd[a:b], n[a:b], size[a:b], part[a:b])):
+                        if len(who):
+                            yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(a + who)), pa.array(asked)], schema=schema)
 
     return run
 
 
 def rest(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """keys: node, part, key of buckets that hold several parts; sets: node, n, odd, rep -> (members, asking) for `compared`: gid, node, rep.
+    """keys: node, part, rank, key of buckets that hold several parts; sets: node, n, odd, rep -> (members, asking) for `compared`: gid, node, rep.
 
-    Sets are in groups: those of a part, or those alone that share their fullest bucket, cut
-    by sets and by tokens. Of two parts the smaller one asks, so a large part costs its
-    size for each smaller one beside it. Two groups that meet in any bucket make one tile.
+    Sets belong together if the highest rank that they meet in their buckets is the same one.
+    What belongs together is cut into blocks by sets, and into groups by sets and by tokens.
+    Two blocks that meet in any bucket make one tile. Of two parts the smaller one asks,
+    so a large part costs its size for each smaller one beside it.
     """
     spark = keys.sparkSession
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("sets"))
-    own = keys.join(full, "key").groupBy("node").agg(F.first("part").alias("part"), F.max(F.struct("sets", "key"))["key"].alias("bucket"))
-    own = checkpointed(own.join(sets, "node").select("node", "part", "bucket", "n", "odd", "rep"))
+    top = keys.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"))
+    own = keys.join(top, "key").groupBy("node").agg(F.first("part").alias("part"), F.xxhash64(F.max("top")["node"]).alias("base"))
+    own = checkpointed(own.join(sets, "node").select("node", "part", "base", "n", "odd", "rep"))
     size = own.groupBy("part").agg(F.count(F.lit(1)).alias("size"))
-    own = own.join(size, "part").withColumn("base", F.when(F.col("size") == 1, F.col("bucket")).otherwise(F.xxhash64("part")))
-    pieces = own.groupBy("base").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CAP, F.sum("n") / TOKENS)).alias("pieces"))
-    own = own.join(pieces, "base").withColumn("home", F.xxhash64("base", F.pmod(F.xxhash64("node"), F.col("pieces"))))
-    homes = checkpointed(own.select("node", "n", "odd", "rep", "size", F.xxhash64("part").alias("part_key"), "home"))
+    cuts = own.groupBy("base").agg(F.ceil(F.greatest(F.count(F.lit(1)) / CAP, F.sum("n") / TOKENS)).alias("groups"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    piece = lambda n: F.xxhash64("base", F.pmod(F.xxhash64("node"), F.col(n)), F.lit(n))
+    own = own.join(size, "part").join(cuts, "base").withColumns({"home": piece("groups"), "block": piece("blocks")})
+    homes = checkpointed(own.select("node", "n", "odd", "rep", "size", F.xxhash64("part").alias("part_key"), "home", "block"))
     order = F.struct("size", "part_key")
-    cells = keys.select("node", "key").join(homes.select("node", "home", order.alias("order")), "node").groupBy("key", "home").agg(F.min("order").alias("low"), F.max("order").alias("top"))
-    cells = checkpointed(cells)
+    cells = checkpointed(keys.select("node", "key").join(homes.select("node", "block", order.alias("order")), "node").groupBy("key", "block").agg(F.min("order").alias("low"), F.max("order").alias("top")))
     met = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.low") < F.col("b.top")))
-    met = checkpointed(met.select(F.col("a.home").alias("asks"), F.col("b.home").alias("asked")).distinct())
+    met = checkpointed(met.select(F.col("a.block").alias("asks"), F.col("b.block").alias("asked")).distinct())
     tile = F.xxhash64("asks", "asked").alias("tile")
-    sides = [met.select(tile, F.lit(0).alias("role"), F.col("asked").alias("of"), F.col("asked").alias("target")), met.select(tile, F.lit(1).alias("role"), F.col("asks").alias("of"), F.col("asked").alias("target"))]
-    sent = sides[0].unionByName(sides[1]).join(homes.withColumnRenamed("home", "of"), "of")
-    sent = sent.select("tile", "role", "node", "n", "size", "part_key", F.col("target").alias("home"), "odd").repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "role")
+    sides = met.select(tile, F.lit(0).alias("role"), F.col("asked").alias("block")).unionByName(met.select(tile, F.lit(1).alias("role"), F.col("asks").alias("block")))
+    sent = sides.join(homes, "block").select("tile", "role", "node", "n", "size", "part_key", "home", "odd")
+    sent = sent.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "role")
     asking = checkpointed(sent.mapInArrow(_tiles(percent), "node binary, home long"))
     members = homes.join(asking.select("home").distinct(), "home", "left_semi").select(F.col("home").alias("gid"), "node", "rep")
     return members, asking.select("node", F.col("home").alias("gid")).join(homes.select("node", "rep"), "node").select("gid", "node", "rep")

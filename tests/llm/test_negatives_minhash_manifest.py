@@ -100,9 +100,9 @@ def near_copies(seed, size):
     return rows
 
 
-@pytest.mark.parametrize("limits", [(256, 1 << 20), (4, 200)])
+@pytest.mark.parametrize("limits", [(256, 1 << 20, 4096), (4, 200, 16)])
 def test_near_duplicates_in_a_large_group(spark, limits, monkeypatch):
-    monkeypatch.setattr(minhash, "CAP", limits[0]), monkeypatch.setattr(minhash, "TOKENS", limits[1])
+    monkeypatch.setattr(minhash, "CAP", limits[0]), monkeypatch.setattr(minhash, "TOKENS", limits[1]), monkeypatch.setattr(minhash, "BLOCK", limits[2])
     rows = near_copies(7, 150)
     got = minhash.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3))
     assert counted(tuple(r) for r in got.collect()) == counted(brute_components(rows, 4, 80))
