@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, load, shuffle_partitions
 
 SHARDS = 24
+#: Buckets of the documents of one text in a shard.
+SPREAD = 16
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list, value: str | None, name: str) -> DataFrame:
@@ -98,7 +100,9 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int | None = None, id
     share = [total // shards] * shards
     for s in richest[: total % shards]:
         share[s] += 1
-    near = F.when(F.col("alone") == 0, F.pmod(F.xxhash64("g"), F.lit(buckets))).otherwise(F.pmod(F.col("h"), F.lit(buckets)))
+    # a text's documents lie in SPREAD buckets, so that a hot text is not one task's to order
+    of_text = F.pmod(F.xxhash64("g"), F.lit(buckets)) * SPREAD + F.pmod(F.shiftrightunsigned("h", 20), F.lit(SPREAD))
+    near = F.when(F.col("alone") == 0, of_text).otherwise(F.pmod(F.col("h"), F.lit(buckets)))
     ranked = running(placed, ["label", "alone"], near, ["g", "h", "doc_id"], None, "place")
     first_alone = F.element_at(F.array(*[F.lit(counts.get((s, 0), 0)) for s in range(shards)]), F.col("label") + 1)
     place = F.col("place") + F.when(F.col("alone") == 1, first_alone).otherwise(0)
