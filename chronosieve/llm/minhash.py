@@ -18,9 +18,9 @@ A large group of near copies must not cost its pairs. So links are sought in thi
    leader of another part, as long as that joins many. These rounds are linear, and
    nothing is decided against a set in them.
 2. The rest. Sets of buckets that still hold several parts are put into blocks, and these into
-   groups, bounded by sets and by tokens. Two blocks that meet in a bucket make a tile, in
-   which all sketches of the one are held against all of the other, but not within a part. A
-   set whose sketch passes against some set of a group is confirmed against that group.
+   groups, bounded by sets and by tokens. Of two blocks that meet in a bucket the smaller one asks:
+   its sketches are held against all of the other, but not within a part. A set whose
+   sketch passes against some set of a group is confirmed against that group.
 3. Components of all links.
 """
 
@@ -147,7 +147,7 @@ def in_parts(keys: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _tiles(percent: int):
-    """Sorted by tile, members first: which askers' sketches pass against which groups of members of larger parts. A tile is an asking block and an asked one."""
+    """Sorted by tile, members first: which askers' sketches pass against which groups of members of larger parts. A tile is an asked block and sets that ask it."""
     limit = most_ones(percent)
     schema = pa.schema([("node", pa.binary()), ("home", pa.int64())])
 
@@ -155,9 +155,11 @@ def _tiles(percent: int):
         odd, n, size, part, home = (np.concatenate(x) for x in zip(*members, strict=True))
         names, group = np.unique(home, return_inverse=True)
         for at in range(0, len(rows[0]), 16):
-            o, m, z, p = (x[at : at + 16, None] for x in rows)
+            o, m, z, p, inner = (x[at : at + 16, None] for x in rows)
             near = np.bitwise_count(o ^ odd[None, :, :]).sum(axis=2, dtype=np.int64) <= limit
-            near &= (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & ((z < size) | ((z == size) & (p < part)))
+            near &= (100 * np.minimum(m, n) >= percent * np.maximum(m, n)) & (p != part)
+            # within a block both sides are the same sets, so the one of the smaller part asks
+            near &= ~inner | (z < size) | ((z == size) & (p < part))
             i, j = np.nonzero(near)
             found = np.unique(i * len(names) + group[j])
             yield at + found // len(names), names[found % len(names)]
@@ -165,7 +167,7 @@ def _tiles(percent: int):
     def run(batches):
         tile, members = None, []
         for batch in batches:
-            tiles, role, n, size, part, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "role", "n", "size", "part_key", "home"))
+            tiles, role, n, size, part, home, inner = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tile", "role", "n", "size", "part_key", "home", "inner"))
             # unsigned, as the ones of negative numbers are not their bits to numpy
             odd = batch.column("odd").flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, WORDS)
             cuts = np.flatnonzero((np.diff(tiles) != 0) | (np.diff(role) != 0)) + 1
@@ -177,7 +179,7 @@ def _tiles(percent: int):
                 if role[a] == 0:
                     members.append((odd[a:b], n[a:b], size[a:b], part[a:b], home[a:b]))
                 elif members:
-                    for who, asked in asking(members, (odd[a:b], n[a:b], size[a:b], part[a:b])):
+                    for who, asked in asking(members, (odd[a:b], n[a:b], size[a:b], part[a:b], inner[a:b])):
                         if len(who):
                             yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(a + who)), pa.array(asked)], schema=schema)
 
@@ -189,8 +191,8 @@ def rest(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, Dat
 
     Sets belong together if the highest rank that they meet in their buckets is the same one.
     What belongs together is cut into blocks by sets, and into groups by sets and by tokens.
-    Two blocks that meet in any bucket make one tile. Of two parts the smaller one asks,
-    so a large part costs its size for each smaller one beside it.
+    Of two blocks that meet in any bucket the smaller one asks, and all that ask a block share
+    its tiles; so small blocks beside a large one cost their own size.
     """
     spark = keys.sparkSession
     top = keys.groupBy("key").agg(F.max(F.struct("rank", "node")).alias("top"))
@@ -203,11 +205,18 @@ def rest(keys: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, Dat
     homes = checkpointed(own.select("node", "n", "odd", "rep", "size", F.xxhash64("part").alias("part_key"), "home", "block"))
     order = F.struct("size", "part_key")
     cells = checkpointed(keys.select("node", "key").join(homes.select("node", "block", order.alias("order")), "node").groupBy("key", "block").agg(F.min("order").alias("low"), F.max("order").alias("top")))
-    met = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.low") < F.col("b.top")))
-    met = checkpointed(met.select(F.col("a.block").alias("asks"), F.col("b.block").alias("asked")).distinct())
-    tile = F.xxhash64("asks", "asked").alias("tile")
-    sides = met.select(tile, F.lit(0).alias("role"), F.col("asked").alias("block")).unionByName(met.select(tile, F.lit(1).alias("role"), F.col("asks").alias("block")))
-    sent = sides.join(homes, "block").select("tile", "role", "node", "n", "size", "part_key", "home", "odd")
+    # of two blocks that meet the smaller one asks; blocks of one and the same part do not
+    held = checkpointed(homes.groupBy("block").agg(F.count(F.lit(1)).alias("held")))
+    cells = cells.join(held, "block").withColumn("by", F.struct("held", "block"))
+    met = cells.alias("a").join(cells.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.by") <= F.col("b.by")) & ((F.col("a.low") != F.col("b.top")) | (F.col("a.top") != F.col("b.low"))))
+    met = checkpointed(met.select(F.col("a.block").alias("block"), F.col("a.held").alias("held"), F.col("b.block").alias("asked")).distinct())
+    # all that ask a block share its tiles, so it is sent once for each BLOCK of them
+    tiles = checkpointed(met.groupBy("asked").agg(F.ceil(F.sum("held") / BLOCK).cast("int").alias("tiles")))
+    columns = ["tile", "role", "node", "n", "size", "part_key", "home", "odd", "inner"]
+    tile = lambda k: F.xxhash64("asked", k).alias("tile")
+    asked = tiles.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(tile(F.col("k")), F.lit(0).alias("role"), F.lit(False).alias("inner"), F.col("asked").alias("block")).join(homes, "block")
+    asks = met.join(tiles, "asked").join(homes, "block").select("*", tile(F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")), F.lit(1).alias("role"), (F.col("block") == F.col("asked")).alias("inner"))
+    sent = asked.select(columns).unionByName(asks.select(columns))
     sent = sent.repartition(shuffle_partitions(spark), "tile").sortWithinPartitions("tile", "role")
     asking = checkpointed(sent.mapInArrow(_tiles(percent), "node binary, home long"))
     members = homes.join(asking.select("home").distinct(), "home", "left_semi").select(F.col("home").alias("gid"), "node", "rep")
