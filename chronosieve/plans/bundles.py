@@ -191,7 +191,7 @@ l AS (SELECT subject, any_value(total) AS total, any_value(cap) AS cap, {", ".jo
 SELECT l.*, c.event_id AS visible_id, v2 AS truth, {_SERIES_DIR} AS direction, CAST(round((v2 - v1) / v1 * 1000) AS BIGINT) AS change_permille, CASE WHEN k <= 1 THEN 'hard' WHEN k = 2 THEN 'medium' ELSE 'easy' END AS difficulty,
   CAST(round({T._H.format(a='c.ts', b='ts2')} * 10) AS BIGINT) AS tenths_ahead FROM l JOIN c USING (subject)""")
 def full_chart_cases(spark, sf):
-    """One case of each subject: all six tables up to the visible value, capped by the subject's volume, and the truth."""
+    """One case of each subject: all six tables up to the visible value, capped by the subject's volume, and the truth. From 0 there is no relative change: null."""
     x = six_tables(spark, sf)
     pairs = S.next_pairs(x.where("code = 'error'"), ["subject"])
     chosen = C.per_group(pairs, ["subject"], [C.seeded(23, "subject", "event_id"), F.col("event_id")], 1)
@@ -201,7 +201,7 @@ def full_chart_cases(spark, sf):
     ids = lambda c: F.array_join(F.transform(c, lambda e: e["event_id"].cast("string")), ",").alias(c)
     return chart_.join(cases, "subject").select(
         "subject", "total", F.col("cap").cast("int").alias("cap"), *[ids(r) for r in ROLES], "visible_id", F.col("after").alias("truth"), "direction",
-        F.round((F.col("after") - F.col("before")) / F.col("before") * 1000).cast("long").alias("change_permille"), "difficulty", F.round(F.col("hours_ahead") * 10).cast("long").alias("tenths_ahead"),
+        F.round(F.try_divide(F.col("after") - F.col("before"), "before") * 1000).try_cast("long").alias("change_permille"), "difficulty", F.round(F.col("hours_ahead") * 10).cast("long").alias("tenths_ahead"),
     )
 
 

@@ -206,3 +206,11 @@ def test_candidate_pairs_equal_all_pairs(spark):
                 continue
             want[a[0], b[0]] = 10 * (a[3] != b[3]) + abs(a[4] - b[4]) + (5 * abs(x - y) / top if top is not None and x + y > 0.001 else 0)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_full_charts_from_zero(spark, tmp_path):
+    from chronosieve.plans import catalog
+
+    events(spark, [(1, 1, "error", 0 * H, 0.0), (2, 1, "error", 2 * H, 5.0), (3, 2, "error", 0 * H, 4.0), (4, 2, "error", 2 * H, 5.0)]).write.parquet(f"{tmp_path}/events.parquet")
+    got = catalog.QUERIES["full_chart_cases"](spark, str(tmp_path)).orderBy("subject").collect()
+    assert [(r.subject, r.truth, r.direction, r.change_permille) for r in got] == [(1, 5.0, "rising", None), (2, 5.0, "rising", 250)]
