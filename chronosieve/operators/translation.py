@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.direction import rounded
+
 
 def moved(value: Column, a: str, b: str) -> Column:
     """A value of population a at the same deviations from the mean of population b."""
@@ -32,17 +34,18 @@ def translated_cases(panels: DataFrame, rules: DataFrame, source: DataFrame, tar
     """panels: case, lab, value -> one row for each case that a rule hits: panel, hits and the first hit (by priority), all in the target population.
 
     Values and thresholds keep their deviations from the mean and are rounded to one digit, deviations
-    to two. Labs that a population lacks go; cases with fewer than `least` labs left, or whose first hit
-    went, do too. The tables of labs and rules go to all tasks, as they have a row for each lab or rule.
+    to two, halves away from zero (see rounded). Labs that a population lacks go; cases with fewer than
+    `least` labs left, or whose first hit went, do too. The tables of labs and rules go to all tasks, as
+    they have a row for each lab or rule.
     """
     known = F.broadcast(both_populations(source, target))
     x = moved(F.col("value"), "s", "t")
     z = (F.col("value") - F.col("s_mean")) / F.col("s_sd")
-    entry = F.struct("lab", F.round(x, 1).alias("value"), F.round(z, 2).alias("z"), side(x, "t_low", "t_high").alias("side"), F.col("t_low").alias("low"), F.col("t_high").alias("high"))
+    entry = F.struct("lab", rounded(x, 1).alias("value"), rounded(z, 2).alias("z"), side(x, "t_low", "t_high").alias("side"), F.col("t_low").alias("low"), F.col("t_high").alias("high"))
     panel = panels.join(known, "lab").groupBy(*case).agg(F.array_sort(F.collect_list(entry)).alias("panel")).where(F.size("panel") >= least)
     found = hits(panels, rules, case)
     first = found.groupBy(*case).agg(F.min_by(F.struct("lab", "action"), F.struct("priority", "lab", "threshold")).alias("primary"), F.count(F.lit(1)).alias("n_source_hits"))
-    hit = F.struct("priority", "lab", F.round(x, 1).alias("value"), F.round(moved(F.col("threshold"), "s", "t"), 1).alias("threshold"), "direction", "action", F.round(z, 2).alias("z"))
+    hit = F.struct("priority", "lab", rounded(x, 1).alias("value"), rounded(moved(F.col("threshold"), "s", "t"), 1).alias("threshold"), "direction", "action", rounded(z, 2).alias("z"))
     listed = found.join(known, "lab").groupBy(*case).agg(F.array_sort(F.collect_list(hit)).alias("hits"))
     out = panel.join(first, case).join(listed, case)
     pivot = F.get(F.filter("hits", lambda h: (h["lab"] == F.col("primary.lab")) & (h["action"] == F.col("primary.action"))), F.lit(0))

@@ -228,14 +228,17 @@ def _populations(spark):
     return spark.createDataFrame(ONE, schema), spark.createDataFrame(OTHER, schema)
 
 
+_TENTHS = f"CAST(round({T._ROUND.format(x='{x}', d=1)} * 10) AS BIGINT)"
+
+
 @query("translated_cases", f"""
 WITH {_POPULATIONS}, y AS (SELECT *, {_X} AS x, (value - s_mean) / s_sd AS z FROM q JOIN b USING (lab)),
-p AS (SELECT subject, day, count(*) AS n, string_agg(lab || ' ' || CAST(round(x * 10) AS BIGINT) || ' ' || CASE WHEN x > t_high THEN 'HIGH' WHEN x < t_low THEN 'LOW' ELSE 'NORMAL' END, ';' ORDER BY lab) AS panel FROM y GROUP BY 1, 2 HAVING count(*) >= 3),
+p AS (SELECT subject, day, count(*) AS n, string_agg(lab || ' ' || {_TENTHS.format(x='x')} || ' ' || CASE WHEN x > t_high THEN 'HIGH' WHEN x < t_low THEN 'LOW' ELSE 'NORMAL' END, ';' ORDER BY lab) AS panel FROM y GROUP BY 1, 2 HAVING count(*) >= 3),
 h AS (SELECT q.subject, q.day, lab, value, direction, threshold, action, priority FROM q JOIN rules USING (lab) WHERE CASE direction WHEN 'above' THEN value > threshold ELSE value < threshold END),
 f AS (SELECT subject, day, min_by(lab, (priority, lab, threshold)) AS lab, min_by(action, (priority, lab, threshold)) AS action, count(*) AS n_source_hits FROM h GROUP BY 1, 2),
 g AS (SELECT h.*, {_X} AS x, (value - s_mean) / s_sd AS z, t_mean + (threshold - s_mean) / s_sd * t_sd AS limit_x FROM h JOIN b USING (lab)),
-l AS (SELECT subject, day, string_agg(lab || ' ' || CAST(round(x * 10) AS BIGINT) || ' ' || CAST(round(limit_x * 10) AS BIGINT) || ' ' || action, ';' ORDER BY priority, lab) AS hits FROM g GROUP BY 1, 2)
-SELECT subject, day::VARCHAR AS day, panel, hits, n_source_hits, g.lab AS pivot_lab, g.action, CAST(round(g.x * 10) AS BIGINT) AS pivot_value, CAST(round(g.limit_x * 10) AS BIGINT) AS pivot_threshold, g.direction FROM p JOIN f USING (subject, day) JOIN l USING (subject, day) JOIN g USING (subject, day, lab, action)""")
+l AS (SELECT subject, day, string_agg(lab || ' ' || {_TENTHS.format(x='x')} || ' ' || {_TENTHS.format(x='limit_x')} || ' ' || action, ';' ORDER BY priority, lab) AS hits FROM g GROUP BY 1, 2)
+SELECT subject, day::VARCHAR AS day, panel, hits, n_source_hits, g.lab AS pivot_lab, g.action, {_TENTHS.format(x='g.x')} AS pivot_value, {_TENTHS.format(x='g.limit_x')} AS pivot_threshold, g.direction FROM p JOIN f USING (subject, day) JOIN l USING (subject, day) JOIN g USING (subject, day, lab, action)""")
 def translated_cases(spark, sf):
     """Days of subjects as cases of another population: panel, hits and the hit that counts, with their thresholds."""
     rules = spark.createDataFrame(LAB_RULES, "lab string, direction string, threshold double, action string, priority int")

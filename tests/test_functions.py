@@ -214,3 +214,39 @@ def test_full_charts_from_zero(spark, tmp_path):
     events(spark, [(1, 1, "error", 0 * H, 0.0), (2, 1, "error", 2 * H, 5.0), (3, 2, "error", 0 * H, 4.0), (4, 2, "error", 2 * H, 5.0)]).write.parquet(f"{tmp_path}/events.parquet")
     got = catalog.QUERIES["full_chart_cases"](spark, str(tmp_path)).orderBy("subject").collect()
     assert [(r.subject, r.truth, r.direction, r.change_permille) for r in got] == [(1, 5.0, "rising", None), (2, 5.0, "rising", 250)]
+
+
+def test_halves_are_those_of_decimals(spark):
+    cases = [(56.949999999999996, 57.0), (56.95, 57.0), (-56.949999999999996, -57.0), (56.949, 56.9), (56.94999, 56.9), (0.05, 0.1), (123456789.05, 123456789.1), (1e25, 1e25), (None, None)]
+    got = spark.createDataFrame([c[:1] for c in cases], "x double").select(D.rounded("x", 1)).collect()
+    assert [r[0] for r in got] == [c[1] for c in cases]
+
+
+def every_hundredth(spark, tmp_path):
+    """Events that hold each value of two digits below 600 for each type, five of one user and day; and DuckDB on them."""
+    import duckdb
+
+    path = str(tmp_path)
+    rows = spark.range(300_000).withColumn("k", F.floor(F.col("id") / 5))
+    kind = F.element_at(F.array(*map(F.lit, ["click", "error", "purchase", "signup", "view"])), (F.col("id") % 5 + 1).cast("int"))
+    rows.select(F.col("id").alias("event_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"), F.col("k").alias("user_id"), kind.alias("event_type"), (F.col("k") / 100).alias("value")).write.parquet(f"{path}/events.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS FROM '{path}/events.parquet/*.parquet'")
+    return path, duck
+
+
+def test_translated_cases_of_every_hundredth(spark, tmp_path):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from chronosieve.plans import bundles, catalog
+
+    path, duck = every_hundredth(spark, tmp_path)
+    got = catalog.QUERIES["translated_cases"](spark, path).toPandas()
+    want = duck.execute(catalog.ORACLES["translated_cases"]).df()[list(got.columns)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    dec = lambda x: Decimal(str(x))
+    one, other = ({lab: (dec(mean), dec(sd)) for lab, _, _, mean, sd in rows} for rows in (bundles.ONE, bundles.OTHER))
+    for r in got.itertuples():
+        for lab, tenths, _ in map(str.split, r.panel.split(";")):
+            exact = other[lab][0] + (Decimal(r.subject) / 100 - one[lab][0]) / one[lab][1] * other[lab][1]
+            assert int(tenths) == int((exact * 10).to_integral_value(ROUND_HALF_UP)), (lab, r.subject)
