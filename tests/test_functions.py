@@ -250,3 +250,24 @@ def test_translated_cases_of_every_hundredth(spark, tmp_path):
         for lab, tenths, _ in map(str.split, r.panel.split(";")):
             exact = other[lab][0] + (Decimal(r.subject) / 100 - one[lab][0]) / one[lab][1] * other[lab][1]
             assert int(tenths) == int((exact * 10).to_integral_value(ROUND_HALF_UP)), (lab, r.subject)
+
+
+def test_translated_values_of_every_hundredth(spark, tmp_path):
+    import math
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from chronosieve.plans import catalog, timelines
+
+    path, duck = every_hundredth(spark, tmp_path)
+    got = catalog.QUERIES["translated_values"](spark, path).toPandas()
+    want = duck.execute(catalog.ORACLES["translated_values"]).df()[list(got.columns)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    kinds = ["click", "error", "purchase", "signup", "view"]
+    for r in got.itertuples():
+        _, _, mean, sd = (Decimal(str(x)) for x in timelines.RANGES[kinds[r.event_id % 5]])
+        v = Decimal(r.event_id // 5) / 100
+        v = Decimal(math.floor(v)) if r.event_id % 3 == 0 else v
+        t = 50 + 5 * (v - mean) / sd
+        like = t.quantize(Decimal(1 if v == math.floor(v) else "0.1"), ROUND_HALF_UP)
+        tenth = t.quantize(Decimal("0.1"), ROUND_HALF_UP)
+        assert (r.like_it, r.kept) == (float(like), float(tenth if 45 <= tenth <= 55 else 50)), r
