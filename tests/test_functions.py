@@ -271,3 +271,26 @@ def test_translated_values_of_every_hundredth(spark, tmp_path):
         like = t.quantize(Decimal(1 if v == math.floor(v) else "0.1"), ROUND_HALF_UP)
         tenth = t.quantize(Decimal("0.1"), ROUND_HALF_UP)
         assert (r.like_it, r.kept) == (float(like), float(tenth if 45 <= tenth <= 55 else 50)), r
+
+
+def test_leaks_are_whole_words_of_any_script(spark, tmp_path):
+    import duckdb
+
+    from chronosieve.functions import guards as G
+    from chronosieve.plans import catalog
+
+    stems = {"lañada": False, "voilà": False, "Éla": False, "la²": False, "la_": False, "la\u0301": False, "lathe": False, "a la carta": True, "la": True, "¿la?": True, "ñ la, ñ": True, "LA—": True, "": False}
+    got = spark.createDataFrame([(s,) for s in stems], "s string").select(F.lower("s").rlike(G.whole_words(["the", "la"]))).collect()
+    assert [r[0] for r in got] == list(stems.values())
+
+    path = str(tmp_path)  # both labs rise over their ranges; one document has "la" only within other words
+    rises = [("error", -H, 20.0), ("view", -H, 20.0), ("purchase", 0 * H, 1.0), ("error", H, 90.0), ("view", H, 90.0)]
+    events(spark, [(5 * u + i, u, *r) for u in (1, 2) for i, r in enumerate(rises)]).coalesce(1).write.parquet(f"{path}/events.parquet")
+    spark.createDataFrame([(1, "De lañada y élas"), (2, "Ñada a la carta")], "doc_id long, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW events AS FROM '{path}/events.parquet/*.parquet'")
+    duck.execute(f"CREATE VIEW documents AS FROM '{path}/documents.parquet/*.parquet'")
+    got = catalog.QUERIES["direction_checks"](spark, path).toPandas()
+    want = duck.execute(catalog.ORACLES["direction_checks"]).df()[list(got.columns)]
+    assert sorted(got.itertuples(index=False, name=None)) == sorted(want.itertuples(index=False, name=None))
+    assert dict(zip(got.user_id, got.answerable)) == {1: True, 2: False}
